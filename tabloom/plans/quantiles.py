@@ -1,10 +1,10 @@
 """Exact linear-interpolated quantiles, per column and optional group.
 
-Below a size limit this is Spark's ``percentile``.  Above it two passes avoid
-building one task's map of all values: a sketch brackets each wanted rank, then
-everything outside the brackets is folded onto bracket ends (which keeps the
-order), so only the few values near the wanted ranks are shuffled.  A rank that
-falls outside its bracket raises instead of giving a wrong value.
+Values are counted first, so repeated values cost one row, and the wanted ranks
+are read off a running sum that can spill.  Above a size limit a sketch first
+brackets each wanted rank and everything outside the brackets is folded onto
+bracket ends (which keeps the order): only the few values near the wanted ranks
+are shuffled.  A rank outside its bracket raises instead of giving a wrong value.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from tabloom.plans.sizing import fits_one_task
 
-ACCURACY = 100_000
+ACCURACY = 10_000
+COUNT_ALL_BYTES = 32 * 1024 * 1024
 
 
 def long_quantiles(
@@ -30,68 +31,63 @@ def long_quantiles(
     """(by…, q array) from non-NULL doubles in ``value``."""
     by = list(by)
     wanted = [float(p) for p in probabilities]
-    if fits_one_task(long) if one_task is None else one_task:
-        return long.groupBy(*by).agg(
-            F.percentile(value, F.array(*[F.lit(p) for p in wanted])).alias("q")
-        )
-    return _bracketed(long, wanted, by, value, accuracy)
+    if fits_one_task(long, COUNT_ALL_BYTES) if one_task is None else one_task:
+        counts = long.groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+        return _at_ranks(counts.withColumn("_out", F.lit(0)), wanted, by)
+    return _at_ranks(_folded_counts(long, wanted, by, value, accuracy), wanted, by)
 
 
-def _bracketed(
+def _folded_counts(
     long: DataFrame, wanted: list[float], by: list[str], value: str, accuracy: int
 ) -> DataFrame:
     margin = 4.0 / accuracy
     low = [max(0.0, p - margin) for p in wanted]
     high = [min(1.0, p + margin) for p in wanted]
     sketch = long.groupBy(*by).agg(
-        F.percentile_approx(value, F.array(*map(F.lit, low)), accuracy).alias("_lo"),
-        F.percentile_approx(value, F.array(*map(F.lit, high)), accuracy).alias("_hi"),
+        F.percentile_approx(value, F.array(*map(F.lit, low + high)), accuracy).alias("_s"),
         F.min(value).alias("_min"),
         F.max(value).alias("_max"),
-        F.count(value).alias("_n"),
     )
     # One row per (column, group): adaptive execution broadcasts it when small.
     joined = long.select(*by, value).join(sketch, by) if by else long.select(value).crossJoin(
         F.broadcast(sketch)
     )
-    v = F.col(value)
-    pairs = F.arrays_zip("_lo", "_hi")
+    v, k = F.col(value), len(wanted)
     # The outermost ranks are bracketed by the true extremes.
-    inside = (
-        F.exists(pairs, lambda p: (p["_lo"] <= v) & (v <= p["_hi"]))
-        | (v == F.col("_min"))
-        | (v == F.col("_max"))
-    )
-    folded = F.when(inside, v).otherwise(
-        F.coalesce(F.array_max(F.filter("_hi", lambda h: h < v)), F.col("_min"))
-    )
-    counts = (
-        joined.select(*by, "_n", folded.alias("_v"), (~inside).cast("int").alias("_out"))
-        .groupBy(*by, "_n", "_v", "_out")
+    inside = (v == F.col("_min")) | (v == F.col("_max"))
+    below = [F.col("_min")]
+    for i in range(k):
+        lo, hi = F.col("_s")[i], F.col("_s")[k + i]
+        inside = inside | ((lo <= v) & (v <= hi))
+        below.append(F.when(hi < v, hi))
+    folded = F.when(inside, v).otherwise(F.greatest(*below))
+    return (
+        joined.select(*by, folded.alias("_v"), (~inside).cast("int").alias("_out"))
+        .groupBy(*by, "_v", "_out")
         .agg(F.count("*").alias("_c"))
     )
-    order = Window.partitionBy(*by).orderBy("_v", "_out").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    ranked = counts.withColumn("_to", F.sum("_c").over(order)).withColumn(
-        "_from", F.col("_to") - F.col("_c")
+
+
+def _at_ranks(counts: DataFrame, wanted: list[float], by: list[str]) -> DataFrame:
+    whole = Window.partitionBy(*by)
+    upto = whole.orderBy("_v", "_out").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.select(
+        *by, "_v", "_out", "_c", F.sum("_c").over(upto).alias("_to"),
+        F.sum("_c").over(whole).alias("_n"),
     )
 
-    def covers(rank: Column) -> Column:
-        return (F.col("_from") <= rank) & (rank < F.col("_to"))
+    def at(rank: Column) -> Column:
+        hit = (F.col("_to") - F.col("_c") <= rank) & (rank < F.col("_to"))
+        exact = F.when(F.col("_out") == 0, F.col("_v")).otherwise(
+            F.raise_error(F.lit("quantile rank outside its bracket")).cast("double")
+        )
+        return F.max(F.when(hit, exact))
 
-    exprs = []
+    picks = []
     for i, p in enumerate(wanted):
         rank = F.lit(p) * (F.col("_n") - 1)
-        for tag, position in (("a", F.floor(rank)), ("b", F.ceil(rank))):
-            hit = F.when(
-                covers(position),
-                F.when(F.col("_out") == 0, F.col("_v")).otherwise(
-                    F.raise_error(F.lit("quantile rank outside its bracket")).cast("double")
-                ),
-            )
-            exprs.append(F.max(hit).alias(f"_{tag}{i}"))
-    picked = ranked.groupBy(*by, "_n").agg(*exprs)
+        picks += [at(F.floor(rank)).alias(f"_a{i}"), at(F.ceil(rank)).alias(f"_b{i}")]
+    picked = ranked.groupBy(*by).agg(F.max("_n").alias("_n"), *picks)
     values = []
     for i, p in enumerate(wanted):
         rank = F.lit(p) * (F.col("_n") - 1)

@@ -16,8 +16,8 @@ ONE_TASK_BYTES = 256 * 1024 * 1024
 
 def estimated_bytes(df: DataFrame) -> int:
     try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(stats.sizeInBytes().toString())
+        plan = df._jdf.queryExecution().optimizedPlan()
+        return int(str(plan.stats().sizeInBytes()))
     except Exception:  # no JVM handle (remote session): treat as large
         return 1 << 62
 
