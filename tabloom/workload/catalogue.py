@@ -1,6 +1,6 @@
 """Imports every workload module so that its queries are registered."""
 
-from tabloom.workload import charts, eda, profile, recipe, sources  # noqa: F401
+from tabloom.workload import charts, context, drift, eda, metrics, profile, recipe, sources  # noqa: F401
 from tabloom.workload.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -92,7 +92,7 @@ def main(argv):
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     folder = f"/root/testdata/sf{sf}"
     con = connect(folder)
     queries, oracle = entry.queries(), entry.oracle_sql()
