@@ -73,13 +73,14 @@ def text_to_number(column: Column, strip_commas: bool) -> Column:
     """Coerce text to double, NULL where it does not parse.
 
     A trailing d or f is a Java literal suffix that Spark's cast accepts, so it
-    is ruled out here ("inf" excepted).
+    is ruled out here ("inf" excepted).  Texts that cannot start a number are
+    not cast at all: a failing cast raises and catches an exception per row.
     """
     text = F.trim(column)
     if strip_commas:
         text = F.replace(text, F.lit(","), F.lit(""))
-    parsed = text.try_cast("double")
-    return F.when(~F.isnan(parsed) & ~text.rlike("[0-9.][dDfF]$"), parsed)
+    start = text.rlike("^[+-]?[.0-9iInN]") & ~text.rlike("[0-9.][dDfF]$")
+    return null_if_nan(F.when(start, text.try_cast("double")))
 
 
 def to_number(
