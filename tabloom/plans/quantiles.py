@@ -88,7 +88,7 @@ def _at_ranks(counts: DataFrame, wanted: list[float], by: list[str]) -> DataFram
     picked = ranked.groupBy(*by).agg(F.max("_n").alias("_n"), *picks)
     values = ", ".join(
         f"CASE WHEN {rank} = floor({rank}) THEN _floor{i} ELSE "
-        f"(1 - ({rank} - floor({rank}))) * _floor{i} + ({rank} - floor({rank})) * _ceil{i} END"
+        f"_floor{i} + ({rank} - floor({rank})) * (_ceil{i} - _floor{i}) END"
         for i, rank in enumerate(ranks)
     )
     return picked.select(*by, F.expr(f"array({values}) AS q"))
