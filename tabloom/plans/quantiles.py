@@ -47,15 +47,17 @@ def _folded_counts(
         F.percentile_approx(value, F.array(*map(F.lit, low + high)), accuracy).alias("_s"),
         F.min(value).alias("_min"),
         F.max(value).alias("_max"),
+        F.count(value).alias("_rows"),
     )
     # One row per (column, group): adaptive execution broadcasts it when small.
     joined = long.select(*by, value).join(sketch, by) if by else long.select(value).crossJoin(
         F.broadcast(sketch)
     )
     v, k = f"`{value}`", len(wanted)
-    # The outermost ranks are bracketed by the true extremes.
+    # The outermost ranks are bracketed by the true extremes.  With fewer values
+    # than the sketch resolves, a bracket may be narrower than one rank: keep all.
     brackets = " OR ".join(f"(_s[{i}] <= {v} AND {v} <= _s[{k + i}])" for i in range(k))
-    inside = f"({v} = _min OR {v} = _max OR {brackets})"
+    inside = f"(_rows <= {accuracy} OR {v} = _min OR {v} = _max OR {brackets})"
     below = ", ".join(f"CASE WHEN _s[{k + i}] < {v} THEN _s[{k + i}] END" for i in range(k))
     folded = F.expr(f"CASE WHEN {inside} THEN {v} ELSE greatest(_min, {below}) END")
     outside = F.expr(f"CAST(NOT {inside} AS INT)")
