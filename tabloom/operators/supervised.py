@@ -312,7 +312,7 @@ def train(
             return name, None, None, {}, time.time() - start, str(error)[:500]
 
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-        done = list(pool.map(inheritable_thread_target(one), models))
+        done = list(pool.map(inheritable_thread_target(spark)(one), models))
     names = _metric_names(task)
     fields = ", ".join(f"{m} double" for m in [*names, "cv_mean", "cv_std"])
     table = [

@@ -325,7 +325,7 @@ def isolation_forest(
         .select("tree", "id", "vec")
     )
 
-    def fit(key, group: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         rows = _stack(group.sort_values("id")["vec"])
         limit = int(np.ceil(np.log2(max(2, len(rows)))))
         nodes = _grow(rows, np.random.default_rng([seed, int(key[0])]), limit)
