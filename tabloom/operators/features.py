@@ -187,13 +187,19 @@ def datetime_features(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def terms(text: Column) -> Column:
-    """Lower-cased words of two or more characters, and their neighbours' pairs."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
-    return _with_pairs(words)
+def words_of(text: Column) -> Column:
+    """Lower-cased words of two or more characters."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def _with_pairs(words: Column) -> Column:
+def exploded_terms(df: DataFrame, column: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(keep…, term): words and word pairs; each text is split only once."""
+    split = df.select(*keep, words_of(quoted(column)).alias("_words"))
+    return split.select(*keep, F.explode(with_pairs(F.col("_words"))).alias("term"))
+
+
+def with_pairs(words: Column) -> Column:
+    """Words followed by the pairs of neighbouring words."""
     later = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
     earlier = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
     return F.concat(words, F.zip_with(earlier, later, lambda a, b: F.concat_ws(" ", a, b)))
@@ -201,7 +207,7 @@ def _with_pairs(words: Column) -> Column:
 
 def vocabulary(df: DataFrame, column: str, max_features: int) -> DataFrame:
     """(term, total): the most frequent terms of the whole corpus, ties by term."""
-    counts = df.select(F.explode(terms(quoted(column))).alias("term")).groupBy("term").agg(
+    counts = exploded_terms(df, column).groupBy("term").agg(
         F.count("*").alias("total")
     )
     return counts.orderBy(F.desc("total"), "term").limit(max_features)
@@ -215,7 +221,7 @@ def tfidf(df: DataFrame, key: str, column: str, max_features: int = 100) -> Data
     vocab = vocabulary(df, column, max_features)
     rows = df.agg(F.count("*").alias("_n"))
     counts = (
-        df.select(key, F.explode(terms(quoted(column))).alias("term"))
+        exploded_terms(df, column, [key])
         .join(F.broadcast(vocab.select("term")), "term")
         .groupBy(key, "term")
         .agg(F.count("*").alias("tf"))
@@ -379,9 +385,9 @@ class Terms(Transformer, _Columns, DefaultParamsReadable, DefaultParamsWritable)
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        return dataset.withColumns(
-            {self.out(c): terms(quoted(c).cast("string")) for c in self.getOrDefault("columns")}
-        )
+        names = self.getOrDefault("columns")
+        split = dataset.withColumns({self.out(c): words_of(quoted(c).cast("string")) for c in names})
+        return split.withColumns({self.out(c): with_pairs(quoted(self.out(c))) for c in names})
 
 
 class SmoothIdf(Estimator, DefaultParamsReadable, DefaultParamsWritable):
