@@ -35,6 +35,7 @@ from tabloom.functions.values import (
 )
 from tabloom.plans.longform import numeric_long
 from tabloom.plans.quantiles import long_quantiles
+from tabloom.plans.sizing import spread
 
 # Names and length that make a label column text, feature limits.
 TEXT_NAMES = [
@@ -194,7 +195,8 @@ def words_of(text: Column) -> Column:
 
 def exploded_terms(df: DataFrame, column: str, keep: Sequence[str] = ()) -> DataFrame:
     """(keep…, term): words and word pairs; each text is split only once."""
-    split = df.select(*keep, words_of(quoted(column)).alias("_words"))
+    rows = spread(df.select(*keep, quoted(column)))
+    split = rows.select(*keep, words_of(quoted(column)).alias("_words"))
     return split.select(*keep, F.explode(with_pairs(F.col("_words"))).alias("term"))
 
 

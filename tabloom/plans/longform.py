@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.values import is_numeric_type, nulls_unified, quoted, to_number
+from tabloom.plans.sizing import spread
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -23,7 +24,7 @@ def to_long(
 ) -> DataFrame:
     """(keep…, column, value as text); NULL and NaN stay as NULL rows."""
     names = [c for c in (columns or df.columns) if c not in keep]
-    unified = nulls_unified(df.select(*[quoted(c) for c in [*keep, *names]]))
+    unified = nulls_unified(spread(df.select(*[quoted(c) for c in [*keep, *names]])))
     texts = unified.select(
         *[quoted(c) for c in keep], *[quoted(c).cast("string").alias(c) for c in names]
     )
@@ -42,7 +43,7 @@ def numeric_long(
     names = list(columns) if columns is not None else numeric_columns(df)
     names = [c for c in names if c not in keep]
     types = {f.name: f.dataType for f in df.schema.fields}
-    numbers = df.select(
+    numbers = spread(df.select(*[quoted(c) for c in [*keep, *names]])).select(
         *[quoted(c) for c in keep],
         *[to_number(quoted(c), types[c], strip_commas).alias(c) for c in names],
     )

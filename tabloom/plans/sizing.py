@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 ONE_TASK_BYTES = 256 * 1024 * 1024
+SPREAD_BYTES = (2 * 1024 * 1024, 256 * 1024 * 1024)
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -33,3 +34,17 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
 
 def suggested_buckets(df: DataFrame, target: int = 64 * 1024 * 1024, most: int = 512) -> int:
     return max(2, min(most, estimated_bytes(df) // target + 1))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Share the rows of a small table that sits in few files among all cores.
+
+    A file with one row group is one task.  Below the upper bound a shuffle of
+    the needed columns costs less than the idle cores; larger tables have enough
+    splits and are never shuffled here.
+    """
+    least, most = SPREAD_BYTES
+    if not least <= estimated_bytes(df) <= most:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
