@@ -141,34 +141,78 @@ def boolean_flag(token: Column) -> Column:
 
 
 def column_facts(
-    df: DataFrame, columns: Sequence[str] | None = None, order_by: Sequence[str] | None = None
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    order_by: Sequence[str] | None = None,
+    approximate: bool = False,
 ) -> DataFrame:
-    """Everything the type decision needs, from one pass over value counts."""
+    """Everything the type decision needs, per column.
+
+    Exact: one pass over value counts, so every distinct value is shuffled once.
+    ``approximate``: sketched distinct counts in a wide aggregate that shuffles
+    one row per task, for tables with huge identifier columns.
+    """
     names = list(columns or df.columns)
+    facts = _sketched_facts(df, names) if approximate else _counted_facts(df, names)
+    if order_by:
+        sampled = _date_sample_facts(df, names, order_by)
+        facts = facts.drop("date_like", "date_share").join(F.broadcast(sampled), "column", "left")
+    return schema_table(df, names).join(F.broadcast(facts), "column", "left")
+
+
+def _value_tests(value: Column) -> tuple[Column, Column, Column]:
+    """Whether a text is a number, looks like a date, parses as a date."""
+    short = (F.length(value) <= LONGEST_DATE_TEXT) & value.rlike("[0-9]")
+    return (
+        text_to_number(value, strip_commas=True).isNotNull(),
+        F.when(short, dates.looks_like_date(value)).otherwise(False),
+        short & dates.parse_timestamp(value).isNotNull(),
+    )
+
+
+def _counted_facts(df: DataFrame, names: list[str]) -> DataFrame:
     counts = value_counts_long(df, names)
     value, cnt = F.col("value"), F.col("cnt")
-    number = text_to_number(value, strip_commas=True)
-    short = (F.length(value) <= LONGEST_DATE_TEXT) & value.rlike("[0-9]")
+    number, like, parses = _value_tests(value)
     weight = F.when(value.isNotNull(), cnt)
-    facts = counts.groupBy("column").agg(
+    return counts.groupBy("column").agg(
         F.sum("cnt").alias("row_count"),
         F.sum(F.when(value.isNull(), cnt).otherwise(0)).alias("missing_count"),
         F.count("value").alias("unique_count"),
         boolean_flag(F.lower(F.trim(value))).alias("boolean_tokens"),
-        (F.sum(F.when(number.isNotNull(), cnt).otherwise(0)) / F.sum(weight)).alias("numeric_share"),
+        (F.sum(F.when(number, cnt).otherwise(0)) / F.sum(weight)).alias("numeric_share"),
         (F.sum(F.length(value) * cnt) / F.sum(weight)).alias("mean_length"),
-        F.max(F.when(short, dates.looks_like_date(value)).otherwise(False)).alias("date_like"),
-        (
-            F.sum(
-                F.when(short & dates.parse_timestamp(value).isNotNull(), cnt).otherwise(0)
-            )
-            / F.sum(weight)
-        ).alias("date_share"),
+        F.max(like).alias("date_like"),
+        (F.sum(F.when(parses, cnt).otherwise(0)) / F.sum(weight)).alias("date_share"),
     )
-    if order_by:
-        sampled = _date_sample_facts(df, names, order_by)
-        facts = facts.drop("date_like", "date_share").join(F.broadcast(sampled), "column", "left")
-    return schema_table(df, names).join(F.broadcast(facts), "column", "left")
+
+
+def _sketched_facts(df: DataFrame, names: list[str]) -> DataFrame:
+    aggs = [F.count("*").alias("_n")]
+    rows = []
+    for i, c in enumerate(names):
+        value = null_if_nan(quoted(c), df.schema[c].dataType).cast("string")
+        number, like, parses = _value_tests(value)
+        present = F.count(value)
+        named = {
+            "present": present,
+            "unique_count": F.approx_count_distinct(value, 0.02),
+            "boolean_tokens": boolean_flag(F.lower(F.trim(value))),
+            "numeric_share": F.count_if(number) / F.nullif(present, F.lit(0)),
+            "mean_length": F.avg(F.length(value)),
+            "date_like": F.max(like),
+            "date_share": F.count_if(parses) / F.nullif(present, F.lit(0)),
+        }
+        aggs += [expr.alias(f"_{key}{i}") for key, expr in named.items()]
+        rows.append(
+            {
+                "column": F.lit(c),
+                "row_count": F.col("_n"),
+                "missing_count": F.col("_n") - F.col(f"_present{i}"),
+                **{key: F.col(f"_{key}{i}") for key in named if key != "present"},
+            }
+        )
+    return rows_from_one(df.agg(*aggs), rows)
 
 
 def _first_values(
@@ -275,10 +319,13 @@ def infer_roles(types: DataFrame) -> DataFrame:
 
 
 def base_profile(
-    df: DataFrame, columns: Sequence[str] | None = None, order_by: Sequence[str] | None = None
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    order_by: Sequence[str] | None = None,
+    approximate: bool = False,
 ) -> DataFrame:
     """Counts, type and role per column: the table most rules read."""
-    facts = column_facts(df, columns, order_by)
+    facts = column_facts(df, columns, order_by, approximate)
     zero = F.lit(0).cast("long")
     typed = facts.select(
         "column",

@@ -315,15 +315,18 @@ def isolation_forest(
     batches against the small forest.
     """
     spark = df.sparkSession
-    pool = df.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(trees * tree_rows).select("id", "vec")
+    pool = cut_lineage(
+        df.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(trees * tree_rows).select("id", "vec")
+    )
     per_tree = Window.partitionBy("tree").orderBy("h", "id")
-    samples = (
-        pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    chosen = (
+        pool.select("id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
         .withColumn("h", F.xxhash64(F.lit(seed), "tree", "id"))
         .withColumn("r", F.row_number().over(per_tree))
         .where(F.col("r") <= tree_rows)
-        .select("tree", "id", "vec")
+        .select("tree", "id")
     )
+    samples = chosen.join(pool, "id").select("tree", "id", "vec")
 
     def fit(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         rows = _stack(group.sort_values("id")["vec"])

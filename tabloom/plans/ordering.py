@@ -72,8 +72,9 @@ def _shifted(
     local = bucketed.select(
         "*", *[F.sum(expr).over(inside).alias("_l_" + n) for n, expr in sums.items()]
     )
-    # At most one row per (group, piece): bounded by the number of cut points.
-    shifted = local.join(F.broadcast(offsets), [*by, "_b"], "left")
+    # One row per piece, so bounded without groups; with groups adaptive execution
+    # decides by the real size.
+    shifted = local.join(offsets if by else F.broadcast(offsets), [*by, "_b"], "left")
     for n in names:
         shifted = shifted.withColumn(n, F.col("_l_" + n) + F.col("_o_" + n))
     return shifted.drop("_b", *["_l_" + n for n in names], *["_o_" + n for n in names])
@@ -139,6 +140,8 @@ def evenly_spaced(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
                 F.when(F.col("_n") <= n, F.col("id")).otherwise(spaced).cast("long").alias("_pos")
             )
         )
-    placed = with_position(df, order_by)
-    # n wanted positions: bounded by the argument.
-    return placed.join(F.broadcast(wanted.distinct()), "_pos", "left_semi")
+    # Only the keys are shuffled; the n wanted keys (bounded by the argument) then
+    # pick their rows in a second scan.
+    keys = with_position(df.select(*order_by), order_by)
+    kept = keys.join(F.broadcast(wanted.distinct()), "_pos")
+    return df.join(F.broadcast(kept), list(order_by)).select(*df.columns, "_pos")

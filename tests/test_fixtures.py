@@ -49,6 +49,12 @@ def test_types_roles_and_missing_cells(people):
     assert summary["target_candidates"] == "churn"
 
 
+def test_sketched_profile_decides_alike(people):
+    exact = profile.base_profile(people).select("column", "inferred_type", "missing_count", "unique_count")
+    sketched = profile.base_profile(people, approximate=True).select(*exact.columns)
+    assert sorted(map(tuple, exact.collect())) == sorted(map(tuple, sketched.collect()))
+
+
 def test_eda_expectations(charges):
     missing = {r["column"]: r for r in eda.missing_analysis(charges).collect()}
     assert missing[eda.TOTAL]["missing_count"] == 2
