@@ -24,7 +24,7 @@ from tabloom.functions.values import (
     to_number,
 )
 from tabloom.operators import metrics as M
-from tabloom.operators.profile import schema_table
+from tabloom.operators.profile import base_profile, schema_table
 from tabloom.plans.longform import numeric_long, rows_from_one, to_long
 from tabloom.plans.ordering import running_totals
 from tabloom.plans.quantiles import long_quantiles
@@ -37,10 +37,25 @@ DECILES = [i / 10 for i in range(11)]
 METRIC_ALARM = 0.1
 
 
-def schema_drift(reference: DataFrame, current: DataFrame) -> DataFrame:
-    """(column, change, kinds) for added, removed and retyped columns."""
-    ref = schema_table(reference).select("column", F.col("physical").alias("reference_kind"))
-    cur = schema_table(current).select("column", F.col("physical").alias("current_kind"))
+def _column_kinds(df: DataFrame, observed: bool) -> DataFrame:
+    """(column, kind): from the schema, or for text from what the cells hold."""
+    if not observed:
+        return schema_table(df).select("column", F.col("physical").alias("kind"))
+    kinds = base_profile(df, approximate=True)
+    text = F.col("physical") == "text"
+    return kinds.select(
+        "column", F.when(text, F.col("inferred_type")).otherwise(F.col("physical")).alias("kind")
+    )
+
+
+def schema_drift(reference: DataFrame, current: DataFrame, observed: bool = False) -> DataFrame:
+    """(column, change, kinds) for added, removed and retyped columns.
+
+    ``observed`` looks into text columns, so a number stored as text counts as
+    a number.
+    """
+    ref = _column_kinds(reference, observed).withColumnRenamed("kind", "reference_kind")
+    cur = _column_kinds(current, observed).withColumnRenamed("kind", "current_kind")
     both = ref.join(cur, "column", "full_outer")
     change = (
         F.when(F.col("reference_kind").isNull(), "added")

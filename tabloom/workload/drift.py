@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tabloom.operators import drift as D
 from tabloom.session import shared_folder
 from tabloom.workload.inputs import table
+from tabloom.workload.profile import types_sql
 from tabloom.workload.registry import query
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount"]
@@ -97,18 +98,37 @@ COLUMN_SQL = f"""
   FROM ({categorical_sql(LABELS)}) JOIN ({UNIQUE_SQL}) USING ("column")"""
 
 
+_REF_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+_CUR_SQL = """(SELECT o_orderkey, o_custkey::VARCHAR AS o_custkey, o_orderpriority AS o_totalprice, o_orderpriority,
+    year(o_orderdate) AS o_year FROM orders)"""
+_CUR_COLUMNS = ["o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_year"]
+_NUMERIC = dict.fromkeys(["o_orderkey", "o_custkey", "o_totalprice", "o_year"], "numeric")
+
+
+def _kinds_sql(source: str, columns: list[str], physical: dict[str, str]) -> str:
+    return f"""({types_sql(source, columns, physical)} SELECT "column" AS c,
+      CASE WHEN physical = 'text' THEN inferred_type ELSE physical END AS kind FROM typed)"""
+
+
 @query(
     "dr01_schema_drift",
-    """SELECT * FROM (VALUES ('o_orderkey', 'numeric', 'numeric', 'same'),
-    ('o_custkey', 'numeric', 'text', 'type_changed'), ('o_orderstatus', 'text', NULL, 'removed'),
-    ('o_totalprice', 'numeric', 'numeric', 'same'), ('o_orderdate', 'datetime', 'datetime', 'same'),
-    ('o_orderpriority', 'text', 'text', 'same'), ('o_year', NULL, 'numeric', 'added'))
-    t("column", reference_kind, current_kind, change)""",
+    f"""SELECT coalesce(a.c, b.c) AS "column", a.kind AS reference_kind, b.kind AS current_kind,
+      CASE WHEN a.kind IS NULL THEN 'added' WHEN b.kind IS NULL THEN 'removed' WHEN a.kind <> b.kind THEN 'type_changed'
+        ELSE 'same' END AS change
+    FROM {_kinds_sql('orders', _REF_COLUMNS, _NUMERIC)} a
+    FULL JOIN {_kinds_sql(_CUR_SQL, _CUR_COLUMNS, {"o_orderkey": "numeric", "o_year": "numeric"})} b ON a.c = b.c""",
 )
 def schema_drift(spark, folder):
+    """A price became a label, a key became text, a column went and one came."""
     orders = table(spark, folder, "orders")
-    current = orders.drop("o_orderstatus").withColumn("o_custkey", F.col("o_custkey").cast("string"))
-    return D.schema_drift(orders, current.withColumn("o_year", F.year("o_orderdate")))
+    current = orders.select(
+        "o_orderkey",
+        F.col("o_custkey").cast("string").alias("o_custkey"),
+        F.col("o_orderpriority").alias("o_totalprice"),
+        "o_orderpriority",
+        F.year("o_orderdate").alias("o_year"),
+    )
+    return D.schema_drift(orders.select(*_REF_COLUMNS), current, observed=True)
 
 
 @query(

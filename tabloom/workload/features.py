@@ -11,6 +11,7 @@ from tabloom.workload.inputs import (
     DOCUMENT_LABELS_SQL,
     dirty_documents,
     document_labels,
+    labelled_documents,
     table,
 )
 from tabloom.workload.profile import DIRTY_TYPES
@@ -114,13 +115,13 @@ def minmax(spark, folder):
 
 @query(
     "fe09_one_hot",
-    """WITH l AS (SELECT source, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY source)
-    SELECT doc_id, 'source=' || CASE WHEN n >= 25 THEN d.source ELSE '(infrequent)' END AS feature, 1.0::DOUBLE AS value
+    """WITH l AS (SELECT source, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY source)
+    SELECT doc_id, 'source=' || CASE WHEN n >= 20 THEN d.source ELSE '(infrequent)' END AS feature, 1.0::DOUBLE AS value
     FROM documents d JOIN l ON l.source = d.source""",
 )
 def one_hot(spark, folder):
-    documents = table(spark, folder, "documents")
-    return FE.one_hot(documents.where("doc_id % 2 = 0"), documents, "source", ["doc_id"], 25)
+    labelled = labelled_documents(spark, folder)
+    return FE.one_hot(labelled, table(spark, folder, "documents"), "source", ["doc_id"], 20)
 
 
 @query(

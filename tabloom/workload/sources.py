@@ -32,9 +32,9 @@ def read_csv(spark, folder):
     return S.read_csv(spark, path)
 
 
-@query("io02_validate", "SELECT * FROM region")
+@query("io02_validate", "SELECT * FROM customer")
 def validate(spark, folder):
-    return S.validate(table(spark, folder, "region"))
+    return S.validate(table(spark, folder, "customer"))
 
 
 @query(

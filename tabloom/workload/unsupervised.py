@@ -28,32 +28,34 @@ def knn(spark, folder):
     return N.knn_join(points, points, 5, exclude_self=True)
 
 
-@query("un06_knn_join_pivots", f"WITH {VECTORS_SQL} {near_sql('id % 3 = 0', 'id % 3 <> 0', 4)}")
+@query("un06_knn_join_pivots", f"WITH {VECTORS_SQL} {near_sql('TRUE', 'TRUE', 4)}")
 def knn_pivots(spark, folder):
+    """The same join in many small blocks; a point is its own first neighbour."""
     points = vectors(spark, folder)
-    return N.knn_join(points.where("id % 3 = 0"), points.where("id % 3 <> 0"), 4, block_rows=200, pivots=8)
+    return N.knn_join(points, points, 4, block_rows=200, pivots=8)
 
 
 @query(
     "su09_knn_classify",
-    f"""WITH {VECTORS_SQL}, near AS ({near_sql('id % 5 = 0', 'id % 5 <> 0', 5)}),
+    f"""WITH {VECTORS_SQL}, near AS ({near_sql('TRUE', 'TRUE', 5, 'q.id <> b.id')}),
     votes AS (SELECT query_id, label, count(*) AS n FROM near JOIN v ON v.id = neighbour_id GROUP BY ALL)
     SELECT query_id, label AS predicted FROM votes
     QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, label) = 1""",
 )
 def knn_classify(spark, folder):
+    """Every point from the other points."""
     points = vectors(spark, folder)
-    return N.knn_classify(points.where("id % 5 <> 0"), points.where("id % 5 = 0"), 5)
+    return N.knn_classify(points, points, 5, exclude_self=True)
 
 
 @query(
     "su16_knn_regress",
-    f"""WITH {VECTORS_SQL}, near AS ({near_sql('id % 5 = 0', 'id % 5 <> 0', 5)})
+    f"""WITH {VECTORS_SQL}, near AS ({near_sql('TRUE', 'TRUE', 5, 'q.id <> b.id')})
     SELECT query_id, round(avg(label), 4) AS predicted FROM near JOIN v ON v.id = neighbour_id GROUP BY query_id""",
 )
 def knn_regress(spark, folder):
     points = vectors(spark, folder).withColumn("target", F.col("label").cast("double"))
-    scored = N.knn_regress(points.where("id % 5 <> 0"), points.where("id % 5 = 0"), 5)
+    scored = N.knn_regress(points, points, 5, exclude_self=True)
     return scored.withColumn("predicted", F.round("predicted", 4))
 
 
