@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +14,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.legacy.javaCharsets": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -27,29 +27,22 @@ def get_session(app: str = "tabloom", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to reliable storage, so a lost executor loses no work.
+def _shared_base(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder, else one below the warehouse; both are shared."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tabloom"
+    return base.rstrip("/")
+
 
-    The folder is the cluster's ``spark.checkpoint.dir``.  Only a local session
-    (tests) without that setting gets a scratch folder of its own.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint to reliable storage, so a lost executor loses no work."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="tabloom-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(_shared_base(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder every executor can reach, for tables a job hands on."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        return tempfile.mkdtemp(prefix="tabloom-")
-    return f"{base.rstrip('/')}/tabloom-{uuid.uuid4().hex}"
+    return f"{_shared_base(spark)}/tabloom-{uuid.uuid4().hex}"
