@@ -4,9 +4,9 @@ A document's set holds its distinct 3-word shingles as 64-bit hashes.  Equal set
 one class from the start, so copies never meet each other.  Class representatives are put
 into groups of similar sets (same pair of smallest hashes), and the token-group matrix keeps
 for every group the union of its members' prefix tokens.  Two sets that reach the threshold ``t``
-share a token among the first ``n - ceil(t n) + 1`` of each in any fixed order of tokens, so a
-group is opened to another one only if the matrix has a common token and sizes that can
-reach ``t``.  Within the opened group the bound is applied again to its whole
+share ``SHARED`` tokens among the first ``n - ceil(t n) + SHARED`` of each in any fixed order of tokens
+(or all, if they have fewer), so a group is opened to another one only if their rows of the matrix have
+as many in common and their sizes can reach ``t``.  Within the opened group the bound is applied again to its whole
 token union: a visitor of ``n`` tokens stays only if the union holds ``t n`` of them.  What
 is left is compared exactly, and the links feed connected components.
 
@@ -36,12 +36,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.bloom import block_count, bloom_table, possible
+from tabloom.llm.bloom import block_count, bloom_table, possible, without
 from tabloom.llm.words import spaced_words, stored, utf8
 from tabloom.session import cut_lineage
 
 SHINGLE = 3
 PERCENT = 90
+SHARED = 3  # prefix tokens that two sets over the threshold have in common at least
 OFTEN = 3
 FREQUENT = 1 << 18
 BLOCK_TOKENS = 1 << 21
@@ -120,7 +121,7 @@ def _signatures(documents: DataFrame, doc_id: str, text: str, percent: int, freq
                 sizes.append(n)
                 keys.append(xxhash.xxh3_128_digest(tokens.tobytes()))
                 homes.append(xxhash.xxh3_64_intdigest(np.array(pair, np.uint64).tobytes()) - (1 << 63))
-                first = n - least_overlap(n, percent) + 1 if n else 0
+                first = n - least_overlap(n, percent) + SHARED if n else 0
                 prefixes.append(tokens[np.argsort(rank, kind="stable")[:first]].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(homes, pa.int64()),
@@ -132,20 +133,42 @@ def _signatures(documents: DataFrame, doc_id: str, text: str, percent: int, freq
     return rows.mapInArrow(sign, "doc_id bigint, text_key bigint, n bigint, key binary, home bigint, prefix array<bigint>")
 
 
-def _visits(sets: DataFrame, percent: int) -> DataFrame:
-    """(block, other, lo, hi …) pairs of blocks, the smaller one visiting the larger ``home``."""
-    matrix = (
-        sets.select("block", "size", "n", F.explode("prefix").alias("token"))
-        .groupBy("token", "block", "size").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    )
-    left, right = (
-        matrix.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("block", "size", "lo", "hi")]) for side in "ab"
-    )
-    larger = F.struct(F.col("size_a"), F.col("block_a")) > F.struct(F.col("size_b"), F.col("block_b"))
+def _matrix(signed: DataFrame) -> DataFrame:
+    """The token-group matrix as (token, home): prefix tokens of all members, each once.
+
+    Repeats are dropped inside each batch first, so copies and large groups shuffle a few rows.
+    """
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            homes = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sizes)
+            order = np.lexsort((homes, tokens))
+            tokens, homes = tokens[order], homes[order]
+            new = np.ones(len(tokens), bool)
+            new[1:] = (tokens[1:] != tokens[:-1]) | (homes[1:] != homes[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[new]), pa.array(homes[new])], names=["token", "home"])
+
+    rows = signed.where("n > 0").select("home", "prefix").mapInArrow(distinct, "token bigint, home bigint")
+    return rows.repartition("token").dropDuplicates(["token", "home"])
+
+
+def _visits(signed: DataFrame, homes: DataFrame, percent: int) -> DataFrame:
+    """(home, visitor): groups that may hold linked sets, the smaller one visiting the larger."""
+    matrix = _matrix(signed)
+    left, right = (matrix.select("token", F.col("home").alias(f"home_{side}")) for side in "ab")
+    shared = left.join(right, "token").where("home_a < home_b").groupBy("home_a", "home_b").agg(F.count("*").alias("shared"))
+    facts = ["home", "size", "lo", "hi"]
+    for side in "ab":
+        shared = shared.join(homes.select(*[F.col(c).alias(f"{c}_{side}") for c in facts]), f"home_{side}")
     fits = (100 * F.col("hi_a") >= percent * F.col("lo_b")) & (100 * F.col("hi_b") >= percent * F.col("lo_a"))
-    opened = left.join(right, "token").where(larger & fits)
-    # Blocks of one group share their group key, not always a prefix token of one size.
-    return opened.select(F.col("block_a").alias("block"), F.col("block_b").alias("visitor")).distinct()
+    enough = F.col("shared") >= F.least(F.lit(SHARED), "lo_a", "lo_b")
+    larger = F.struct(F.col("size_a"), F.col("home_a")) > F.struct(F.col("size_b"), F.col("home_b"))
+    return shared.where(fits & enough).select(
+        F.when(larger, F.col("home_a")).otherwise(F.col("home_b")).alias("home"),
+        F.when(larger, F.col("home_b")).otherwise(F.col("home_a")).alias("visitor"),
+    )
 
 
 def link_block(tokens: list[np.ndarray], members: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -196,20 +219,26 @@ def link_block(tokens: list[np.ndarray], members: np.ndarray, percent: int) -> l
     return links
 
 
-def _links(documents: DataFrame, sets: DataFrame, visits: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
+def _links(
+    documents: DataFrame, sets: DataFrame, homes: DataFrame, visits: DataFrame, doc_id: str, text: str, percent: int
+) -> DataFrame:
     """(a, b) content keys: one link for every set a block reaches."""
-    guests = visits.join(sets.select(F.col("block").alias("visitor"), "key", "rep", "n"), "visitor").select(
-        "block", "key", "rep", "n", F.lit(False).alias("member")
+    blocks_of = homes.select("home", "blocks")
+    coming = visits.join(sets.select(F.col("home").alias("visitor"), "key", "rep", "n"), "visitor").join(blocks_of, "home")
+    coming = coming.select("home", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "key", "rep", "n")
+    # Blocks of one group visit those before them.
+    inner = sets.where("block > 0").select(
+        "home", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("block"), "key", "rep", "n"
     )
-    guests = stored(guests, "visitors")
-    lots = guests.groupBy("block").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("lots"))
-    guests = guests.join(lots, "block").select(
-        "block", F.pmod(F.xxhash64("key"), F.col("lots")).cast("int").alias("lot"), "key", "rep", "member"
+    guests = stored(coming.unionByName(inner), "visitors")
+    lots = guests.groupBy("home", "block").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("lots"))
+    guests = guests.join(lots, ["home", "block"]).select(
+        "home", "block", F.pmod(F.xxhash64("key"), F.col("lots")).cast("int").alias("lot"), "key", "rep",
+        F.lit(False).alias("member"),
     )
-    hosts = (
-        sets.join(lots, "block", "left").where((F.col("size") > 1) | F.col("lots").isNotNull())
-        .select("block", F.explode(F.sequence(F.lit(0), F.coalesce("lots", F.lit(1)) - 1)).alias("lot"), "key", "rep",
-                F.lit(True).alias("member"))
+    hosts = sets.join(lots, ["home", "block"], "left").where((F.col("size") > 1) | F.col("lots").isNotNull()).select(
+        "home", "block", F.explode(F.sequence(F.lit(0), F.coalesce("lots", F.lit(1)) - 1)).alias("lot"), "key", "rep",
+        F.lit(True).alias("member"),
     )
     work = stored(hosts.unionByName(guests), "work")
     needed = work.select("key", "rep").distinct()
@@ -238,8 +267,8 @@ def _links(documents: DataFrame, sets: DataFrame, visits: DataFrame, doc_id: str
         return pd.DataFrame({"a": [keys[i] for i, _ in found], "b": [keys[j] for _, j in found]}, columns=["a", "b"])
 
     return (
-        work.join(tokens, ["key", "rep"]).select("block", "lot", "member", "key", "tokens")
-        .groupBy("block", "lot").applyInPandas(link, "a binary, b binary")
+        work.join(tokens, ["key", "rep"]).select("home", "block", "lot", "member", "key", "tokens")
+        .groupBy("home", "block", "lot").applyInPandas(link, "a binary, b binary")
     )
 
 
@@ -275,18 +304,19 @@ def join_classes(
     """(doc_id, text_key, n_shingles, component_id) of every row; ``text_key`` hashes the text."""
     frequent = _frequent(documents, text, FREQUENT)
     signed = stored(_signatures(documents, doc_id, text, percent, frequent), "signatures")
-    classes = stored(
-        signed.groupBy("key", "n", "home").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")), "classes"
-    )
-    sizes = classes.where("n > 0").groupBy("home").agg(F.count("*").alias("size"), F.sum("n").alias("tokens"))
-    salt = F.pmod(F.xxhash64("key"), F.ceil(F.col("tokens") / BLOCK_TOKENS))
-    sets = (
-        classes.where("n > 0 AND rep IS NOT NULL").join(sizes, "home")
-        .select("key", "rep", "n", "prefix", "size", F.struct("home", salt.alias("salt")).alias("block"))
+    classes = stored(signed.groupBy("key", "n", "home").agg(F.min("doc_id").alias("rep")), "classes")
+    known = classes.where("n > 0 AND rep IS NOT NULL")
+    homes = stored(
+        known.groupBy("home").agg(
+            F.count("*").alias("size"), F.min("n").alias("lo"), F.max("n").alias("hi"),
+            F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"),
+        ),
+        "homes",
     )
-    sets = stored(sets, "sets")
-    visits = stored(_visits(sets, percent), "visits")
-    roots = components(_links(documents, sets, visits, doc_id, text, percent))
+    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    sets = stored(known.join(homes.select("home", "size", "blocks"), "home").withColumn("block", block).drop("blocks"), "sets")
+    visits = _visits(signed, homes, percent)
+    roots = components(_links(documents, sets, homes, visits, doc_id, text, percent))
     named = classes.select("key", "rep").join(roots.withColumnRenamed("node", "key"), "key", "left")
     named = named.withColumn("root", F.coalesce("root", "key"))
     labels = named.groupBy("root").agg(F.min("rep").alias("component_id"))

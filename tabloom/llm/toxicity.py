@@ -3,8 +3,8 @@
 Grades are 0 … K-1.  P(grade <= k) = sigmoid(theta_k - w.x) with one weight vector
 ``w`` for all thresholds ``theta_0 < theta_1 < …``; the expected severity is the sum
 of P(grade > k).  ``x`` holds log(1 + count) of the words in a vocabulary that is
-learnt from the labels: words whose document counts differ between grade 0 and
-the rest by at least ``MIN_ASSOCIATION`` (chi-square), at most ``VOCABULARY`` of them.
+learnt from the labels: words that stand more often in documents above grade 0, by at least
+``MIN_ASSOCIATION`` (chi-square), at most ``VOCABULARY`` of them; a text without any gets the base rate.
 
 Fitting uses at most ``FIT_ROWS`` labelled documents (those with the smallest hash of
 their id), a documented bound; every document is scored on its whole text.
@@ -82,7 +82,8 @@ def _vocabulary(sample: DataFrame, size: int, least: float) -> tuple[dict[bytes,
     spread = F.col("n") * (total - F.col("n")) * above * (total - above)
     chi = F.try_divide(total * F.pow(F.col("a") * total - F.col("n") * above, 2), spread)
     best = (
-        words_.where(F.col("n") >= MIN_DOCUMENTS).withColumn("chi", chi).where(F.col("chi") >= least)
+        words_.where((F.col("n") >= MIN_DOCUMENTS) & (F.col("a") * total > F.col("n") * above))
+        .withColumn("chi", chi).where(F.col("chi") >= least)
         .orderBy(F.desc("chi"), "word").limit(size).collect()
     )
     return {bytes(r.word): i for i, r in enumerate(best)}, counts
