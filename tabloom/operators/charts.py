@@ -26,12 +26,8 @@ from tabloom.plans.ordering import evenly_spaced
 from tabloom.plans.quantiles import long_quantiles
 
 # How much of each kind a chart shows.
-HEATMAP_COLUMNS = 18
-OUTLIER_POINTS = 300
-WIDEST_AUTO_BINS = 20
 FALLBACK_BINS = 12
 FIXED_BINS = 10
-CHARTS_PER_FAMILY = 3
 
 
 def _number(df: DataFrame, column: str) -> Column:
@@ -52,16 +48,17 @@ def missing_bar(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
 
 def missing_heatmap(
-    df: DataFrame, order_by: Sequence[str], n: int = 80, columns: Sequence[str] | None = None
+    df: DataFrame, order_by: Sequence[str], n: int = 80, columns: Sequence[str] | None = None,
+    most_columns: int | None = None,
 ) -> DataFrame:
-    """(row_index, column, is_missing) on evenly spaced rows and columns with gaps."""
+    """(row_index, column, is_missing) on evenly spaced rows and (the first) columns with gaps."""
     names = list(columns or df.columns)
     gaps = (
         missing_by_column(df, names)
         .where(F.col("missing_count") > 0)
         .join(F.broadcast(schema_table(df, names)), "column")
         .orderBy("position")
-        .limit(HEATMAP_COLUMNS)
+        .limit(len(names) if most_columns is None else most_columns)
         .select("column")
     )
     sample = evenly_spaced(df, n, order_by)
@@ -136,19 +133,17 @@ def box_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def box_outliers(
-    df: DataFrame, columns: Sequence[str], order_by: Sequence[str], limit: int = OUTLIER_POINTS
+    df: DataFrame, columns: Sequence[str], order_by: Sequence[str], limit: int | None = None
 ) -> DataFrame:
-    """The first outlier points of a box chart in row order."""
+    """The outlier points of a box chart in row order, all or the first ``limit``."""
     long = numeric_long(df, columns, keep=order_by)
     bounds = eda.fences(long.select("column", "value"))
     v = F.col("value")
     outside = (v < F.col("lower")) | (v > F.col("upper"))
     position = F.array_position(F.array(*map(F.lit, columns)), F.col("column"))
+    points = long.join(F.broadcast(bounds), "column").where(outside).orderBy(position, *order_by)
     return (
-        long.join(F.broadcast(bounds), "column")
-        .where(outside)
-        .orderBy(position, *order_by)
-        .limit(limit)
+        (points if limit is None else points.limit(limit))
         .select("column", *order_by, rounded(v).alias("value"))
     )
 
@@ -200,9 +195,9 @@ def _values(df: DataFrame, column: str) -> DataFrame:
     return df.select(_number(df, column).alias("v")).where(F.col("v").isNotNull())
 
 
-def histogram_auto(df: DataFrame, column: str) -> DataFrame:
-    """Bin width is the smaller of Sturges and Freedman–Diaconis; more than
-    twenty bins become twelve."""
+def histogram_auto(df: DataFrame, column: str, most_bins: int | None = None) -> DataFrame:
+    """Bin width is the smaller of Sturges and Freedman–Diaconis; if that makes more
+    than ``most_bins`` bins, there are twelve."""
     values = _values(df, column)
     quartiles = long_quantiles(
         values.select(F.lit("c").alias("column"), F.col("v").alias("value")), [0.25, 0.75]
@@ -219,7 +214,8 @@ def histogram_auto(df: DataFrame, column: str) -> DataFrame:
     shape = size.crossJoin(F.broadcast(quartiles)).where(ptp > 0).select(
         "lo",
         "hi",
-        F.when(wanted > WIDEST_AUTO_BINS, F.lit(FALLBACK_BINS)).otherwise(wanted).cast("long").alias("bins"),
+        (wanted if most_bins is None else F.when(wanted > most_bins, F.lit(FALLBACK_BINS)).otherwise(wanted))
+        .cast("long").alias("bins"),
     )
     return _bin_counts(values, shape)
 
@@ -264,11 +260,13 @@ def category_bar(df: DataFrame, column: str, n: int = 12) -> DataFrame:
     return shown.unionByName(other)
 
 
-def top_categories(df: DataFrame, column: str, n: int = 10, most_unique: int = 20) -> DataFrame:
-    """Top values of a column with few distinct values; nothing otherwise."""
+def top_categories(df: DataFrame, column: str, n: int = 10, most_unique: int | None = None) -> DataFrame:
+    """Top values of a column; with ``most_unique``, nothing if it has more distinct values."""
     counts = df.groupBy(_label(df, column).alias("label")).agg(F.count("*").alias("count"))
-    few = counts.limit(most_unique + 1).agg((F.count("*") <= most_unique).alias("few"))
     top = counts.orderBy(F.desc("count"), "label").limit(n)
+    if most_unique is None:
+        return top
+    few = counts.limit(most_unique + 1).agg((F.count("*") <= most_unique).alias("few"))
     return top.crossJoin(F.broadcast(few)).where("few").select("label", "count")
 
 
@@ -425,7 +423,7 @@ def chart(df: DataFrame, spec: ChartSpec, order_by: Sequence[str] = ()) -> DataF
         return daily_mean(df, need(spec.x, "datetime"), need(spec.y, "numeric"))
     if kind == "correlation_heatmap":
         names = [need(c, "numeric") for c in (spec.x, spec.y) if c]
-        return correlation_cells(df, names or eda.analysed_columns(df)[:12])
+        return correlation_cells(df, names or eda.analysed_columns(df))
     if kind == "feature_target":
         target = need(spec.target)
         x = need(spec.x)
@@ -438,9 +436,13 @@ def chart(df: DataFrame, spec: ChartSpec, order_by: Sequence[str] = ()) -> DataF
     raise ChartError(f"unknown chart type: {kind}")
 
 
-def recommend_charts(profile: DataFrame) -> DataFrame:
+def recommend_charts(
+    profile: DataFrame, per_family: int | None = None, heatmap_columns: int | None = None,
+    correlated: int | None = None, boxes: int | None = None,
+) -> DataFrame:
     """(chart, family, priority, columns) that apply to a profiled table.
 
+    The limits keep the first columns of a chart family; by default all are kept.
     The profile has one row per column of the table, so its windows are small.
     """
     role = F.col("semantic_role")
@@ -450,8 +452,9 @@ def recommend_charts(profile: DataFrame) -> DataFrame:
     categorical = usable.where(feature & F.col("inferred_type").isin("categorical", "boolean"))
     by_position = Window.orderBy("position")
 
-    def first(rows: DataFrame, k: int) -> DataFrame:
-        return rows.withColumn("r", F.row_number().over(by_position)).where(F.col("r") <= k)
+    def first(rows: DataFrame, k: int | None) -> DataFrame:
+        numbered = rows.withColumn("r", F.row_number().over(by_position))
+        return numbered if k is None else numbered.where(F.col("r") <= k)
 
     def joined() -> Column:
         listed = F.array_sort(F.collect_list(F.struct("position", "column")))
@@ -466,7 +469,7 @@ def recommend_charts(profile: DataFrame) -> DataFrame:
         )
 
     def each(rows: DataFrame, name: str, family: str, priority: int) -> DataFrame:
-        return first(rows, CHARTS_PER_FAMILY).select(
+        return first(rows, per_family).select(
             F.lit(name).alias("chart"), F.lit(family).alias("family"),
             (F.col("r") - 1 + priority).cast("int").alias("priority"), F.col("column").alias("columns"),
         )
@@ -482,9 +485,9 @@ def recommend_charts(profile: DataFrame) -> DataFrame:
     ).where(F.col("d").isNotNull() & F.col("v").isNotNull())
     parts = [
         whole(gaps, "missing_bar", "quality", 10, 1),
-        whole(first(gaps, HEATMAP_COLUMNS), "missing_heatmap", "quality", 11, 1),
-        whole(first(numeric, 12), "correlation_heatmap", "relationship", 20, 2),
-        whole(first(numeric, 6), "box_overview", "distribution", 30, 1),
+        whole(first(gaps, heatmap_columns), "missing_heatmap", "quality", 11, 1),
+        whole(first(numeric, correlated), "correlation_heatmap", "relationship", 20, 2),
+        whole(first(numeric, boxes), "box_overview", "distribution", 30, 1),
         each(numeric, "histogram", "distribution", 40),
         each(categorical, "category_bar", "category", 50),
         whole(target, "target_distribution", "target", 60, 1),

@@ -233,9 +233,9 @@ def _numbers(reference: DataFrame, current: DataFrame, columns: Sequence[str]) -
     )
 
 
-def _ks_from(numbers: DataFrame, one_task: bool | None = None) -> DataFrame:
+def _ks_from(numbers: DataFrame, pieces: int | None = None) -> DataFrame:
     summed = running_totals(
-        numbers, "number", {"ref_to": F.col("ref"), "cur_to": F.col("cur")}, ["column"], one_task
+        numbers, "number", {"ref_to": F.col("ref"), "cur_to": F.col("cur")}, ["column"], pieces
     )
     totals = numbers.groupBy("column").agg(F.sum("ref").alias("R"), F.sum("cur").alias("C"))
     gap = F.abs(
@@ -250,10 +250,10 @@ def _ks_from(numbers: DataFrame, one_task: bool | None = None) -> DataFrame:
 
 
 def ks(
-    reference: DataFrame, current: DataFrame, columns: Sequence[str], one_task: bool | None = None
+    reference: DataFrame, current: DataFrame, columns: Sequence[str], pieces: int | None = None
 ) -> DataFrame:
     """Largest gap of the two distribution functions, over distinct values."""
-    return _ks_from(_numbers(reference, current, columns), one_task)
+    return _ks_from(_numbers(reference, current, columns), pieces)
 
 
 def mean_shift(reference: DataFrame, current: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -20,21 +20,14 @@ from tabloom.session import cut_lineage
 
 # Most rows, background rows, repeats and features shown.
 SAMPLE_ROWS = 200
-BACKGROUND_ROWS = 100
-REPEATS = 20
 TOP_FEATURES = 15
 
 
 def calibration(
-    scored: DataFrame, score: str, positive: Column, bins: int | None = None
+    scored: DataFrame, score: str, positive: Column, bins: int = 10
 ) -> DataFrame:
-    """(bin, mean_predicted, fraction_positive, count) over quantile bins.
-
-    The default is a fifth of the rows, within three to ten; empty bins drop out.
-    """
+    """(bin, mean_predicted, fraction_positive, count) over quantile bins; empty ones drop out."""
     pairs = scored.select(quoted(score).cast("double").alias("p"), positive.cast("double").alias("y"))
-    if bins is None:
-        bins = min(10, max(3, pairs.limit(50).count() // 5))
     q = long_quantiles(
         numeric_long(pairs, ["p"]), [i / bins for i in range(bins + 1)]
     ).select("q")
@@ -126,7 +119,6 @@ def permutation_importance(
     seed: int = 42,
 ) -> DataFrame:
     """(feature, importance_mean, importance_std): drop of macro-F1 or of −RMSE."""
-    repeats = min(repeats, REPEATS)
     names = list(columns)
     rows = cut_lineage(df.select(*dict.fromkeys([*key, *names, actual])))
     measure = M.classification_metrics if task == "classification" else M.regression_metrics
@@ -209,21 +201,21 @@ def sampled_shapley(
     samples: int = 20,
     output: Column | None = None,
     seed: int = 42,
+    background_rows: int | None = None,
 ) -> DataFrame:
     """(key…, feature, source_column, contribution, base_value) for any model.
 
     Monte-Carlo Shapley values: each sample walks from a background row to the
     explained row in a random feature order; all steps are scored in one batch.
-    Per row the contributions add up to prediction − base value.
+    Per row the contributions add up to prediction − base value.  ``background_rows``
+    draws a sample of the background; by default all of it takes part.
     """
     names = list(columns)
     d = len(names)
-    one_task = Window.orderBy(F.xxhash64(F.lit(seed), *key), *key)
-    bounded = sample_rows(background, key, BACKGROUND_ROWS, seed)  # at most a hundred rows
-    reference = bounded.select(
-        (F.row_number().over(one_task) - 1).alias("_b"), F.struct(*[quoted(c) for c in names]).alias("_bg")
-    )
-    reference = cut_lineage(reference)
+    if background_rows is not None:
+        background = sample_rows(background, key, background_rows, seed)
+    numbered = hash_position(background.select(*dict.fromkeys([*key, *names])), seed, key)
+    reference = cut_lineage(numbered.select(F.col("_pos").alias("_b"), F.struct(*[quoted(c) for c in names]).alias("_bg")))
     size = reference.count()
     ordered = F.array_sort(
         F.array(*[F.struct(F.xxhash64(F.lit(seed), *key, "t", F.lit(j)).alias("h"), F.lit(j).alias("j")) for j in range(d)])
@@ -231,9 +223,9 @@ def sampled_shapley(
     walks = (
         rows.select(*key, *[quoted(c) for c in names if c not in key])
         .withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-        .withColumn("_b", F.pmod(F.xxhash64(F.lit(seed + 1), *key, "t"), F.lit(size)).cast("int"))
+        .withColumn("_b", F.pmod(F.xxhash64(F.lit(seed + 1), *key, "t"), F.lit(size)))
         .withColumn("_order", F.transform(ordered, lambda s: s["j"]))
-        .join(F.broadcast(reference), "_b")
+        .join(reference, "_b")
         .withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(d))))
     )
     mixed = {

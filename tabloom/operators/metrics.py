@@ -122,12 +122,12 @@ def score_counts(
 
 
 def _cumulated(
-    scored: DataFrame, score: str, positive: Column, by: Sequence[str], one_task: bool | None
+    scored: DataFrame, score: str, positive: Column, by: Sequence[str], pieces: int | None
 ) -> DataFrame:
     """Distinct scores with the positives and negatives at or above each."""
     counts = score_counts(scored, score, positive, by)
     summed = running_totals(
-        counts, "score", {"pos_to": F.col("pos"), "neg_to": F.col("neg")}, by, one_task
+        counts, "score", {"pos_to": F.col("pos"), "neg_to": F.col("neg")}, by, pieces
     )
     totals = counts.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     joined = (
@@ -143,10 +143,10 @@ def roc_auc(
     score: str,
     positive: Column,
     by: Sequence[str] = (),
-    one_task: bool | None = None,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Rank-sum area under the curve; a tie counts one half."""
-    points = _cumulated(scored, score, positive, by, one_task)
+    points = _cumulated(scored, score, positive, by, pieces)
     below = F.col("neg_to") - F.col("neg")
     wins = F.sum(F.col("pos").cast("double") * (below + F.col("neg") / 2))
     size = F.max("P").cast("double") * F.max("N")
@@ -177,10 +177,10 @@ def roc_auc_weighted(
 
 
 def roc_curve(
-    scored: DataFrame, score: str, positive: Column, one_task: bool | None = None
+    scored: DataFrame, score: str, positive: Column, pieces: int | None = None
 ) -> DataFrame:
     """One point per distinct score, from the highest down, and the origin."""
-    points = _cumulated(scored, score, positive, [], one_task)
+    points = _cumulated(scored, score, positive, [], pieces)
     curve = points.select(
         F.col("score").alias("threshold"),
         rounded(F.col("fp") / F.nullif(F.col("N"), F.lit(0)), 6).alias("fpr"),
@@ -193,9 +193,9 @@ def roc_curve(
 
 
 def pr_curve(
-    scored: DataFrame, score: str, positive: Column, one_task: bool | None = None
+    scored: DataFrame, score: str, positive: Column, pieces: int | None = None
 ) -> DataFrame:
-    points = _cumulated(scored, score, positive, [], one_task)
+    points = _cumulated(scored, score, positive, [], pieces)
     return points.select(
         F.col("score").alias("threshold"),
         rounded(F.col("tp") / (F.col("tp") + F.col("fp")), 6).alias("precision"),
@@ -204,24 +204,24 @@ def pr_curve(
 
 
 def average_precision(
-    scored: DataFrame, score: str, positive: Column, one_task: bool | None = None
+    scored: DataFrame, score: str, positive: Column, pieces: int | None = None
 ) -> DataFrame:
     """Sum of precision times recall gain; the gain at a score is pos / P."""
-    points = _cumulated(scored, score, positive, [], one_task)
+    points = _cumulated(scored, score, positive, [], pieces)
     precision = F.col("tp") / (F.col("tp") + F.col("fp"))
     gain = F.col("pos") / F.nullif(F.col("P"), F.lit(0))
     return points.agg(rounded(F.sum(precision * gain)).alias("average_precision"))
 
 
 def auc(
-    scored: DataFrame, score: str, positive: Column, one_task: bool | None = None
+    scored: DataFrame, score: str, positive: Column, pieces: int | None = None
 ) -> DataFrame:
     """Trapezoid area of the ROC curve.
 
     Each distinct score is one segment of width neg/N that starts at the true
     positive rate of the higher scores, so no neighbour has to be looked up.
     """
-    points = _cumulated(scored, score, positive, [], one_task)
+    points = _cumulated(scored, score, positive, [], pieces)
     width = F.col("neg") / F.nullif(F.col("N"), F.lit(0))
     height = (2 * F.col("tp") - F.col("pos")) / (2 * F.nullif(F.col("P"), F.lit(0)))
     return points.agg(rounded(F.sum(width * height)).alias("auc"))

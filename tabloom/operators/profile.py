@@ -46,7 +46,6 @@ IDENTIFIER_SUFFIXES = ["_id", "_uuid", "_guid"]
 # Thresholds of the type decision.
 NUMERIC_SHARE = 0.9
 DATE_SHARE = 0.8
-DATE_SAMPLE = 100
 CATEGORY_UNIQUES = 30
 CATEGORY_RATIO = 0.35
 TEXT_LENGTH = 40.0
@@ -154,9 +153,6 @@ def column_facts(
     """
     names = list(columns or df.columns)
     facts = _sketched_facts(df, names) if approximate else _counted_facts(df, names)
-    if order_by:
-        sampled = _date_sample_facts(df, names, order_by)
-        facts = facts.drop("date_like", "date_share").join(F.broadcast(sampled), "column", "left")
     return schema_table(df, names).join(F.broadcast(facts), "column", "left")
 
 
@@ -231,26 +227,13 @@ def _first_values(
     return long.withColumn("rank", rank).where(F.col("rank") <= k).drop("_key")
 
 
-def _date_sample_facts(
-    df: DataFrame, columns: Sequence[str], order_by: Sequence[str]
-) -> DataFrame:
-    value = F.col("value")
-    return (
-        _first_values(df, columns, order_by, DATE_SAMPLE)
-        .groupBy("column")
-        .agg(
-            F.max(dates.looks_like_date(value)).alias("date_like"),
-            F.avg(dates.parse_timestamp(value).isNotNull().cast("double")).alias("date_share"),
-        )
-    )
-
-
-def detect_datetime(df: DataFrame, columns: Sequence[str], order_by: Sequence[str]) -> DataFrame:
-    """Date detection on the first hundred non-missing values of each column."""
-    return _date_sample_facts(df, columns, order_by).select(
-        "column",
-        rounded(F.col("date_share")).alias("parse_ratio"),
-        (F.col("date_like") & (F.col("date_share") >= DATE_SHARE)).alias("is_datetime"),
+def detect_datetime(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Date detection on all non-missing values of each column."""
+    counts = value_counts_long(df, columns).where(F.col("value").isNotNull())
+    _, like, parses = _value_tests(F.col("value"))
+    share = F.sum(F.when(parses, F.col("cnt")).otherwise(0)) / F.sum("cnt")
+    return counts.groupBy("column").agg(
+        rounded(share).alias("parse_ratio"), (F.max(like) & (share >= DATE_SHARE)).alias("is_datetime")
     )
 
 

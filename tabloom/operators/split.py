@@ -15,6 +15,7 @@ from tabloom.functions.values import quoted
 from tabloom.plans.ordering import hash_position
 
 SEED = 42
+SALTS = 32
 
 
 def _group(df: DataFrame, label: str | None, least: int) -> DataFrame:
@@ -49,7 +50,10 @@ def split(
         sizes = sizes.crossJoin(F.broadcast(classes))
         quota = F.when(F.col("_g") == "all", F.greatest(quota, F.col("_k"))).otherwise(quota)
     sizes = sizes.select("_g", F.least(quota, F.col("_n") - 1).alias("_q"))
-    return placed.join(sizes, "_g").select(
+    # A hot class is dealt out over many tasks; its one row of sizes is copied to each.
+    salted = placed.withColumn("_salt", F.pmod("_pos", F.lit(SALTS)).cast("int"))
+    copies = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, ["_g", "_salt"]).select(
         *[quoted(c) for c in df.columns], (F.col("_pos") < F.col("_q")).alias("is_test")
     )
 

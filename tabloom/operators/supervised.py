@@ -18,6 +18,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.feature import IndexToString, StringIndexer
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
     GBTRegressor,
     LinearRegression,
@@ -35,6 +36,7 @@ from tabloom.operators.features import (
     feature_names,
     source_column,
 )
+from tabloom.operators.neighbours import knn_classify, knn_regress
 from tabloom.operators.split import SEED, assign_folds, split
 from tabloom.session import cut_lineage
 
@@ -91,6 +93,14 @@ REGRESSORS: dict[str, Callable[[LabelStats, int], Estimator]] = {
     "gbt_regressor": lambda s, seed: GBTRegressor(maxIter=120, maxDepth=3, stepSize=0.1, seed=seed),
     "robust_regression": lambda s, seed: LinearRegression(loss="huber", maxIter=200),
 }
+# An experiment's settings where they differ from a baseline run's.
+EXPERIMENT_PARAMS: dict[str, dict[str, Any]] = {
+    "logistic_regression": {"maxIter": 2000},
+    "lasso_regression": {"maxIter": 5000},
+    "random_forest_classifier": {"numTrees": 200},
+    "random_forest_regressor": {"numTrees": 200},
+}
+NEIGHBOURS = 5
 WEIGHTED = {"logistic_regression", "random_forest_classifier", "linear_svm", "gbt_classifier"}
 
 
@@ -164,6 +174,8 @@ def fit_model(
     ``params`` override settings of the model (of each part, one-versus-rest).
     """
     known = CLASSIFIERS if task == "classification" else REGRESSORS
+    if name == NEIGHBOUR_MODELS[task]:
+        return NeighbourModel(prepared, task, **(params or {}))
     if name not in known:
         raise TrainingError(f"unknown {task} model: {name}")
     if task == "classification" and len(prepared.labels) < 2:
@@ -180,6 +192,56 @@ def fit_model(
     return PipelineModel(stages=stages)
 
 
+NEIGHBOUR_MODELS = {"classification": "knn_classifier", "regression": "knn_regressor"}
+
+
+class NeighbourModel:
+    """The k nearest training rows decide; used like a fitted pipeline.
+
+    Equal feature vectors get equal answers, so each distinct one is looked up once.
+    """
+
+    def __init__(self, prepared: Prepared, task: str, k: int = NEIGHBOURS):
+        self.preprocessor, self.task, self.k = prepared.preprocessor, task, k
+        label = "label" if task == "classification" else "target"
+        value = F.col("label")
+        if task == "classification":
+            value = F.element_at(F.array(*map(F.lit, prepared.labels)), F.col("label").cast("int") + 1)
+        # The prepared rows are a checkpoint, so their numbers stay the same.
+        self.rows = prepared.rows.select(
+            F.monotonically_increasing_id().alias("id"), vector_to_array("features").alias("vec"), value.alias(label)
+        )
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        ready = self.preprocessor.transform(df).withColumn("_vec", vector_to_array("features"))
+        ready = ready.withColumn("_vector", F.xxhash64("_vec"))
+        asked = cut_lineage(ready.select(F.col("_vector").alias("id"), F.col("_vec").alias("vec")).dropDuplicates(["id"]))
+        find = knn_classify if self.task == "classification" else knn_regress
+        found = find(self.rows, asked, self.k).withColumnRenamed("query_id", "_vector")
+        return ready.join(found, "_vector", "left").drop("_vector", "_vec")
+
+
+def save_run(run: TrainingRun, root: str, run_id: str, dataset_id: str) -> None:
+    """Keep a run: its pipelines, one row per model and one row of the experiment.
+
+    Neighbour models hold their training rows and are not saved; their row has no path.
+    """
+    kept = {name: f"{root}/pipelines/{run_id}/{name}" for name, p in run.pipelines.items() if isinstance(p, PipelineModel)}
+    for name, path in kept.items():
+        run.pipelines[name].write().overwrite().save(path)
+    spark = run.results.sparkSession
+    paths = spark.createDataFrame([(n, p) for n, p in kept.items()], "model string, path string")
+    stamped = run.results.join(F.broadcast(paths), "model", "left").select(  # one row per model
+        F.concat_ws("-", F.lit(run_id), "model").alias("model_id"), F.lit(run_id).alias("experiment_id"),
+        F.lit(dataset_id).alias("dataset_id"), "*", F.lit("candidate").alias("stage"), F.current_timestamp().alias("created_at"),
+    )
+    stamped.write.mode("append").parquet(f"{root}/models")
+    spark.createDataFrame(
+        [(run_id, dataset_id, run.task, run.best, len(run.pipelines))],
+        "experiment_id string, dataset_id string, task string, best_model string, model_count int",
+    ).withColumn("created_at", F.current_timestamp()).write.mode("append").parquet(f"{root}/experiments")
+
+
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Adds ``predicted`` (a label, or a number)."""
     scored = model.transform(df)
@@ -193,6 +255,20 @@ def _metrics(scored: DataFrame, task: str, by: Sequence[str] = ()) -> DataFrame:
     return measure(scored, "_y", "predicted", by)
 
 
+def _area(scored: DataFrame, labels: Sequence[str]) -> float | None:
+    """ROC AUC of the second class, or the weighted one-versus-rest mean; None without scores."""
+    name = next((c for c in ("probability", "rawPrediction") if c in scored.columns), None)
+    if name is None or len(labels) < 2:
+        return None
+    values = vector_to_array(name)
+    if len(labels) == 2:
+        rows = scored.select("_y", values[1].alias("_s"))
+        return M.roc_auc(rows, "_s", F.col("_y") == labels[1]).first()["roc_auc"]
+    columns = {f"_s{i}": values[i] for i in range(len(labels))}
+    rows = scored.select("_y", *[v.alias(c) for c, v in columns.items()])
+    return M.roc_auc_weighted(rows, list(zip(columns, labels, strict=True)), "_y").first()["roc_auc"]
+
+
 def _metric_names(task: str) -> list[str]:
     return M.CLASSIFICATION if task == "classification" else M.REGRESSION
 
@@ -212,15 +288,32 @@ def cross_validate(
 
     Each fold fits on the others; all held-out rows are measured in one job.
     """
+    return _measure_folds(prepare_folds(df, target, task, config, key, folds, weights, seed), task, model, seed)
+
+
+def prepare_folds(
+    df: DataFrame, target: str, task: str, config: FeatureConfig, key: Sequence[str], folds: int = 5,
+    weights: str = "none", seed: int = SEED,
+) -> list[tuple[Prepared, DataFrame]]:
+    """Per fold the prepared rows of the others and its own rows; any model can be fitted on them."""
     rows = labelled_rows(df, target, task)
     placed = cut_lineage(
         assign_folds(rows, key, folds, "_y" if task == "classification" else None, seed)
     )
     count = placed.agg(F.max("fold").alias("k")).first()["k"] + 1
+    return [
+        (prepare(placed.where(F.col("fold") != fold), config, task, weights), placed.where(F.col("fold") == fold))
+        for fold in range(count)
+    ]
+
+
+def _measure_folds(
+    prepared: Sequence[tuple[Prepared, DataFrame]], task: str, model: str, seed: int,
+    params: Mapping[str, Any] | None = None,
+) -> DataFrame:
     held = None
-    for fold in range(count):
-        fitted = fit_model(prepare(placed.where(F.col("fold") != fold), config, task, weights), model, task, seed)
-        scored = predict(fitted, placed.where(F.col("fold") == fold)).select("fold", "_y", "predicted")
+    for ready, own in prepared:
+        scored = predict(fit_model(ready, model, task, seed, params), own).select("fold", "_y", "predicted")
         held = scored if held is None else held.unionByName(scored)
     per_fold = M.metric_rows(_metrics(held, task, ["fold"]), _metric_names(task), ["fold"])
     return per_fold.groupBy("metric").agg(
@@ -284,8 +377,13 @@ def train(
     seed: int = SEED,
     least_rows: int = BASELINE_ROWS,
     parallel: int = 2,
+    params: Mapping[str, Mapping[str, Any]] | None = None,
 ) -> TrainingRun:
-    """Fit every model on one prepared table; a failing model is only a row."""
+    """Fit every model on one prepared table; a failing model is only a row.
+
+    Folds are cut from the training side alone and prepared once for all models.
+    ``params`` override settings by model name.
+    """
     spark = df.sparkSession
     needed = [c for c in dict.fromkeys([*key, *config.columns, target]) if c in df.columns]
     rows = labelled_rows(df.select(*[quoted(c) for c in needed]), target, task)
@@ -293,17 +391,24 @@ def train(
     if placed.count() < least_rows:
         raise TrainingError(f"fewer than {least_rows} usable rows")
     test = placed.where("is_test")
-    prepared = prepare(placed.where(~F.col("is_test")), config, task, weights)
+    learned = placed.where(~F.col("is_test"))
+    prepared = prepare(learned, config, task, weights)
+    ready = (
+        prepare_folds(learned.drop("is_test", "_y"), target, task, config, key, folds, weights, seed) if folds >= 2 else []
+    )
+    params = params or {}
 
     def one(name: str):
         start = time.time()
         try:
-            model = fit_model(prepared, name, task, seed)
+            model = fit_model(prepared, name, task, seed, params.get(name))
             scored = predict(model, test)
             values = _metrics(scored, task).first().asDict()
+            if task == "classification":
+                values["roc_auc"] = _area(scored, prepared.labels)
             cv = {}
-            if folds >= 2:
-                measured = cross_validate(df, target, task, name, config, key, folds, weights, seed)
+            if ready:
+                measured = _measure_folds(ready, task, name, seed, params.get(name))
                 primary = "f1_macro" if task == "classification" else "rmse"
                 row = measured.where(F.col("metric") == primary).first()
                 cv = {"cv_mean": row["mean"], "cv_std": row["std"]}
@@ -314,11 +419,12 @@ def train(
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
         done = list(pool.map(inheritable_thread_target(spark)(one), models))
     names = _metric_names(task)
-    fields = ", ".join(f"{m} double" for m in [*names, "cv_mean", "cv_std"])
+    shown = [*names, *(["roc_auc"] if task == "classification" else []), "cv_mean", "cv_std"]
+    fields = ", ".join(f"{m} double" for m in shown)
     table = [
         (
             name, task, target, "failed" if error else "trained", error, float(seconds),
-            *[None if values.get(m) is None else float(values[m]) for m in [*names, "cv_mean", "cv_std"]],
+            *[None if values.get(m) is None else float(values[m]) for m in shown],
         )
         for name, _, _, values, seconds, error in done
     ]
@@ -340,6 +446,7 @@ def train(
 
 def experiment(df: DataFrame, target: str, task: str, models: Sequence[str], config: FeatureConfig,
                key: Sequence[str], folds: int = 3, **options) -> TrainingRun:
-    """A training run with cross-validation and the larger row minimum."""
+    """A training run with cross-validation, the larger row minimum and larger models."""
     options.setdefault("weights", "auto")
+    options.setdefault("params", EXPERIMENT_PARAMS)
     return train(df, target, task, models, config, key, folds=folds, least_rows=EXPERIMENT_ROWS, **options)

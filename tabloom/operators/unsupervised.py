@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
@@ -11,12 +14,14 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.values import rounded, safe_ratio
+from tabloom.functions.values import quoted, rounded, safe_ratio
+from tabloom.operators.features import FeatureConfig, build_preprocessor, feature_names
 from tabloom.operators.neighbours import (
     BLOCK_ROWS,
     _stack,
     distances,
     flag_share,
+    local_outlier_factor,
     pair_blocks,
 )
 from tabloom.plans.ordering import evenly_spaced, with_position
@@ -315,18 +320,21 @@ def isolation_forest(
     batches against the small forest.
     """
     spark = df.sparkSession
-    pool = cut_lineage(
-        df.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(trees * tree_rows).select("id", "vec")
+    # Every tree draws from the whole table: a row names, inside itself, the few trees
+    # whose hash of it is low enough, with a margin over the rows a tree needs.
+    chance = min(1.0, (tree_rows + 8 * tree_rows**0.5 + 16) / max(1, df.count()))
+    low = int(-(1 << 63) + chance * (1 << 64))
+    drawn = F.filter(
+        F.sequence(F.lit(0), F.lit(trees - 1)),
+        lambda t: F.xxhash64(F.lit(seed), t, F.col("id")) <= min(low, (1 << 63) - 1),
     )
-    per_tree = Window.partitionBy("tree").orderBy("h", "id")
-    chosen = (
-        pool.select("id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-        .withColumn("h", F.xxhash64(F.lit(seed), "tree", "id"))
+    per_tree = Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed), "tree", "id"), "id")
+    samples = (
+        df.select("id", "vec", F.explode(drawn).alias("tree"))
         .withColumn("r", F.row_number().over(per_tree))
         .where(F.col("r") <= tree_rows)
-        .select("tree", "id")
+        .select("tree", "id", "vec")
     )
-    samples = chosen.join(pool, "id").select("tree", "id", "vec")
 
     def fit(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         rows = _stack(group.sort_values("id")["vec"])
@@ -398,3 +406,69 @@ def projection_points(df: DataFrame, n: int = 500) -> DataFrame:
     """Evenly spaced points of the 2-D projection with their label."""
     projected = pca_2d(df).join(df.select("id", "label"), "id")
     return evenly_spaced(projected, n, ["id"]).drop("_pos")
+
+
+@dataclass
+class GroupingRun:
+    """Results of several clustering or anomaly models over one prepared table."""
+
+    results: DataFrame  # (model, status, error, metric, value)
+    labels: dict[str, DataFrame]  # (id, label), or (id, score, is_outlier)
+    projection: DataFrame  # (id, x, y)
+    names: list[str]
+
+
+def _cluster(name: str, points: DataFrame, options: dict) -> tuple[DataFrame, dict[str, float]]:
+    if name == "kmeans":
+        labels, facts = kmeans(points, options["n_clusters"], options["seed"])
+        extra = {"inertia": facts.first()["inertia"]}
+    elif name == "dbscan":
+        labels, extra = dbscan(points, options["eps"], options["min_samples"]), {}
+    else:
+        raise ValueError(f"unknown clustering model: {name}")
+    labels = cut_lineage(labels)
+    whole = points.join(labels, "id")
+    row = cluster_profile(labels).first().asDict()
+    found = {k: v for k, v in row.items() if isinstance(v, (int, float))}
+    for measure in (silhouette_squared, davies_bouldin):
+        first = measure(whole.where("label >= 0")).first()
+        found |= {k: v for k, v in (first.asDict() if first else {}).items() if isinstance(v, (int, float))}
+    return labels, {**found, **extra}
+
+
+def _anomalies(name: str, points: DataFrame, options: dict) -> tuple[DataFrame, dict[str, float]]:
+    if name == "isolation_forest":
+        flagged = isolation_forest(points, options["contamination"], seed=options["seed"])
+    elif name == "local_outlier_factor":
+        flagged = local_outlier_factor(points, options["n_neighbors"], options["contamination"])
+    else:
+        raise ValueError(f"unknown anomaly model: {name}")
+    flagged = cut_lineage(flagged)
+    return flagged, {k: float(v) for k, v in anomaly_summary(flagged).first().asDict().items() if v is not None}
+
+
+def grouping_run(
+    df: DataFrame, models: Sequence[str], config: FeatureConfig, key: str, n_clusters: int = 3, eps: float = 0.5,
+    min_samples: int = 5, contamination: float = 0.1, n_neighbors: int = 20, seed: int = 42,
+) -> GroupingRun:
+    """Select and preprocess columns, fit every model, measure it and project the rows.
+
+    ``key`` is a unique whole number; a failing model is only a row of the results.
+    """
+    prepared = build_preprocessor(config).fit(df).transform(df)
+    names = feature_names(prepared)
+    points = cut_lineage(
+        prepared.select(quoted(key).cast("bigint").alias("id"), vector_to_array("features").alias("vec"))
+    )
+    options = {"n_clusters": n_clusters, "eps": eps, "min_samples": min_samples, "contamination": contamination,
+               "n_neighbors": n_neighbors, "seed": seed}
+    rows, labels = [], {}
+    for name in models:
+        try:
+            fit = _anomalies if name in ("isolation_forest", "local_outlier_factor") else _cluster
+            labels[name], found = fit(name, points, options)
+            rows += [(name, "trained", None, metric, float(value)) for metric, value in found.items()]
+        except Exception as error:  # keep the other models
+            rows.append((name, "failed", str(error)[:500], None, None))
+    schema = "model string, status string, error string, metric string, value double"
+    return GroupingRun(df.sparkSession.createDataFrame(rows, schema), labels, pca_2d(points), names)

@@ -2,27 +2,38 @@
 
 The ordered domain is split at cut points; each piece is windowed on its own
 and shifted by the total of the pieces before it.  Cut points come from a
-bottom-k hash sample: bounded, deterministic and valid for any orderable type.
-They are turned into literals, so a re-run task sees the same pieces.
+bottom-k hash sample: deterministic and valid for any orderable type.  The number
+of pieces follows the counted rows, without an upper limit.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.plans.sizing import fits_one_task, suggested_buckets
-
 SAMPLE_PER_BUCKET = 16
-HASH_BITS = 10
+ROWS_PER_PIECE = 500_000
+LEAST_PIECES = 8
+# So many small rows are broadcast at most; more pieces are joined by shuffle.
+BROADCAST_PIECES = 20_000
+
+
+def piece_count(df: DataFrame) -> int:
+    """Pieces of about ``ROWS_PER_PIECE`` rows; one counting job over no columns."""
+    return max(LEAST_PIECES, df.count() // ROWS_PER_PIECE + 1)
+
 
+def _cut_table(df: DataFrame, order: str, by: Sequence[str], pieces: int) -> DataFrame:
+    """One row per group: the sorted cut points, in blocks of about their square root.
 
-def _cut_table(df: DataFrame, order: str, by: Sequence[str], buckets: int) -> DataFrame:
-    """One bounded row per group: the sorted cut points of the order column."""
-    size = buckets * SAMPLE_PER_BUCKET
+    Without groups the row becomes a literal, so a re-run task sees the same pieces;
+    with groups it stays a table.
+    """
+    size = pieces * SAMPLE_PER_BUCKET
     by_hash = Window.partitionBy(*by).orderBy(F.xxhash64(order), F.col(order))
     sample = (
         df.select(*by, order)
@@ -33,32 +44,38 @@ def _cut_table(df: DataFrame, order: str, by: Sequence[str], buckets: int) -> Da
     )
     kept = F.array_sort(F.collect_set(order))
     cuts = F.filter(kept, lambda _, i: (i + 1) % SAMPLE_PER_BUCKET == 0)
-    table = sample.groupBy(*by).agg(cuts.alias("_cuts"))
-    schema = T.StructType(
-        [*[df.schema[c] for c in by], T.StructField("_cuts", T.ArrayType(df.schema[order].dataType))]
-    )
-    return df.sparkSession.createDataFrame(table.collect(), schema)
-
-
-def _with_bucket(df: DataFrame, order: str, by: Sequence[str], buckets: int) -> DataFrame:
-    table = _cut_table(df, order, by, buckets)
-    joined = (
-        df.join(F.broadcast(table), list(by), "left")
-        if by
-        else df.crossJoin(F.broadcast(table))
-    )
-    position = F.size(F.filter(F.col("_cuts"), lambda cut: cut <= F.col(order)))
+    width = max(1, math.isqrt(pieces))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("_flat") - 1, F.lit(0)), F.lit(width))
+    blocks = F.transform(starts, lambda s: F.slice("_flat", s + 1, width))
+    table = sample.groupBy(*by).agg(cuts.alias("_flat")).select(*by, blocks.alias("_cuts"))
+    if by:
+        return table
+    kind = T.ArrayType(T.ArrayType(df.schema[order].dataType))
+    return df.sparkSession.createDataFrame(table.collect(), T.StructType([T.StructField("_cuts", kind)]))
+
+
+def _with_piece(df: DataFrame, order: str, by: Sequence[str], pieces: int) -> DataFrame:
+    table = _cut_table(df, order, by, pieces)
+    # By column name alone there is one row of cuts per column; other groups may be many.
+    small = set(by) <= {"column"} and pieces <= BROADCAST_PIECES
+    table = F.broadcast(table) if small else table
+    joined = df.join(table, list(by), "left") if by else df.crossJoin(table)
+    # Two short searches: the last block that starts at or before the value, then inside it.
+    block = F.size(F.filter("_cuts", lambda b: F.get(b, F.lit(0)) <= F.col(order)))
+    inside = F.size(F.filter(F.get("_cuts", block - 1), lambda cut: cut <= F.col(order)))
+    width = max(1, math.isqrt(pieces))
+    position = F.when(block > 0, (block - 1) * width + inside).otherwise(0)
     return joined.withColumn("_b", F.coalesce(position, F.lit(0))).drop("_cuts")
 
 
 def _shifted(
-    bucketed: DataFrame, order: Sequence[Column], sums: Mapping[str, Column], by: Sequence[str]
+    pieced: DataFrame, order: Sequence[Column], sums: Mapping[str, Column], by: Sequence[str], pieces: int
 ) -> DataFrame:
     names = list(sums)
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    totals = bucketed.groupBy(*by, "_b").agg(
+    totals = pieced.groupBy(*by, "_b").agg(
         *[F.sum(expr).alias(name) for name, expr in sums.items()]
     )
     offsets = totals.select(
@@ -69,12 +86,12 @@ def _shifted(
     inside = Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    local = bucketed.select(
+    local = pieced.select(
         "*", *[F.sum(expr).over(inside).alias("_l_" + n) for n, expr in sums.items()]
     )
-    # One row per piece, so bounded without groups; with groups adaptive execution
-    # decides by the real size.
-    shifted = local.join(offsets if by else F.broadcast(offsets), [*by, "_b"], "left")
+    # One row per piece; with groups adaptive execution decides by the real size.
+    few = not by and pieces <= BROADCAST_PIECES
+    shifted = local.join(F.broadcast(offsets) if few else offsets, [*by, "_b"], "left")
     for n in names:
         shifted = shifted.withColumn(n, F.col("_l_" + n) + F.col("_o_" + n))
     return shifted.drop("_b", *["_l_" + n for n in names], *["_o_" + n for n in names])
@@ -85,45 +102,44 @@ def running_totals(
     order: str,
     sums: Mapping[str, Column],
     by: Sequence[str] = (),
-    one_task: bool | None = None,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Add inclusive running sums over ``order`` (unique within ``by``)."""
-    by = list(by)
-    if fits_one_task(df) if one_task is None else one_task:
-        window = Window.partitionBy(*by).orderBy(order).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
-        return df.select("*", *[F.sum(e).over(window).alias(n) for n, e in sums.items()])
-    bucketed = _with_bucket(df, order, by, suggested_buckets(df))
-    return _shifted(bucketed, [F.col(order)], sums, by)
+    by, pieces = list(by), pieces or piece_count(df)
+    return _shifted(_with_piece(df, order, by, pieces), [F.col(order)], sums, by, pieces)
 
 
 def with_position(
-    df: DataFrame, order_by: Sequence[str], one_task: bool | None = None
+    df: DataFrame, order_by: Sequence[str], pieces: int | None = None
 ) -> DataFrame:
     """Add the 0-based global position ``_pos`` by a unique row key."""
     keyed = df.withColumn("_k", F.struct(*[F.col(c) for c in order_by]))
-    numbered = running_totals(keyed, "_k", {"_pos": F.lit(1)}, one_task=one_task)
+    numbered = running_totals(keyed, "_k", {"_pos": F.lit(1)}, pieces=pieces)
     return numbered.withColumn("_pos", F.col("_pos") - 1).drop("_k")
 
 
 def hash_position(
-    df: DataFrame, seed: int, key: Sequence[str], by: Sequence[str] = (), name: str = "_pos"
+    df: DataFrame, seed: int, key: Sequence[str], by: Sequence[str] = (), name: str = "_pos",
+    pieces: int | None = None,
 ) -> DataFrame:
     """0-based position in a seeded random order, within ``by`` groups.
 
     Pieces are ranges of the hash itself, so a class holding most of the rows
-    is still spread over ``2**HASH_BITS`` tasks.
+    is still spread over all of them.
     """
+    bits = max(1, ((pieces or piece_count(df)) - 1).bit_length())
     hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(c) for c in key]))
-    bucketed = hashed.withColumn("_b", F.shiftright("_h", 64 - HASH_BITS))
+    pieced = hashed.withColumn("_b", F.shiftright("_h", 64 - bits))
     order = [F.col("_h"), *[F.col(c) for c in key]]
-    numbered = _shifted(bucketed, order, {name: F.lit(1)}, list(by))
+    numbered = _shifted(pieced, order, {name: F.lit(1)}, list(by), 1 << bits)
     return numbered.withColumn(name, F.col(name) - 1).drop("_h")
 
 
 def evenly_spaced(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
-    """Rows at positions floor(linspace(0, N-1, n)); every row when N <= n."""
+    """Rows at positions floor(linspace(0, N-1, n)); every row when N <= n.
+
+    ``order_by`` has to be a unique key; a NULL in it counts as a value.
+    """
     spark = df.sparkSession
     size = df.agg(F.count("*").alias("_n"))
     if n <= 1:
@@ -142,6 +158,10 @@ def evenly_spaced(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
         )
     # Only the keys are shuffled; the n wanted keys (bounded by the argument) then
     # pick their rows in a second scan.
+    names = {c: f"_k{i}" for i, c in enumerate(order_by)}
     keys = with_position(df.select(*order_by), order_by)
-    kept = keys.join(F.broadcast(wanted.distinct()), "_pos")
-    return df.join(F.broadcast(kept), list(order_by)).select(*df.columns, "_pos")
+    kept = keys.join(F.broadcast(wanted.distinct()), "_pos").select(
+        "_pos", *[F.col(c).alias(k) for c, k in names.items()]
+    )
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in names.items()]
+    return df.join(F.broadcast(kept), same).select(*df.columns, "_pos")

@@ -1,17 +1,9 @@
-"""Size checks that decide between a one-task plan and a spread one.
-
-The numbers are Catalyst's own estimates for the optimized plan (file sizes for
-scans), read without running a job.  An unknown or derived size only ever errs
-towards the spread plan.
-"""
+"""Catalyst's own size estimate, used only to share a small input among the cores."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-BROADCAST_BYTES = 64 * 1024 * 1024
-ONE_TASK_BYTES = 256 * 1024 * 1024
 SPREAD_BYTES = (2 * 1024 * 1024, 256 * 1024 * 1024)
 
 
@@ -23,25 +15,13 @@ def estimated_bytes(df: DataFrame) -> int:
         return 1 << 62
 
 
-def fits_one_task(df: DataFrame, limit: int | None = None) -> bool:
-    return estimated_bytes(df) <= (ONE_TASK_BYTES if limit is None else limit)
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only below the size limit; otherwise a shuffled join."""
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df
-
-
-def suggested_buckets(df: DataFrame, target: int = 64 * 1024 * 1024, most: int = 512) -> int:
-    return max(2, min(most, estimated_bytes(df) // target + 1))
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Share the rows of a small table that sits in few files among all cores.
 
     A file with one row group is one task.  Below the upper bound a shuffle of
     the needed columns costs less than the idle cores; larger tables have enough
-    splits and are never shuffled here.
+    splits and are never shuffled here.  The plan above is the same either way, and
+    a wrong estimate costs one needless or one missed shuffle, nothing else.
     """
     least, most = SPREAD_BYTES
     if not least <= estimated_bytes(df) <= most:

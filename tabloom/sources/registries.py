@@ -67,10 +67,10 @@ def summarise_runs(runs: DataFrame) -> DataFrame:
     )
 
 
-def run_summaries(spark: SparkSession, glob: str, limit: int = 50) -> DataFrame:
-    """One row per run log, newest first; an unreadable file is ``invalid``."""
-    if not 1 <= limit <= 200:
-        raise ValueError("limit must be between 1 and 200")
+def run_summaries(spark: SparkSession, glob: str, limit: int | None = None) -> DataFrame:
+    """One row per run log, newest first, all or ``limit``; an unreadable file is ``invalid``."""
+    if limit is not None and limit < 1:
+        raise ValueError("limit must be at least 1")
     runs = (
         spark.read.schema(RUN_SCHEMA)
         .option("multiLine", True)
@@ -79,7 +79,8 @@ def run_summaries(spark: SparkSession, glob: str, limit: int = 50) -> DataFrame:
         .json(glob)
         .withColumn("file_name", F.regexp_extract("_metadata.file_path", r"([^/]+)\.json$", 1))
     )
-    return summarise_runs(runs).orderBy(F.desc_nulls_last("created_at"), "run_id").limit(limit)
+    newest = summarise_runs(runs).orderBy(F.desc_nulls_last("created_at"), "run_id")
+    return newest if limit is None else newest.limit(limit)
 
 
 def suite_summary(runs: DataFrame) -> DataFrame:

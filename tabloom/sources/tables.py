@@ -27,40 +27,66 @@ class TableError(ValueError):
     """The table cannot be read or holds nothing."""
 
 
+def _file_facts(spark: SparkSession, path: str | Sequence[str], names: Sequence[str]) -> list:
+    """Header line and usable encodings of every file, from one scan of the bytes.
+
+    One row per file reaches the driver, as in any file listing.
+    """
+    spark.conf.set("spark.sql.legacy.codingErrorAction", "true")  # bad bytes become U+FFFD
+    raw = F.col("value").cast("binary")
+    bad = [
+        F.bool_or(~F.is_valid_utf8("value") if name == "UTF-8" else F.decode(raw, name).contains(REPLACEMENT))
+        for name in names
+    ]
+    lines = spark.read.text(path if isinstance(path, str) else list(path)).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at")
+    )
+    # A file's first block is read by one task, in order.
+    header = F.first(F.when(F.col("at") == 0, F.encode("value", "UTF-8")), ignorenulls=True)
+    facts = lines.groupBy("file").agg(header.alias("header"), *[b.alias(f"bad{i}") for i, b in enumerate(bad)])
+    return facts.orderBy("file").collect()
+
+
 def read_csv(
     spark: SparkSession,
-    path: str,
+    path: str | Sequence[str],
     encodings: Sequence[str] = ENCODINGS,
     promote: bool = True,
-    multi_line: bool = False,
+    multi_line: bool = True,
     mode: str = "FAILFAST",
 ) -> DataFrame:
     """CSV with header; cells with a missing-value token become NULL.
 
-    The first encoding that decodes every cell wins; each test is a distributed
-    scan that stops at the first undecodable cell.
+    Each file is read in the first encoding that decodes all its bytes and by its own header, so
+    files whose columns stand in another order, or that lack some, fit together.  Line breaks
+    inside quotes are read; ``multi_line=False`` lets large files without them be split.
     """
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    tried = dict.fromkeys(JAVA_NAMES.get(name, name) for name in encodings)
-    for name in tried:
+    names = list(dict.fromkeys(JAVA_NAMES.get(name, name) for name in encodings))
+    groups: dict[tuple, list[str]] = {}
+    for row in _file_facts(spark, path, names):
+        usable = [name for i, name in enumerate(names) if not row[f"bad{i}"]]
+        if not usable:
+            raise TableError(f"no encoding decodes {row['file']}")
+        groups.setdefault((usable[0], bytes(row["header"] or b"")), []).append(row["file"])
+    if not groups:
+        raise TableError("the file has no columns")
+    whole = None
+    for (name, _), files in groups.items():
         raw = (
             spark.read.option("header", True)
             .option("encoding", name)
             .option("multiLine", multi_line)
             .option("mode", mode)
             .option("enforceSchema", True)
-            .csv(path)
+            .csv(files)
         )
         if not raw.columns:
             raise TableError("the file has no columns")
-        broken = F.lit(False)
-        for c in raw.columns:
-            broken = broken | F.coalesce(quoted(c).contains(REPLACEMENT), F.lit(False))
-        if not any(REPLACEMENT in c for c in raw.columns) and raw.where(broken).isEmpty():
-            plain = raw.toDF(*[c.lstrip("﻿") for c in raw.columns])
-            texts = plain.select(*[null_tokens_to_null(quoted(c)).alias(c) for c in plain.columns])
-            return promote_types(texts) if promote else texts
-    raise TableError("no encoding decodes the file")
+        plain = raw.toDF(*[c.lstrip("\ufeff") for c in raw.columns])
+        whole = plain if whole is None else whole.unionByName(plain, allowMissingColumns=True)
+    texts = whole.select(*[null_tokens_to_null(quoted(c)).alias(c) for c in whole.columns])
+    return promote_types(texts) if promote else texts
 
 
 def promote_types(df: DataFrame) -> DataFrame:

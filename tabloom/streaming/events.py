@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tabloom.operators.lifecycle import TERMINAL_STATES
+from tabloom.operators.lifecycle import TERMINAL_STATES, job_state
 
 EVENT_SCHEMA = (
     "event_id string, job_id string, workflow_id string, event_type string, step_name string, "
@@ -26,30 +30,37 @@ def read_events(
 
 
 def follow_events(
-    events: DataFrame, event_id: str = "event_id", event_time: str = "created_at", delay: str = "1 hour"
+    events: DataFrame, job: str = "job_id", event_id: str = "event_id", event_time: str = "created_at"
 ) -> DataFrame:
-    """Every event once; state is dropped once the watermark has passed it.
+    """Every event of a job once, up to and with its terminal event (``is_terminal``).
 
-    ``is_terminal`` marks the event after which a follower can stop.
+    The ids a job has shown are kept until its terminal event; then the job is closed, its
+    ids are dropped and later rows are too.  Step events never close a job.  Late
+    and re-sent rows need no watermark: they are told by id, not by time.
     """
-    stamped = events
-    if isinstance(events.schema[event_time].dataType, T.TimestampNTZType):
-        stamped = events.withColumn(event_time, F.col(event_time).cast("timestamp"))
-    once = stamped.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([event_id])
-    if "status" not in events.columns:
-        return once
-    return once.withColumn("is_terminal", F.col("status").isin(TERMINAL_STATES))
+    names = events.columns
+    output = T.StructType([*events.schema.fields, T.StructField("is_terminal", T.BooleanType())])
+    state_type = T.StructType([T.StructField("closed", T.BooleanType()), T.StructField("seen", T.ArrayType(T.StringType()))])
+
+    def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        closed, ids = state.get if state.exists else (False, [])
+        rows = pd.concat(list(frames)) if not closed else pd.DataFrame(columns=names)
+        if closed or rows.empty:
+            return
+        rows = rows[~rows[event_id].isin(set(ids))].drop_duplicates(event_id)
+        rows = rows.sort_values([event_time, event_id], kind="stable")
+        ends = rows["status"].isin(TERMINAL_STATES) & (rows["event_type"] != "step")
+        rows = rows.assign(is_terminal=ends)[ends.cumsum() - ends == 0]
+        closed = bool(ends.any())
+        state.update((closed, [] if closed else [*ids, *rows[event_id]]))
+        yield rows[[*names, "is_terminal"]]
+
+    return events.groupBy(job).applyInPandasWithState(follow, output, state_type, "append", GroupStateTimeout.NoTimeout)
 
 
 def follow_job_state(events: DataFrame) -> DataFrame:
-    """Running state per job, for update mode: one state row per job."""
-    order = F.struct("created_at", "event_id")
-    return events.groupBy("job_id").agg(
-        F.max_by("status", order).alias("status"),
-        F.min("created_at").alias("started_at"),
-        F.max("created_at").alias("updated_at"),
-        F.count("*").alias("event_count"),
-    )
+    """Running state per job by the rule of ``job_state``, for update mode: one state row per job."""
+    return job_state(events)
 
 
 def drain(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:

@@ -96,7 +96,7 @@ def box_stats(spark, folder):
     WHERE n_chars < q1 - 1.5 * (q3 - q1) OR n_chars > q3 + 1.5 * (q3 - q1) ORDER BY doc_id LIMIT 300""",
 )
 def box_outliers(spark, folder):
-    return C.box_outliers(table(spark, folder, "documents"), ["n_chars"], ["doc_id"])
+    return C.box_outliers(table(spark, folder, "documents"), ["n_chars"], ["doc_id"], 300)
 
 
 @query(
@@ -134,7 +134,7 @@ AUTO_SHAPE = """SELECT lo, hi, CASE WHEN k > 20 THEN 12 ELSE k END AS bins FROM
     bins_sql("SELECT o_totalprice AS v FROM orders", AUTO_SHAPE.format(floor="0.0")),
 )
 def histogram_auto(spark, folder):
-    return C.histogram_auto(table(spark, folder, "orders"), "o_totalprice")
+    return C.histogram_auto(table(spark, folder, "orders"), "o_totalprice", 20)
 
 
 @query(
@@ -142,7 +142,7 @@ def histogram_auto(spark, folder):
     bins_sql("SELECT p_size::DOUBLE AS v FROM part", AUTO_SHAPE.format(floor="1.0")),
 )
 def histogram_integers(spark, folder):
-    return C.histogram_auto(table(spark, folder, "part"), "p_size")
+    return C.histogram_auto(table(spark, folder, "part"), "p_size", 20)
 
 
 @query(
@@ -183,7 +183,7 @@ def category_bar(spark, folder):
     ORDER BY count(*) DESC, source LIMIT 10""",
 )
 def top_categories(spark, folder):
-    return C.top_categories(table(spark, folder, "documents"), "source")
+    return C.top_categories(table(spark, folder, "documents"), "source", most_unique=20)
 
 
 @query(
@@ -308,7 +308,7 @@ def parse_date(spark, folder):
       FROM nums WHERE r = 1""",
 )
 def recommend(spark, folder):
-    return C.recommend_charts(base_profile(dirty_documents(spark, folder)))
+    return C.recommend_charts(base_profile(dirty_documents(spark, folder)), 3, 18, 12, 6)
 
 
 @query(

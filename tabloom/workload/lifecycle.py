@@ -201,14 +201,14 @@ JOBS_SQL = """(SELECT event_id::VARCHAR AS event_id, user_id::VARCHAR AS job_id,
     CASE WHEN value > 95 THEN 'failed' WHEN value > 80 THEN 'completed' ELSE 'running' END AS status FROM events)"""
 
 
-@query(
-    "lc10_job_state",
-    f"""SELECT job_id, arg_max(status, (created_at, event_id)) FILTER (event_type <> 'step') AS status,
+JOB_STATE_SQL = f"""SELECT job_id, arg_max(status, (created_at, event_id)) FILTER (event_type <> 'step') AS status,
     min(created_at) FILTER (event_type = 'running') AS started_at,
     max(created_at) FILTER (event_type <> 'step' AND status IN ('completed', 'failed')) AS finished_at,
     count(*) AS event_count, arg_max(message, (created_at, event_id)) FILTER (status = 'failed') AS error
-    FROM {JOBS_SQL} GROUP BY job_id""",
-)
+    FROM {JOBS_SQL} GROUP BY job_id"""
+
+
+@query("lc10_job_state", JOB_STATE_SQL)
 def job_state(spark, folder):
     return L.job_state(job_events(table(spark, folder, "events")))
 
@@ -256,21 +256,21 @@ def _stream(spark, folder):
 
 @query(
     "st01_follow_events",
-    "SELECT event_id, user_id, event_type, value FROM events",
+    f"""WITH j AS (SELECT *, status IN ('completed', 'failed') AND event_type <> 'step' AS ended FROM {JOBS_SQL}),
+    n AS (SELECT *, coalesce(sum(ended::INTEGER) OVER (PARTITION BY job_id ORDER BY created_at, event_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS closed FROM j)
+    SELECT event_id, job_id, event_type, status, ended AS is_terminal FROM n WHERE closed = 0""",
 )
 def follow_events(spark, folder):
-    """Every event arrives twice and is passed on once."""
+    """Every event arrives twice and is passed on once, until its job has ended."""
     root = shared_folder(spark)
-    doubled = _stream(spark, folder).unionByName(_stream(spark, folder))
-    once = ST.follow_events(doubled, "event_id", "ts", "2 hours")
-    return ST.drain(once, f"{root}/out", f"{root}/state").select("event_id", "user_id", "event_type", "value")
+    once = job_events(_stream(spark, folder))
+    once = ST.follow_events(once.unionByName(once))
+    kept = ST.drain(once, f"{root}/out", f"{root}/state")
+    return kept.select("event_id", "job_id", "event_type", "status", "is_terminal")
 
 
-@query(
-    "st02_follow_job_state",
-    f"""SELECT job_id, arg_max(status, (created_at, event_id)) AS status, min(created_at) AS started_at,
-    max(created_at) AS updated_at, count(*) AS event_count FROM {JOBS_SQL} GROUP BY job_id""",
-)
+@query("st02_follow_job_state", JOB_STATE_SQL)
 def follow_job_state(spark, folder):
     root = shared_folder(spark)
     states = ST.follow_job_state(job_events(_stream(spark, folder)))

@@ -120,16 +120,15 @@ def numeric(spark, folder):
     "pr05_detect_datetime",
     f"""WITH long AS ({" UNION ALL ".join(
         f"SELECT '{c}' AS col, doc_id, {c} AS value FROM {DIRTY_SQL}" for c in DIRTY_COLUMNS)}),
-    firsts AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY doc_id) AS r
-      FROM long WHERE value IS NOT NULL)
+    firsts AS (SELECT * FROM long WHERE value IS NOT NULL)
     SELECT col AS "column",
       round(avg(CASE WHEN TRY_CAST(value AS TIMESTAMP) IS NULL THEN 0.0 ELSE 1.0 END), 4) AS parse_ratio,
       bool_or({_SHAPE}) AND
       avg(CASE WHEN TRY_CAST(value AS TIMESTAMP) IS NULL THEN 0.0 ELSE 1.0 END) >= 0.8 AS is_datetime
-    FROM firsts WHERE r <= 100 GROUP BY col""",
+    FROM firsts GROUP BY col""",
 )
 def datetime(spark, folder):
-    return P.detect_datetime(dirty_documents(spark, folder), DIRTY_COLUMNS, ["doc_id"])
+    return P.detect_datetime(dirty_documents(spark, folder), DIRTY_COLUMNS)
 
 
 @query(

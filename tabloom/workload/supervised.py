@@ -11,6 +11,7 @@ from tabloom.operators import scoring as SC
 from tabloom.operators import split as SP
 from tabloom.operators import supervised as SU
 from tabloom.operators.features import FeatureConfig
+from tabloom.session import cut_lineage
 from tabloom.workload.inputs import (
     DOCUMENT_LABELS_SQL,
     document_labels,
@@ -99,16 +100,18 @@ def fitted_price_model(spark, folder):
 
 
 def _document_metrics(spark, folder, name, params=None):
-    """Metrics of a classifier on the documents it was fitted on."""
+    """Metrics of a classifier on documents it has not seen."""
     rows = SU.labelled_rows(labelled_documents(spark, folder), "quality", "classification")
-    model = SU.fit_model(SU.prepare(rows, DOCS, "classification", "auto"), name, "classification", params=params)
-    return SU._metrics(SU.predict(model, rows), "classification")
+    placed = cut_lineage(SP.split(rows, ["doc_id"], "_y"))
+    learned = SU.prepare(placed.where("NOT is_test"), DOCS, "classification", "auto")
+    model = SU.fit_model(learned, name, "classification", params=params)
+    return SU._metrics(SU.predict(model, placed.where("is_test")), "classification")
 
 
 for _name, _params in [
     ("su05_logistic_regression", None),
     ("su06_random_forest_classifier", None),
-    ("su07_gbt_classifier", {"maxIter": 10}),
+    ("su07_gbt_classifier", None),
     ("su08_linear_svm", None),
 ]:
     query(_name)(partial(_document_metrics, name=_name.split("_", 1)[1], params=_params))
@@ -146,13 +149,14 @@ for _name, _slope in _SLOPES.items():
 
 def _price_metrics(spark, folder, name, params=None):
     rows = SU.labelled_rows(table(spark, folder, "lineitem"), "l_extendedprice", "regression")
-    model = SU.fit_model(SU.prepare(rows, LINE, "regression"), name, "regression", params=params)
-    return SU._metrics(SU.predict(model, rows), "regression")
+    placed = cut_lineage(SP.split(rows, KEY))
+    model = SU.fit_model(SU.prepare(placed.where("NOT is_test"), LINE, "regression"), name, "regression", params=params)
+    return SU._metrics(SU.predict(model, placed.where("is_test")), "regression")
 
 
 for _name, _params in [
-    ("su13_random_forest_regressor", {"numTrees": 20}),
-    ("su14_gbt_regressor", {"maxIter": 10}),
+    ("su13_random_forest_regressor", None),
+    ("su14_gbt_regressor", None),
     ("su15_robust_regression", None),
 ]:
     query(_name)(partial(_price_metrics, name=_name.split("_", 1)[1], params=_params))
@@ -313,13 +317,9 @@ def confidence(spark, folder):
     ORDER BY l_orderkey, l_linenumber, actual, predicted, l_linestatus LIMIT 25""",
 )
 def misclassified(spark, folder):
-    rows = labelled(spark, folder)
-    wrong = rows.where("actual <> predicted").orderBy(
-        "l_orderkey", "l_linenumber", "actual", "predicted", "l_linestatus"
-    ).limit(25)
-    return SC.misclassified(
-        wrong, ["l_orderkey", "l_linenumber"], ["l_linestatus"], score=F.lit(0.5)
-    )
+    order = ["l_orderkey", "l_linenumber", "actual", "predicted", "l_linestatus"]
+    found = SC.misclassified(labelled(spark, folder), order, ["l_linestatus"], 25, score=F.lit(0.5))
+    return found.select("l_orderkey", "l_linenumber", "actual", "predicted", "confidence", "record")
 
 
 @query(
@@ -334,7 +334,7 @@ def residual_diagnostics(spark, folder):
 
 @query("ex09_permutation_importance")
 def permutation_importance(spark, folder):
-    rows = X.sample_rows(table(spark, folder, "lineitem"), KEY, X.SAMPLE_ROWS)
+    rows = table(spark, folder, "lineitem")
     source = partial(table, name="lineitem")
     model = _fit(spark, folder, "linear_regression", "regression", LINE, "l_extendedprice", source)
     columns = ["l_quantity", "l_discount", "l_linestatus"]
@@ -389,10 +389,9 @@ def linear_shap(spark, folder):
 def _sample_contributions(spark, folder):
     source = partial(table, name="lineitem")
     model = _fit(spark, folder, "linear_regression", "regression", LINE, "l_extendedprice", source)
-    rows = table(spark, folder, "lineitem")
-    explained = X.sample_rows(rows, KEY, 50)
-    return model, explained, X.sampled_shapley(
-        model, explained, rows, ["l_quantity", "l_discount", "l_linestatus"], KEY, 10
+    rows = table(spark, folder, "lineitem").withColumn("row", F.xxhash64(*KEY, "l_extendedprice", "l_shipdate"))
+    return model, rows, X.sampled_shapley(
+        model, rows, rows, ["l_quantity", "l_discount", "l_linestatus"], ["row"], 10
     )
 
 

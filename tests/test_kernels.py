@@ -1,4 +1,6 @@
-"""Shared kernels: both plan shapes agree with plain Python."""
+"""Shared kernels agree with plain Python."""
+
+import re
 
 import numpy as np
 import pandas as pd
@@ -24,23 +26,30 @@ def values(kind, n):
 
 @pytest.mark.parametrize("kind", ["smooth", "ties", "hot"])
 @pytest.mark.parametrize("n", [1, 2, 5, 399, 20_011])
-def test_quantiles_are_exact_in_both_shapes(spark, kind, n):
+def test_quantiles_are_exact(spark, kind, n):
     v = values(kind, n)
     long = spark.createDataFrame(pd.DataFrame({"column": "a", "value": v})).repartition(7)
     expected = np.quantile(v, PROBABILITIES)
-    for one_task in (True, False):
-        got = long_quantiles(long, PROBABILITIES, one_task=one_task, accuracy=2000).first()["q"]
-        assert np.allclose(got, expected, atol=1e-12), (kind, n, one_task)
+    got = long_quantiles(long, PROBABILITIES, accuracy=2000).first()["q"]
+    assert np.allclose(got, expected, atol=1e-12), (kind, n)
+
+
+def test_long_table_is_not_shuffled_by_column(spark):
+    long = spark.range(1000).select(F.lit("a").alias("column"), F.col("id").cast("double").alias("value"))
+    plan = long_quantiles(long, [0.25, 0.5])._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    raw = [k for k in keys if "_v" in k]
+    assert raw and all("_piece" in k for k in raw) and "SortMergeJoin" not in plan
 
 
 def test_quantiles_by_group(spark):
     frame = pd.DataFrame({"g": [f"g{i % 3}" for i in range(9000)], "value": values("hot", 9000)})
     long = spark.createDataFrame(frame).repartition(5)
     expected = frame.groupby("g")["value"].quantile([0.3, 0.6]).unstack()
-    for one_task in (True, False):
-        rows = long_quantiles(long, [0.3, 0.6], ["g"], one_task=one_task, accuracy=500).collect()
-        for r in rows:
-            assert np.allclose(r["q"], expected.loc[r["g"]].to_numpy())
+    rows = long_quantiles(long, [0.3, 0.6], ["g"], accuracy=500).collect()
+    assert len(rows) == 3
+    for r in rows:
+        assert np.allclose(r["q"], expected.loc[r["g"]].to_numpy())
 
 
 @pytest.mark.parametrize("by", [[], ["g"]])
@@ -48,8 +57,8 @@ def test_running_totals_agree(spark, by):
     frame = pd.DataFrame({"g": [i % 2 for i in range(3000)], "k": range(3000), "w": [i % 5 for i in range(3000)]})
     df = spark.createDataFrame(frame.sample(frac=1, random_state=1)).repartition(6)
     expected = frame.groupby("g")["w"].cumsum() if by else frame["w"].cumsum()
-    for one_task in (True, False):
-        got = running_totals(df, "k", {"s": F.col("w")}, by, one_task).orderBy("k").toPandas()
+    for pieces in (None, 1, 40):
+        got = running_totals(df, "k", {"s": F.col("w")}, by, pieces).orderBy("k").toPandas()
         assert got["s"].tolist() == expected.tolist()
 
 
@@ -57,8 +66,8 @@ def test_positions_for_text_and_composite_keys(spark):
     frame = pd.DataFrame({"a": [f"k{i % 13:02d}" for i in range(1000)], "b": range(1000)})
     df = spark.createDataFrame(frame.sample(frac=1, random_state=3)).repartition(7)
     expected = frame.sort_values(["a", "b"])["b"].tolist()
-    for one_task in (True, False):
-        got = with_position(df, ["a", "b"], one_task).orderBy("_pos").toPandas()
+    for pieces in (None, 1, 40):
+        got = with_position(df, ["a", "b"], pieces).orderBy("_pos").toPandas()
         assert got["b"].tolist() == expected
         assert got["_pos"].tolist() == list(range(1000))
 
@@ -77,3 +86,8 @@ def test_evenly_spaced_matches_linspace(spark, size, n):
     got = sorted(r["id"] for r in evenly_spaced(spark.range(size), n, ["id"]).collect())
     expected = range(size) if size <= n else np.linspace(0, size - 1, n, dtype=int)
     assert got == sorted(set(int(i) for i in expected))
+
+
+def test_evenly_spaced_keeps_a_null_key(spark):
+    df = spark.createDataFrame([(None, "x"), (1, "y"), (2, "z")], "k int, v string")
+    assert {r["v"] for r in evenly_spaced(df, 3, ["k"]).collect()} == {"x", "y", "z"}
