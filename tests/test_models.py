@@ -6,8 +6,9 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from tabloom.operators import explain, features, neighbours, scoring, split, supervised, unsupervised
+from tabloom.operators import explain, features, lifecycle, neighbours, scoring, split, supervised, unsupervised
 from tabloom.operators.features import FeatureConfig
+from tabloom.sources import tables
 from tabloom.streaming import events
 
 
@@ -223,21 +224,60 @@ def test_scaling_and_unseen_levels(spark):
     assert features.one_hot(df.where("g = 'a'"), df, "g", ["x"]).count() == 2
 
 
-def test_stream_passes_each_event_once_and_restarts(spark, tmp_path):
-    rows = [("e1", "j1", "running", "2024-01-01 00:00:00"), ("e1", "j1", "running", "2024-01-01 00:00:00"),
-            ("e2", "j1", "completed", "2024-01-01 00:05:00"), ("e3", "j2", "running", "2024-01-01 00:06:00")]
-    schema = "event_id string, job_id string, status string, created_at string"
-    df = spark.createDataFrame(rows, schema).withColumn("created_at", F.col("created_at").cast("timestamp"))
-    folder = str(tmp_path / "in")
-    df.write.parquet(folder)
-    once = events.follow_events(events.read_events(spark, folder, schema=df.schema))
-    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+def test_stream_passes_each_event_once_over_batches(spark, tmp_path):
+    """Three batches: re-sent ids, a late row, and rows after a job has ended."""
+    schema = "event_id string, job_id string, event_type string, status string, message string, created_at string"
+
+    def batch(*rows):
+        made = spark.createDataFrame([(e, j, k, s, f"m {e}", f"2024-01-01 {t}:00") for e, j, k, s, t in rows], schema)
+        made.withColumn("created_at", F.col("created_at").cast("timestamp")).write.mode("append").parquet(folder)
+        return made.withColumn("created_at", F.col("created_at").cast("timestamp"))
+
+    folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    first = batch(("e1", "j1", "running", "running", "09:00"), ("e1", "j1", "running", "running", "09:00"),
+                  ("e2", "j2", "running", "running", "09:05"))
+    once = events.follow_events(events.read_events(spark, folder, schema=first.schema))
+    assert sorted(r["event_id"] for r in events.drain(once, out, state).collect()) == ["e1", "e2"]
+    batch(("e1", "j1", "running", "running", "18:00"), ("e0", "j1", "running", "running", "08:00"),
+          ("e3", "j1", "step", "failed", "09:06"), ("e4", "j1", "finished", "completed", "09:07"))
     got = events.drain(once, out, state)
-    assert sorted(r["event_id"] for r in got.collect()) == ["e1", "e2", "e3"]
-    assert got.where("is_terminal").count() == 1
-    late = spark.createDataFrame([("e4", "j2", "failed", "2024-01-01 00:07:00")], schema)
-    late.withColumn("created_at", F.col("created_at").cast("timestamp")).write.mode("append").parquet(folder)
-    assert events.drain(once, out, state).count() == 4
-    states = events.follow_job_state(events.read_events(spark, folder, schema=df.schema))
+    assert sorted(r["event_id"] for r in got.collect()) == ["e0", "e1", "e2", "e3", "e4"]
+    assert [r["event_id"] for r in got.where("is_terminal").collect()] == ["e4"]
+    batch(("e5", "j1", "running", "running", "09:08"), ("e6", "j2", "finished", "failed", "09:09"))
+    assert sorted(r["event_id"] for r in events.drain(once, out, state).collect()) == ["e0", "e1", "e2", "e3", "e4", "e6"]
+    states = events.follow_job_state(events.read_events(spark, folder, schema=first.schema))
     latest = events.drain_updates(states, "job_id", str(tmp_path / "s"), str(tmp_path / "c"))
-    assert {r["job_id"]: r["status"] for r in latest.collect()} == {"j1": "completed", "j2": "failed"}
+    whole = lifecycle.job_state(spark.read.parquet(folder))
+    assert sorted(map(str, latest.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_csv_files_are_read_by_their_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,name\n1,"two\nlines"\n')
+    (tmp_path / "b.csv").write_text("name,id\nx,2\n")
+    (tmp_path / "c.csv").write_bytes("id,name,more\n3,中文,y\n".encode("big5"))
+    rows = {r["id"]: (r["name"], r["more"]) for r in tables.read_csv(spark, str(tmp_path / "*.csv")).collect()}
+    assert rows == {1: ("two\nlines", None), 2: ("x", None), 3: ("中文", "y")}
+
+
+def test_training_run_with_neighbours_area_and_records(churn, spark, tmp_path):
+    config = FeatureConfig(numeric=("age", "monthly_charges"), categorical=("contract_type",))
+    models = ["logistic_regression", "knn_classifier"]
+    run = supervised.experiment(churn, "churn", "classification", models, config, ["customer_id"])
+    rows = {r["model"]: r for r in run.results.collect()}
+    assert set(rows) == set(models) and all(r["status"] == "trained" and r["cv_mean"] is not None for r in rows.values())
+    assert 0 <= rows["logistic_regression"]["roc_auc"] <= 1
+    supervised.save_run(run, str(tmp_path), "run1", "d1")
+    kept = {r["model"]: r["path"] for r in spark.read.parquet(str(tmp_path / "models")).collect()}
+    assert kept["knn_classifier"] is None and PipelineModel.load(kept["logistic_regression"]).stages
+    assert spark.read.parquet(str(tmp_path / "experiments")).first()["best_model"] == run.best
+
+
+def test_grouping_run_over_prepared_columns(spark):
+    rows = [(i, float(i % 3 * 10), "a" if i % 2 else "b") for i in range(60)] + [(60, 500.0, "a")]
+    df = spark.createDataFrame(rows, "id bigint, x double, g string")
+    config = FeatureConfig(numeric=("x",), categorical=("g",))
+    run = unsupervised.grouping_run(df, ["kmeans", "dbscan", "isolation_forest", "nope"], config, "id", n_clusters=2)
+    status = {r["model"]: r["status"] for r in run.results.collect()}
+    assert status == {"kmeans": "trained", "dbscan": "trained", "isolation_forest": "trained", "nope": "failed"}
+    assert run.projection.count() == 61 and run.labels["kmeans"].count() == 61
+    assert run.labels["isolation_forest"].orderBy(F.desc("score")).first()["id"] == 60
