@@ -36,10 +36,12 @@ HEADLINE = [
     "dr04_ks",
     "dr08_column_drift",
     "fe11_tfidf",
+    "su05_logistic_regression",
     "su10_linear_regression",
     "su19_classification_metrics",
     "su20_roc_auc",
     "sc04_threshold_analysis",
+    "un01_kmeans",
     "un04_davies_bouldin",
     "un06_knn_join",
     "lc10_job_state",

@@ -85,10 +85,10 @@ def production(spark, folder):
 @query(
     "lc04_compare",
     f"""SELECT CAST(row_number() OVER (ORDER BY v ASC NULLS LAST, model_id) AS INTEGER) AS rank, model_id, model, status, v AS value
-    FROM (SELECT *, CASE WHEN task = 'regression' THEN value END AS v FROM {REGISTRY_SQL} WHERE dataset_id = 'd7')""",
+    FROM (SELECT *, CASE WHEN task = 'regression' THEN value END AS v FROM {REGISTRY_SQL})""",
 )
 def compare(spark, folder):
-    return L.compare(registry(spark, folder).where("dataset_id = 'd7'"), None, "rmse")
+    return L.compare(registry(spark, folder), None, "rmse")
 
 
 DOCS = FeatureConfig(numeric=("n_chars",), categorical=("lang", "source"))
@@ -108,26 +108,29 @@ def retrain(spark, folder):
 @query(
     "lc05_recommend",
     f"""WITH r AS (SELECT model_id, value, row_number() OVER (ORDER BY value, model_id) AS k FROM {REGISTRY_SQL}
-      WHERE dataset_id = 'd7' AND task = 'regression')
+      WHERE task = 'regression')
     SELECT a.model_id AS champion_id, b.model_id AS challenger_id, round(a.value, 4) AS champion_value,
-      round(b.value, 4) AS challenger_value, 'promote' AS recommendation FROM r a, r b WHERE a.k = 2 AND b.k = 1""",
+      round(b.value, 4) AS challenger_value, CASE WHEN a.value = b.value THEN 'review' WHEN b.k < a.k THEN 'promote'
+      ELSE 'keep_champion' END AS recommendation FROM r a, r b WHERE a.k = 2 AND b.k = 1""",
 )
 def recommend(spark, folder):
-    ranked = L.compare(registry(spark, folder).where("dataset_id = 'd7'"), None, "rmse")
+    ranked = L.compare(registry(spark, folder), None, "rmse")
     best = [r["model_id"] for r in ranked.orderBy("rank").limit(2).collect()]
     return L.recommend(ranked, best[1], best[0])
 
 
 @query(
     "lc06_promote_challenger",
-    f"""WITH r AS (SELECT * FROM {REGISTRY_SQL} WHERE dataset_id = 'd7' AND task = 'regression'),
-    k AS (SELECT model_id, row_number() OVER (ORDER BY value, model_id) AS k FROM r)
+    f"""WITH r AS (SELECT *, dataset_id = 'd7' AND task = 'regression' AS here FROM {REGISTRY_SQL}),
+    k AS (SELECT model_id, row_number() OVER (ORDER BY value, model_id) AS k FROM r WHERE here)
     SELECT model_id, CASE WHEN model_id = (SELECT model_id FROM k WHERE k = 1) THEN 'production'
-      WHEN status = 'production' THEN 'archived' ELSE status END AS status FROM r""",
+      WHEN here AND status = 'production' THEN 'archived' ELSE status END AS status FROM r""",
 )
 def promote_challenger(spark, folder):
-    meta = registry(spark, folder).where("dataset_id = 'd7' AND task = 'regression'")
-    best = [r["model_id"] for r in L.compare(meta, None, "rmse").orderBy("rank").limit(2).collect()]
+    """The two best models of one dataset change places in the whole registry."""
+    meta = registry(spark, folder)
+    scope = meta.where("dataset_id = 'd7' AND task = 'regression'")
+    best = [r["model_id"] for r in L.compare(scope, None, "rmse").orderBy("rank").limit(2).collect()]
     return L.promote_challenger(meta, best[1], best[0]).select("model_id", "status")
 
 
