@@ -78,6 +78,11 @@ def least_overlap(n: int, percent: int = PERCENT) -> int:
     return -(-n * percent // 100)
 
 
+def least_partner_size(percent: int = PERCENT) -> int:
+    """Smaller sets reach the threshold with equal sets only: one token more is too many."""
+    return -(-percent // (100 - percent)) if percent < 100 else 1
+
+
 def _frequent(documents: DataFrame, text: str, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles, sorted, and their rank from the rarest; at most ``most``."""
 
@@ -133,7 +138,7 @@ def _signatures(documents: DataFrame, doc_id: str, text: str, percent: int, freq
     return rows.mapInArrow(sign, "doc_id bigint, text_key bigint, n bigint, key binary, home bigint, prefix array<bigint>")
 
 
-def _matrix(signed: DataFrame) -> DataFrame:
+def _matrix(signed: DataFrame, least: int) -> DataFrame:
     """The token-group matrix as (token, home): prefix tokens of all members, each once.
 
     Repeats are dropped inside each batch first, so copies and large groups shuffle a few rows.
@@ -150,15 +155,17 @@ def _matrix(signed: DataFrame) -> DataFrame:
             new[1:] = (tokens[1:] != tokens[:-1]) | (homes[1:] != homes[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(tokens[new]), pa.array(homes[new])], names=["token", "home"])
 
-    rows = signed.where("n > 0").select("home", "prefix").mapInArrow(distinct, "token bigint, home bigint")
+    rows = signed.where(F.col("n") >= least).select("home", "prefix").mapInArrow(distinct, "token bigint, home bigint")
     return rows.repartition("token").dropDuplicates(["token", "home"])
 
 
 def _visits(signed: DataFrame, homes: DataFrame, percent: int) -> DataFrame:
     """(home, visitor): groups that may hold linked sets, the smaller one visiting the larger."""
-    matrix = _matrix(signed)
+    least = least_partner_size(percent)
+    matrix = _matrix(signed, least)
     left, right = (matrix.select("token", F.col("home").alias(f"home_{side}")) for side in "ab")
     shared = left.join(right, "token").where("home_a < home_b").groupBy("home_a", "home_b").agg(F.count("*").alias("shared"))
+    shared = shared.where(F.col("shared") >= min(SHARED, least_overlap(least, percent)))  # no pair needs fewer
     facts = ["home", "size", "lo", "hi"]
     for side in "ab":
         shared = shared.join(homes.select(*[F.col(c).alias(f"{c}_{side}") for c in facts]), f"home_{side}")
@@ -305,7 +312,7 @@ def join_classes(
     frequent = _frequent(documents, text, FREQUENT)
     signed = stored(_signatures(documents, doc_id, text, percent, frequent), "signatures")
     classes = stored(signed.groupBy("key", "n", "home").agg(F.min("doc_id").alias("rep")), "classes")
-    known = classes.where("n > 0 AND rep IS NOT NULL")
+    known = classes.where((F.col("n") >= least_partner_size(percent)) & F.col("rep").isNotNull())
     homes = stored(
         known.groupBy("home").agg(
             F.count("*").alias("size"), F.min("n").alias("lo"), F.max("n").alias("hi"),
