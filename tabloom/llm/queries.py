@@ -74,8 +74,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents")
     model = toxicity.fit(documents, toxicity.grades_from_labels(_table(spark, folder, "labels")))
     graded = toxicity.annotate(documents.select("doc_id", "text"), model, into="toxicity")
-    return graded.select("doc_id", "toxicity.severity", "toxicity.grade", "toxicity.p_toxic").withColumn(
-        "toxic", F.col("p_toxic") >= toxicity.REJECT_AT
+    return graded.select(
+        "doc_id", "toxicity.severity", "toxicity.grade", "toxicity.p_toxic", toxicity.rejected().alias("toxic")
     )
 
 

@@ -4,7 +4,9 @@ Grades are 0 … K-1.  P(grade <= k) = sigmoid(theta_k - w.x) with one weight ve
 ``w`` for all thresholds ``theta_0 < theta_1 < …``; the expected severity is the sum
 of P(grade > k).  ``x`` holds log(1 + count) of the words in a vocabulary that is
 learnt from the labels: words that stand more often in documents above grade 0, by at least
-``MIN_ASSOCIATION`` (chi-square), at most ``VOCABULARY`` of them; a text without any gets the base rate.
+``MIN_ASSOCIATION`` (chi-square) and in at least ``MIN_SHARE`` of those, at most ``VOCABULARY`` of them; a
+text without any gets the base rate.  Labels of only 0 and 1 are refined first: a toxic document with more
+of these words than the median toxic one that has some is grade 2.
 
 Fitting uses at most ``FIT_ROWS`` labelled documents (those with the smallest hash of
 their id), a documented bound; every document is scored on its whole text.
@@ -30,10 +32,11 @@ from tabloom.llm.words import utf8, words
 
 FIT_ROWS = 20_000
 VOCABULARY = 4_096
-MIN_ASSOCIATION = 20.0
-MIN_DOCUMENTS = 3
-L2 = 1e-3
-REJECT_AT = 0.5
+MIN_ASSOCIATION = 30.0
+MIN_DOCUMENTS = 5
+MIN_SHARE = 0.1
+L2 = 1e-5
+REJECT_AT = 0.25
 
 
 class Model(NamedTuple):
@@ -43,9 +46,20 @@ class Model(NamedTuple):
 
 
 def grades_from_labels(labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, grade): 0 not toxic, 1 toxic, 2 toxic and of low quality."""
-    grade = F.col("toxic") + F.when((F.col("toxic") == 1) & (F.col("quality") == 0), 1).otherwise(0)
-    return labels.where(F.col("toxic").isNotNull()).groupBy(doc_id).agg(F.max(grade).alias("grade"))
+    """(doc_id, grade): 0 not toxic, 1 toxic; the fit refines it by the words."""
+    return labels.where(F.col("toxic").isNotNull()).groupBy(doc_id).agg(F.max("toxic").alias("grade"))
+
+
+def refined(grade: np.ndarray, weight: np.ndarray, row: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Grades 0 and 1 to 0, 1 and 2: above the median evidence of the rows that have some."""
+    evidence = np.bincount(row, value, len(grade))
+    some = np.flatnonzero((grade == 1) & (evidence > 0))
+    if not len(some):
+        return grade
+    order = some[np.argsort(evidence[some], kind="stable")]
+    upto = np.cumsum(weight[order])
+    median = evidence[order][np.searchsorted(upto, upto[-1] / 2)]
+    return np.where((grade == 1) & (evidence > median), 2, grade)
 
 
 def _fit_sample(documents: DataFrame, grades: DataFrame, rows: int, doc_id: str, text: str) -> DataFrame:
@@ -53,7 +67,9 @@ def _fit_sample(documents: DataFrame, grades: DataFrame, rows: int, doc_id: str,
         F.xxhash64(doc_id), doc_id
     ).limit(rows)
     # At most ``rows`` narrow rows.
-    return documents.select(doc_id, text).join(F.broadcast(chosen), doc_id).select(text, F.col("grade").cast("int"))
+    rows = documents.select(doc_id, text).join(F.broadcast(chosen), doc_id).select(text, F.col("grade").cast("int"))
+    # Copies of one text tell no more than one of them does.
+    return rows.dropDuplicates([text, "grade"])
 
 
 def _vocabulary(sample: DataFrame, size: int, least: float) -> tuple[dict[bytes, int], np.ndarray]:
@@ -82,7 +98,8 @@ def _vocabulary(sample: DataFrame, size: int, least: float) -> tuple[dict[bytes,
     spread = F.col("n") * (total - F.col("n")) * above * (total - above)
     chi = F.try_divide(total * F.pow(F.col("a") * total - F.col("n") * above, 2), spread)
     best = (
-        words_.where((F.col("n") >= MIN_DOCUMENTS) & (F.col("a") * total > F.col("n") * above))
+        words_.where((F.col("n") >= MIN_DOCUMENTS) & (F.col("a") >= MIN_SHARE * above))
+        .where(F.col("a") * total > F.col("n") * above)
         .withColumn("chi", chi).where(F.col("chi") >= least)
         .orderBy(F.desc("chi"), "word").limit(size).collect()
     )
@@ -165,9 +182,12 @@ def fit(
 ) -> Model:
     sample = _fit_sample(documents, grades, rows, doc_id, text)
     known, counts = _vocabulary(sample, vocabulary, least)
-    if (counts > 0).sum() < 2:  # nothing to tell apart
+    if (counts > 0).sum() < 2 or not known:  # nothing to tell apart
         return Model({}, np.zeros(0), np.array([40.0]))
-    weights, thresholds = fit_cumulative_link(*_features(sample, known), len(known), len(counts))
+    grade, weight, row, word, value = _features(sample, known)
+    if len(counts) == 2:
+        grade = refined(grade, weight, row, value)
+    weights, thresholds = fit_cumulative_link(grade, weight, row, word, value, len(known), int(grade.max()) + 1)
     return Model(known, weights, thresholds)
 
 
@@ -177,24 +197,26 @@ def grade_probabilities(model: Model, score: np.ndarray) -> np.ndarray:
 
 
 def severity(documents: DataFrame, model: Model, text: str = "text") -> Column:
-    """A struct of severity (expected grade), grade (most likely) and p_toxic (above 0)."""
+    """A struct of severity (expected grade), grade (most likely), p_toxic (above 0) and evidence
+    (known words found)."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("struct<severity:double,grade:int,p_toxic:double>")
+    @F.arrow_udf("struct<severity:double,grade:int,p_toxic:double,evidence:int>")
     def score(column: pa.Array) -> pa.Array:
         fitted = shared.value
         known, weights = fitted.vocabulary, fitted.weights
-        scores = np.zeros(len(column))
+        scores, evidence = np.zeros(len(column)), np.zeros(len(column), np.int32)
         for i, body in enumerate(utf8(column)):
             found = [known[w] for w in words(body) if w in known]
             if found:
+                evidence[i] = len(found)
                 scores[i] = sum(weights[k] * np.log1p(n) for k, n in Counter(found).items())
         above = grade_probabilities(fitted, scores)
         edges = np.hstack([np.ones((len(scores), 1)), above, np.zeros((len(scores), 1))])
         return pa.StructArray.from_arrays(
             [pa.array(above.sum(axis=1)), pa.array(np.argmax(edges[:, :-1] - edges[:, 1:], axis=1).astype(np.int32)),
-             pa.array(above[:, 0])],
-            ["severity", "grade", "p_toxic"],
+             pa.array(above[:, 0]), pa.array(evidence)],
+            ["severity", "grade", "p_toxic", "evidence"],
         )
 
     return score.asNondeterministic()(F.col(text))  # so that a filter on it doesn't run it twice
@@ -204,12 +226,17 @@ def annotate(documents: DataFrame, model: Model, text: str = "text", into: str =
     return documents.withColumn(into, severity(documents, model, text))
 
 
+def rejected(into: str = "toxicity", reject_at: float = REJECT_AT) -> Column:
+    """Toxic enough, by words of its own: a base rate alone rejects nothing."""
+    return (F.col(f"{into}.evidence") > 0) & (F.col(f"{into}.p_toxic") >= reject_at)
+
+
 def accepted(
     documents: DataFrame, grades: DataFrame, doc_id: str = "doc_id", text: str = "text", reject_at: float = REJECT_AT
 ) -> DataFrame:
-    """The documents, all columns, whose chance of a grade above 0 is below ``reject_at``."""
+    """The documents, all columns, that are not rejected."""
     model = fit(documents, grades, doc_id, text)
     columns, into = documents.columns, "_toxicity"
     while into in columns:
         into += "_"
-    return annotate(documents, model, text, into).where(F.col(f"{into}.p_toxic") < reject_at).select(*columns)
+    return annotate(documents, model, text, into).where(~rejected(into, reject_at)).select(*columns)

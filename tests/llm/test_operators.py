@@ -177,8 +177,8 @@ def test_cumulative_link_recovers_order():
 
 
 def test_toxic_documents_go(spark):
-    clean = [(i, f"you kind words number {i % 17} and tea", 0, 1) for i in range(300)]
-    toxic = [(1000 + i, f"you {'idiot' if i % 2 else 'scum'} number {i % 17}", 1, i % 2) for i in range(60)]
+    clean = [(i, f"you kind words number {i} and tea", 0, 1) for i in range(300)]
+    toxic = [(1000 + i, f"you {'idiot' if i % 2 else 'scum'} number {i}", 1, i % 2) for i in range(60)]
     labels = spark.createDataFrame([(i, t, q) for i, _, t, q in clean + toxic] + [(None, 1, 1), (5, None, None)], "doc_id bigint, toxic int, quality int")
     rows = [(i, t) for i, t, _, _ in clean + toxic] + [(5000, "Total IDIOT!"), (5001, None), (5002, ""), (None, "tea")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("_toxicity", F.lit(1))
