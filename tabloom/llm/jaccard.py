@@ -139,37 +139,46 @@ def _signatures(documents: DataFrame, doc_id: str, text: str, percent: int, freq
 
 
 def _matrix(signed: DataFrame, least: int) -> DataFrame:
-    """The token-group matrix as (token, home): prefix tokens of all members, each once.
+    """The token-group matrix as (token, home, lo, hi): prefix tokens of all members, each once,
+    with the sizes of the members that hold it.
 
-    Repeats are dropped inside each batch first, so copies and large groups shuffle a few rows.
+    Repeats are merged inside each batch first, so copies and large groups shuffle a few rows.
     """
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
-            homes = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sizes)
+            tokens = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            repeats = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
+            homes, sizes = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), repeats) for i in (0, 1))
             order = np.lexsort((homes, tokens))
-            tokens, homes = tokens[order], homes[order]
+            tokens, homes, sizes = tokens[order], homes[order], sizes[order]
             new = np.ones(len(tokens), bool)
             new[1:] = (tokens[1:] != tokens[:-1]) | (homes[1:] != homes[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[new]), pa.array(homes[new])], names=["token", "home"])
+            first = np.flatnonzero(new)
+            lo, hi = (f.reduceat(sizes, first) if len(first) else sizes for f in (np.minimum, np.maximum))
+            columns = [tokens[new], homes[new], lo, hi]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["token", "home", "lo", "hi"])
 
-    rows = signed.where(F.col("n") >= least).select("home", "prefix").mapInArrow(distinct, "token bigint, home bigint")
-    return rows.repartition("token").dropDuplicates(["token", "home"])
+    rows = signed.where(F.col("n") >= least).select("home", "n", "prefix")
+    merged = rows.mapInArrow(distinct, "token bigint, home bigint, lo bigint, hi bigint").repartition("token")
+    return merged.groupBy("token", "home").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 def _visits(signed: DataFrame, homes: DataFrame, percent: int) -> DataFrame:
     """(home, visitor): groups that may hold linked sets, the smaller one visiting the larger."""
     least = least_partner_size(percent)
     matrix = _matrix(signed, least)
-    left, right = (matrix.select("token", F.col("home").alias(f"home_{side}")) for side in "ab")
-    shared = left.join(right, "token").where("home_a < home_b").groupBy("home_a", "home_b").agg(F.count("*").alias("shared"))
+    left, right = (
+        matrix.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("home", "lo", "hi")]) for side in "ab"
+    )
+    fits = (100 * F.col("hi_a") >= percent * F.col("lo_b")) & (100 * F.col("hi_b") >= percent * F.col("lo_a"))
+    # Members too different in size never meet, not even for a moment.
+    met = left.join(right, "token").where((F.col("home_a") < F.col("home_b")) & fits)
+    shared = met.groupBy("home_a", "home_b").agg(F.count("*").alias("shared"))
     shared = shared.where(F.col("shared") >= min(SHARED, least_overlap(least, percent)))  # no pair needs fewer
     facts = ["home", "size", "lo", "hi"]
     for side in "ab":
         shared = shared.join(homes.select(*[F.col(c).alias(f"{c}_{side}") for c in facts]), f"home_{side}")
-    fits = (100 * F.col("hi_a") >= percent * F.col("lo_b")) & (100 * F.col("hi_b") >= percent * F.col("lo_a"))
     enough = F.col("shared") >= F.least(F.lit(SHARED), "lo_a", "lo_b")
     larger = F.struct(F.col("size_a"), F.col("home_a")) > F.struct(F.col("size_b"), F.col("home_b"))
     return shared.where(fits & enough).select(
