@@ -4,7 +4,7 @@ Grades are 0 … K-1.  P(grade <= k) = sigmoid(theta_k - w.x) with one weight ve
 ``w`` for all thresholds ``theta_0 < theta_1 < …``; the expected severity is the sum
 of P(grade > k).  ``x`` holds log(1 + count) of the words in a vocabulary that is
 learnt from the labels: words that stand more often in documents above grade 0, by at least
-``MIN_ASSOCIATION`` (chi-square) and in at least ``MIN_SHARE`` of those, at most ``VOCABULARY`` of them; a
+``MIN_ASSOCIATION`` (chi-square) and in at least ``MIN_DOCUMENTS``, at most ``VOCABULARY`` of them; a
 text without any gets the base rate.  Labels of only 0 and 1 are refined first: a toxic document with more
 of these words than the median toxic one that has some is grade 2.
 
@@ -34,7 +34,6 @@ FIT_ROWS = 20_000
 VOCABULARY = 4_096
 MIN_ASSOCIATION = 30.0
 MIN_DOCUMENTS = 5
-MIN_SHARE = 0.1
 L2 = 1e-5
 REJECT_AT = 0.25
 
@@ -98,7 +97,7 @@ def _vocabulary(sample: DataFrame, size: int, least: float) -> tuple[dict[bytes,
     spread = F.col("n") * (total - F.col("n")) * above * (total - above)
     chi = F.try_divide(total * F.pow(F.col("a") * total - F.col("n") * above, 2), spread)
     best = (
-        words_.where((F.col("n") >= MIN_DOCUMENTS) & (F.col("a") >= MIN_SHARE * above))
+        words_.where(F.col("n") >= MIN_DOCUMENTS)
         .where(F.col("a") * total > F.col("n") * above)
         .withColumn("chi", chi).where(F.col("chi") >= least)
         .orderBy(F.desc("chi"), "word").limit(size).collect()

@@ -189,6 +189,16 @@ def test_toxic_documents_go(spark):
     assert rows[5000].severity > 0.5 > rows[0].severity
 
 
+def test_rare_toxic_words_count(spark):
+    """No toxic word stands in a tenth of the toxic documents; each has only words of its own kind."""
+    clean = [(i, f"plain words w{i % 50} number {i}", 0) for i in range(2000)]
+    toxic = [(5000 + i, f"plain words w{i % 50} slur{i % 25} number {i}", 1) for i in range(250)]
+    labels = spark.createDataFrame([(i, t) for i, _, t in clean + toxic if i % 7], "doc_id bigint, toxic int")
+    docs = spark.createDataFrame([(i, t) for i, t, _ in clean + toxic], "doc_id bigint, text string")
+    kept = toxicity.accepted(docs, toxicity.grades_from_labels(labels))
+    assert {r.doc_id for r in kept.collect()} == {i for i, *_ in clean}
+
+
 def test_toxicity_without_labels(awkward, spark):
     labels = spark.createDataFrame([], "doc_id bigint, toxic int, quality int")
     kept = toxicity.accepted(awkward, toxicity.grades_from_labels(labels))
