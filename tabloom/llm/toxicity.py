@@ -3,8 +3,9 @@
 Grades are 0 … K-1.  P(grade <= k) = sigmoid(theta_k - w.x) with one weight vector
 ``w`` for all thresholds ``theta_0 < theta_1 < …``; the expected severity is the sum
 of P(grade > k).  ``x`` holds log(1 + count) of the words in a vocabulary that is
-learnt from the labels: words that stand more often in documents above grade 0, by at least
-``MIN_ASSOCIATION`` (chi-square) and in at least ``MIN_DOCUMENTS``, at most ``VOCABULARY`` of them; a
+learnt from the labels: words in at least ``MIN_DOCUMENTS`` that stand more often in documents above
+grade 0, by a likelihood ratio whose share of false finds among all words tried is at most ``FALSE_SHARE``
+(Benjamini-Hochberg, so few words on few texts need less evidence each), at most ``VOCABULARY`` of them; a
 text without any gets the base rate.  Labels of only 0 and 1 are refined first: a toxic document with more
 of these words than the median toxic one that has some is grade 2.
 
@@ -19,6 +20,7 @@ columns pass through, only the result column replaces one of its own name.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -28,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.words import utf8, words
+from tabloom.llm.words import stored, utf8, words
 
 FIT_ROWS = 20_000
 VOCABULARY = 4_096
-MIN_ASSOCIATION = 30.0
+FALSE_SHARE = 0.01
 MIN_DOCUMENTS = 5
 L2 = 1e-5
 REJECT_AT = 0.25
@@ -71,7 +73,7 @@ def _fit_sample(documents: DataFrame, grades: DataFrame, rows: int, doc_id: str,
     return rows.dropDuplicates([text, "grade"])
 
 
-def _vocabulary(sample: DataFrame, size: int, least: float) -> tuple[dict[bytes, int], np.ndarray]:
+def _vocabulary(sample: DataFrame, size: int, false_share: float) -> tuple[dict[bytes, int], np.ndarray]:
     """The words most associated with grades above 0, and the number of documents by grade."""
     by_grade = sample.groupBy("grade").count().collect()
     counts = np.zeros(max([r.grade for r in by_grade], default=0) + 1)
@@ -94,14 +96,23 @@ def _vocabulary(sample: DataFrame, size: int, least: float) -> tuple[dict[bytes,
     total, above = float(counts.sum()), float(counts[1:].sum())
     n, a = F.sum("n").cast("double"), F.sum("above").cast("double")
     words_ = sample.mapInArrow(count, "word binary, n bigint, above bigint").groupBy("word").agg(n.alias("n"), a.alias("a"))
-    spread = F.col("n") * (total - F.col("n")) * above * (total - above)
-    chi = F.try_divide(total * F.pow(F.col("a") * total - F.col("n") * above, 2), spread)
+    words_ = stored(words_.where(F.col("n") >= MIN_DOCUMENTS), "toxicity-words")
+
+    def cell(found: Column, in_words: Column, in_grade: float) -> Column:
+        return F.when(found > 0, found * F.log(found * total / (in_words * in_grade))).otherwise(0.0)
+
+    n, a, below = F.col("n"), F.col("a"), total - above
+    ratio = 2 * (
+        cell(a, n, above) + cell(n - a, n, below)
+        + cell(above - a, total - n, above) + cell(below - n + a, total - n, below)
+    )
     best = (
-        words_.where(F.col("n") >= MIN_DOCUMENTS)
-        .where(F.col("a") * total > F.col("n") * above)
-        .withColumn("chi", chi).where(F.col("chi") >= least)
-        .orderBy(F.desc("chi"), "word").limit(size).collect()
+        words_.where(a * total > n * above).withColumn("ratio", ratio)
+        .orderBy(F.desc("ratio"), "word").limit(size).collect()
     )
+    chance = np.array([math.erfc(math.sqrt(max(r.ratio, 0.0) / 2)) / 2 for r in best])
+    allowed = false_share * np.arange(1, len(best) + 1) / max(words_.count(), 1)
+    best = best[: int(np.max(np.flatnonzero(chance <= allowed), initial=-1)) + 1]
     return {bytes(r.word): i for i, r in enumerate(best)}, counts
 
 
@@ -177,10 +188,10 @@ def fit_cumulative_link(
 
 def fit(
     documents: DataFrame, grades: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = FIT_ROWS,
-    vocabulary: int = VOCABULARY, least: float = MIN_ASSOCIATION,
+    vocabulary: int = VOCABULARY, false_share: float = FALSE_SHARE,
 ) -> Model:
     sample = _fit_sample(documents, grades, rows, doc_id, text)
-    known, counts = _vocabulary(sample, vocabulary, least)
+    known, counts = _vocabulary(sample, vocabulary, false_share)
     if (counts > 0).sum() < 2 or not known:  # nothing to tell apart
         return Model({}, np.zeros(0), np.array([40.0]))
     grade, weight, row, word, value = _features(sample, known)

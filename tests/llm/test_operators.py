@@ -189,6 +189,16 @@ def test_toxic_documents_go(spark):
     assert rows[5000].severity > 0.5 > rows[0].severity
 
 
+def test_toxic_documents_go_with_few_distinct_texts(spark):
+    clean = [(i, f"you kind words number {i % 17} and tea", 0, 1) for i in range(300)]
+    toxic = [(1000 + i, f"you {'idiot' if i % 2 else 'scum'} number {i % 17}", 1, i % 2) for i in range(60)]
+    labels = spark.createDataFrame([(i, t, q) for i, _, t, q in clean + toxic], "doc_id bigint, toxic int, quality int")
+    rows = [(i, t) for i, t, _, _ in clean + toxic] + [(5000, "Total IDIOT!"), (5001, None), (5002, ""), (None, "tea")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = toxicity.accepted(docs, toxicity.grades_from_labels(labels))
+    assert {r.doc_id for r in kept.collect()} == {i for i, *_ in clean} | {5001, 5002, None}
+
+
 def test_rare_toxic_words_count(spark):
     """No toxic word stands in a tenth of the toxic documents; each has only words of its own kind."""
     clean = [(i, f"plain words w{i % 50} number {i}", 0) for i in range(2000)]
