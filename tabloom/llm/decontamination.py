@@ -6,9 +6,12 @@ its sorted positions in the segment.  Searching a segment starts from the rarest
 term of each test window (document counts over the whole corpus, read off the
 index), shifts that term's positions by its place in the window, and keeps the starts
 that the offset-adjusted lists of the window's other terms also contain, rarest
-first.  What survives all terms is an exact phrase match; starts at which at least
+first.  What survives all terms is an exact phrase match.  Starts at which at least
 ``NEAR_SHARE`` of the terms stand within ``slop`` words of their place are proximity
-matches.  Segments are independent, so no postings are shuffled, a hot passage costs only
+matches: of any ``missing + 1`` terms one must be there, so the starts are sought around the postings
+of as many rarest terms.  Such starts of one window, up to ``slop`` apart, are one match, told by its
+item and the place of its best start in the document; those with an exact match are left out.  Documents
+lie further apart in a segment than any window reaches.  Segments are independent, so no postings are shuffled, a hot passage costs only
 the rows that hold it, and a lost executor repeats only its own segments.
 
 A window is ``width`` consecutive item words; a shorter item that has words is one window.
@@ -18,7 +21,7 @@ searched in several passes whose hits are merged per document, so nothing is cut
 
 Defined cases: NULL or wordless texts have no words, no hits and are clean; items
 without words have no windows; repeated items hit alike, each item id counts once;
-an item without id hits words but is not listed; repeated documents give repeated rows.
+an item without id hits words but is not listed (among ``near`` as NULL); repeated documents give repeated rows.
 """
 
 from __future__ import annotations
@@ -44,7 +47,11 @@ INDEX_SCHEMA = (
     "doc_ids array<bigint>, text_keys array<bigint>, n_words array<int>, terms array<int>, doc_counts array<int>, "
     "posting_ends array<int>, positions binary"
 )
-HITS_SCHEMA = "doc_id bigint, text_key bigint, n_words bigint, spans array<int>, items array<string>, n_near bigint"
+HITS_SCHEMA = (
+    "doc_id bigint, text_key bigint, n_words bigint, spans array<int>, items array<string>, "
+    "near array<struct<item:string,start:int>>, n_near bigint"
+)
+PAIRS = 1 << 19  # candidates looked at at once
 
 
 class Windows(NamedTuple):
@@ -74,12 +81,21 @@ def windows_of(items: list[tuple[str | None, bytes]], width: int = WIDTH) -> Win
     return Windows(vocabulary, terms, np.array(sizes, np.int32), np.array(owners, np.int32), ids)
 
 
-def _segment(ids: list, keys: list, counts: list[int], numbers: list[np.ndarray]) -> dict:
+def reach(width: int, slop: int) -> int:
+    """Free positions before each document: more than a window or a neighbour's slop can span."""
+    return width + 2 * slop
+
+
+def _starts(counts: np.ndarray, gap: int) -> np.ndarray:
+    return gap + np.concatenate([[0], np.cumsum(counts + gap)[:-1]]).astype(np.int64)
+
+
+def _segment(ids: list, keys: list, counts: list[int], numbers: list[np.ndarray], gap: int) -> dict:
     """Postings of one run of documents; positions count on through the segment.
 
-    Documents are one apart, so that no phrase can run from one into the next.
+    Documents are ``gap`` apart, so that no match can run from one into the next.
     """
-    starts = np.concatenate([[0], np.cumsum(np.array(counts, np.int64) + 1)[:-1]])
+    starts = _starts(np.array(counts, np.int64), gap)
     flat = np.concatenate(numbers) if numbers else np.empty(0, np.int32)
     place = np.concatenate([np.arange(len(n)) + s for n, s in zip(numbers, starts)]).astype(np.int32)
     document = np.repeat(np.arange(len(counts)), counts)
@@ -104,7 +120,7 @@ def _segment(ids: list, keys: list, counts: list[int], numbers: list[np.ndarray]
 
 def build_index(
     documents: DataFrame, vocabulary: dict[bytes, int], doc_id: str = "doc_id", text: str = "text",
-    segment_words: int = SEGMENT_WORDS,
+    segment_words: int = SEGMENT_WORDS, gap: int = reach(WIDTH, SLOP),
 ) -> DataFrame:
     """One row per segment; terms outside ``vocabulary`` only take up positions."""
     shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
@@ -114,7 +130,7 @@ def build_index(
         ids, keys, counts, numbers, size = [], [], [], [], 0
 
         def row():
-            columns = {k: [v] for k, v in _segment(ids, keys, counts, numbers).items()}
+            columns = {k: [v] for k, v in _segment(ids, keys, counts, numbers, gap).items()}
             return pa.RecordBatch.from_pydict(
                 columns,
                 schema=pa.schema(
@@ -156,26 +172,23 @@ def document_counts(index: DataFrame, terms: int) -> np.ndarray:
 class _Segment:
     """Sorted (term, position) pairs of a segment; looking one up is a binary search."""
 
-    def __init__(self, terms, ends, positions):
+    def __init__(self, terms, ends, positions, vocabulary: int):
         sizes = np.diff(np.concatenate([[0], ends]))
         self.positions = positions.astype(np.int64)
-        self.keys = (np.repeat(terms.astype(np.int64), sizes) << 32) | self.positions
-        self.start = dict(zip(terms.tolist(), np.concatenate([[0], ends[:-1]]).tolist()))
-        self.end = dict(zip(terms.tolist(), ends.tolist()))
+        # The last key is above all others.
+        self.keys = np.append((np.repeat(terms.astype(np.int64), sizes) << 32) | self.positions, np.iinfo(np.int64).max)
+        self.first, self.size = np.zeros((2, vocabulary), np.int64)
+        self.first[terms], self.size[terms] = ends - sizes, sizes
 
     def postings(self, term: int) -> np.ndarray:
-        return self.positions[self.start[term] : self.end[term]] if term in self.start else self.positions[:0]
+        return self.positions[self.first[term] : self.first[term] + self.size[term]]
 
     def has(self, terms: np.ndarray, positions: np.ndarray) -> np.ndarray:
-        wanted = (terms.astype(np.int64) << 32) | positions
-        at = np.searchsorted(self.keys, wanted)
-        at[at == len(self.keys)] = 0
-        return (self.keys[at] == wanted) & (positions >= 0) if len(self.keys) else np.zeros(len(wanted), bool)
+        return self.near(terms, positions, 0)
 
     def near(self, terms: np.ndarray, positions: np.ndarray, slop: int) -> np.ndarray:
-        low = (terms.astype(np.int64) << 32) | np.maximum(positions - slop, 0)
-        high = (terms.astype(np.int64) << 32) | np.maximum(positions + slop, 0)
-        return np.searchsorted(self.keys, low) < np.searchsorted(self.keys, high, "right")
+        place = (terms.astype(np.int64) << 32) + positions
+        return self.keys[np.searchsorted(self.keys, place - slop)] <= place + slop
 
 
 def _plan(windows: Windows, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,12 +199,12 @@ def _plan(windows: Windows, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return offsets, anchors
 
 
-def _matches(segment: _Segment, windows: Windows, offsets: np.ndarray, anchors: np.ndarray, slop: int):
-    """(window, start) of exact matches, and of proximity matches that are not exact."""
+def _exact(segment: _Segment, windows: Windows, offsets: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+    """(window, start) of exact matches."""
     order = np.argsort(anchors, kind="stable")
     terms, first = np.unique(anchors[order], return_index=True)
     ends = np.append(first[1:], len(order))
-    exact, near = [], []
+    exact = [np.empty((2, 0), np.int64)]
     for term, a, b in zip(terms.tolist(), first, ends):
         lists = segment.postings(term)
         # Positions of one term against its windows, in bounded pieces.
@@ -199,37 +212,83 @@ def _matches(segment: _Segment, windows: Windows, offsets: np.ndarray, anchors:
             piece = lists[cut : cut + 65_536 // max(1, b - a) + 1]
             window = np.repeat(order[a:b], len(piece))
             start = np.tile(piece, b - a) - offsets[window, 0]
-            alive = np.ones(len(window), bool)
-            close = np.ones(len(window), np.int32)
             for j in range(1, windows.terms.shape[1]):
+                if not len(window):
+                    break
                 offset = offsets[window, j]
                 term_j = windows.terms[window, offset]
-                real = term_j >= 0
-                alive &= ~real | segment.has(term_j, start + offset)
-                if slop:
-                    close += real & segment.near(term_j, start + offset, slop)
-                elif not alive.any():
-                    break
-                else:
-                    window, start, close, alive = window[alive], start[alive], close[alive], alive[alive]
-            exact.append(np.stack([window[alive], start[alive]]))
-            if slop:
-                loose = ~alive & (close >= NEAR_SHARE * windows.size[window]) & (windows.size[window] > 1)
-                near.append(np.stack([window[loose], start[loose]]))
-    empty = np.empty((2, 0), np.int64)
-    return (np.concatenate(x, axis=1) if x else empty for x in (exact, near))
-
-
-def _document_hits(row: dict, windows: Windows, offsets, anchors, slop: int) -> Iterator[tuple]:
+                alive = (term_j < 0) | segment.has(term_j, start + offset)
+                window, start = window[alive], start[alive]
+            exact.append(np.stack([window, start]))
+    return np.concatenate(exact, axis=1)
+
+
+def _close(segment, windows, offsets, allowed, window, start, slop):
+    """Of (window, start) those with at most ``allowed`` words away from their place, and how many are."""
+    away = np.zeros(len(window), np.int32)
+    for j in range(windows.terms.shape[1]):
+        offset = offsets[window, j]
+        term = windows.terms[window, offset]
+        away += (term >= 0) & ~segment.near(term, start + offset, slop)
+        kept = away <= allowed[window]
+        window, start, away = window[kept], start[kept], away[kept]
+    return window, start, away
+
+
+def _near(segment: _Segment, windows: Windows, offsets: np.ndarray, slop: int) -> np.ndarray:
+    """(window, start) of proximity matches, the best start of each."""
+    allowed = windows.size - np.ceil(NEAR_SHARE * windows.size - 1e-9).astype(np.int32)
+    window, j = np.nonzero(np.arange(windows.terms.shape[1]) <= allowed[:, None])
+    several = windows.size[window] > 1
+    window, offset = window[several], offsets[window[several], j[several]]
+    term = windows.terms[window, offset]
+    sizes = segment.size[term]
+    found = [np.empty((3, 0), np.int64)]
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + PAIRS, "right")))
+        pair = np.repeat(np.arange(at, to), sizes[at:to])
+        rank = np.arange(len(pair)) - (ends - sizes - done)[pair]
+        at = to
+        start = segment.positions[segment.first[term[pair]] + rank] - offset[pair]
+        # The anchor may stand anywhere in the slop, so all others within twice of it.
+        hit, start, _ = _close(segment, windows, offsets, allowed, window[pair], start, 2 * slop)
+        hit = np.repeat(hit, 2 * slop + 1)
+        start = (start[:, None] + np.arange(-slop, slop + 1)).ravel()
+        found.append(np.stack(_close(segment, windows, offsets, allowed, hit, start, slop)))
+    window, start, away = np.unique(np.concatenate(found, axis=1), axis=1)
+    if not len(window):
+        return np.empty((2, 0), np.int64)
+    # Windows one after the other, starts ascending: a new run where either jumps.
+    run = np.cumsum(np.append(True, (np.diff(window) > 0) | (np.diff(start) > slop))) - 1
+    whole = np.ones(len(window), bool)
+    for k in range(windows.terms.shape[1]):
+        term = windows.terms[window, k]
+        whole &= (term < 0) | segment.has(term, start + k)
+    exact = np.bincount(run, whole) > 0
+    best = np.lexsort((start, away, run))
+    best = best[np.append(True, np.diff(run[best]) > 0)]
+    best = best[~exact[run[best]]]
+    return np.stack([window[best], start[best]])
+
+
+def _document_hits(row: dict, windows: Windows, offsets, anchors, slop: int, gap: int) -> Iterator[tuple]:
     counts = np.array(row["n_words"], np.int64)
-    starts = np.concatenate([[0], np.cumsum(counts + 1)[:-1]])
+    starts = _starts(counts, gap)
     segment = _Segment(
-        np.array(row["terms"], np.int32), np.array(row["posting_ends"], np.int64), np.frombuffer(row["positions"], np.int32)
+        np.array(row["terms"], np.int32), np.array(row["posting_ends"], np.int64), np.frombuffer(row["positions"], np.int32),
+        len(windows.vocabulary),
     )
-    exact, near = _matches(segment, windows, offsets, anchors, slop)
+    exact = _exact(segment, windows, offsets, anchors)
+    near = _near(segment, windows, offsets, slop) if slop and len(windows.terms) else np.empty((2, 0), np.int64)
     owner = np.searchsorted(starts, exact[1], "right") - 1
-    near_owner = np.searchsorted(starts, near[1], "right") - 1
-    near_counts = np.bincount(near_owner[near_owner >= 0], minlength=len(counts))
+    # A near start may lie before its document, by less than the gap.
+    near_owner = np.searchsorted(starts - (windows.terms.shape[1] - 1 + slop), near[1], "right") - 1
+    close = [set() for _ in counts]
+    for d, w, at in zip(near_owner.tolist(), near[0].tolist(), (near[1] - starts[near_owner]).tolist()):
+        close[d].add((windows.ids[windows.item[w]], min(max(at, 0), int(counts[d]) - 1)))
     order = np.argsort(owner, kind="stable")
     cuts = np.searchsorted(owner[order], np.arange(len(counts) + 1))
     for d, (name, key) in enumerate(zip(row["doc_ids"], row["text_keys"])):
@@ -239,16 +298,17 @@ def _document_hits(row: dict, windows: Windows, offsets, anchors, slop: int) ->
             begin = exact[1][mine] - starts[d]
             end = begin + windows.size[exact[0][mine]]
             by = np.argsort(begin, kind="stable")
-            begin, reach = begin[by], np.maximum.accumulate(end[by])
-            fresh = np.concatenate([[True], begin[1:] > reach[:-1]])
+            begin, upto = begin[by], np.maximum.accumulate(end[by])
+            fresh = np.concatenate([[True], begin[1:] > upto[:-1]])
             last = np.concatenate([fresh[1:], [True]])
-            spans = np.stack([begin[fresh], reach[last]], axis=1).ravel().tolist()
+            spans = np.stack([begin[fresh], upto[last]], axis=1).ravel().tolist()
             found = {windows.ids[i] for i in np.unique(windows.item[exact[0][mine]])}
             items = sorted(x for x in found if x is not None)
-        yield name, key, int(counts[d]), spans, items, int(near_counts[d])
+        places = sorted(close[d], key=lambda x: (x[1], x[0] is None, x[0] or ""))
+        yield name, key, int(counts[d]), spans, items, [{"item": i, "start": a} for i, a in places], len(places)
 
 
-def search(index: DataFrame, windows: Windows, slop: int = 0) -> DataFrame:
+def search(index: DataFrame, windows: Windows, slop: int = 0, gap: int = reach(WIDTH, SLOP)) -> DataFrame:
     """HITS_SCHEMA, one row per indexed document; spans are flat, merged [start, end) pairs."""
     counts = document_counts(index, len(windows.vocabulary))
     shared = index.sparkSession.sparkContext.broadcast((windows, *_plan(windows, counts)))
@@ -257,12 +317,13 @@ def search(index: DataFrame, windows: Windows, slop: int = 0) -> DataFrame:
         tests, offsets, anchors = shared.value
         schema = pa.schema(
             {"doc_id": pa.int64(), "text_key": pa.int64(), "n_words": pa.int64(), "spans": pa.list_(pa.int32()),
-             "items": pa.list_(pa.string()), "n_near": pa.int64()}
+             "items": pa.list_(pa.string()),
+             "near": pa.list_(pa.struct({"item": pa.string(), "start": pa.int32()})), "n_near": pa.int64()}
         )
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                columns = list(zip(*_document_hits(row, tests, offsets, anchors, slop)))
+                columns = list(zip(*_document_hits(row, tests, offsets, anchors, slop, gap)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return index.mapInArrow(look, HITS_SCHEMA)
@@ -288,16 +349,21 @@ def find_contamination(
     pass_words: int = PASS_WORDS,
 ) -> DataFrame:
     """HITS_SCHEMA: what every document shares with the benchmark."""
-    found = []
+    found, gap = [], reach(width, slop)
     for items in _passes(benchmark, item_id, item_text, pass_words):
         windows = windows_of(items, width)
         if not len(windows.terms) and found:
             continue
-        index = stored(build_index(documents, windows.vocabulary, doc_id, text), "postings")
-        found.append(search(index, windows, slop))
+        index = stored(build_index(documents, windows.vocabulary, doc_id, text, gap=gap), "postings")
+        found.append(search(index, windows, slop, gap))
     return found[0] if len(found) == 1 else _merged(found)
 
 
+def _by_start(a, b):
+    less = (a["start"] < b["start"]) | ((a["start"] == b["start"]) & F.coalesce(a["item"] < b["item"], a["item"].isNotNull()))
+    return F.when(a == b, 0).when(less, -1).otherwise(1)
+
+
 def _merged(found: list[DataFrame]) -> DataFrame:
     """Hits of several passes over the same documents.
 
@@ -310,9 +376,9 @@ def _merged(found: list[DataFrame]) -> DataFrame:
     grouped = whole.groupBy("doc_id", "text_key", "n_words").agg(
         F.flatten(F.collect_list("spans")).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.sum("n_near").alias("n_near"),
+        F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"),
         F.count("*").alias("rows"),
-    )
+    ).withColumns({"near": F.array_sort("near", _by_start), "n_near": F.size("near").cast("bigint")})
     copies = F.explode(F.sequence(F.lit(1), (F.col("rows") / len(found)).cast("int")))
     return grouped.select("*", copies.alias("copy")).drop("rows", "copy")
 

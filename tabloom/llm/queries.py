@@ -94,7 +94,7 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     hits = decontamination.find_contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
     return decontamination.judge(hits).select(
         "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        "contaminated", "n_near",
+        "contaminated", "n_near", "near",
     )
 
 

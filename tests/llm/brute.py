@@ -36,6 +36,30 @@ def contamination(texts, items, width=13):
         yield len(w), len(hit), len(ids), sha(",".join(ids)), len(hit) > 0 and 20 * len(hit) >= len(w)
 
 
+def near_passages(text, items, width=13, slop=3, share=0.8):
+    """{(item, start)}: every start tried, runs of starts up to slop apart merged, those with an exact one left out."""
+    w, result = words(text), set()
+    for item, body in items:
+        b = words(body)
+        for i in range(max(1, len(b) - width + 1)) if len(b) > 1 else ():
+            part, starts = b[i : i + width], []
+            for s in range(-width - slop, len(w) + slop):
+                n = sum(t in w[max(s + k - slop, 0) : max(s + k + slop + 1, 0)] for k, t in enumerate(part))
+                if n >= share * len(part) - 1e-9:
+                    starts.append((s, n, s >= 0 and w[s : s + len(part)] == part))
+            runs = []
+            for x in starts:
+                if runs and x[0] - runs[-1][-1][0] <= slop:
+                    runs[-1].append(x)
+                else:
+                    runs.append([x])
+            for run in runs:
+                if not any(x[2] for x in run):
+                    best = max(run, key=lambda x: (x[1], -x[0]))[0]
+                    result.add((None if item is None else str(item), min(max(best, 0), len(w) - 1)))
+    return result
+
+
 def shingles(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(UPPER))
     return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} if w else set()

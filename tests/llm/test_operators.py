@@ -304,6 +304,30 @@ def test_proximity_matches(spark):
     assert rows[1].n_near > 0 and not rows[1].spans and rows[2].n_near == 0
 
 
+@pytest.mark.parametrize("passes", [1, 3])
+def test_proximity_matches_are_all_found(spark, passes):
+    """The rarest word changed, a passage cut at the document's start, neighbours in one segment."""
+    random = np.random.default_rng(4)
+    item = [f"i{k}" for k in range(20)]
+    items = [(1, " ".join(item)), (1, " ".join(item)), (2, " ".join(f"v{k % 6}" for k in range(17))), (None, "p q r s t")]
+    bodies = [" ".join(item[:6] + ["misspelt"] + item[7:]), " ".join(item[:8]), " ".join(item[8:]), " ".join(item[2:]), "", "p q x s t"]
+    for _ in range(60):
+        w = list(item[random.integers(0, 5) :]) if random.random() < 0.6 else [f"v{k}" for k in random.integers(0, 6, 25)]
+        for _ in range(random.integers(0, 4)):
+            w[random.integers(0, len(w))] = f"x{random.integers(0, 3)}"
+        for _ in range(random.integers(0, 4)):
+            w.insert(random.integers(0, len(w)), f"i{random.integers(0, 20)}")
+        bodies.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(bodies)), "doc_id bigint, text string").coalesce(1)
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    options = {} if passes == 1 else {"pass_words": 18}
+    rows = {r.doc_id: r for r in decontamination.find_contamination(docs, benchmark, **options).collect()}
+    for i, body in enumerate(bodies):
+        got = [(n["item"], n.start) for n in rows[i].near]
+        assert len(got) == rows[i].n_near and set(got) == brute.near_passages(body, items), (i, body)
+    assert rows[0].n_near > 0 and rows[1].n_near == 0
+
+
 # 8 near duplicates
 
 
