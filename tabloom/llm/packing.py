@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.words import LOWER, stored, utf8
+from tabloom.llm.words import stored, utf8
 
 CAPACITY = 4096
 UNIT = 16
@@ -48,9 +48,9 @@ class _Memo(dict):
     """Token ids of a white-space delimited chunk, asked of the tokenizer once; as
     little-endian unsigned 32-bit numbers, which join without a look at each.
 
-    White space never enters a token of this vocabulary, and lower-casing ASCII first
-    changes nothing as its normaliser lower-cases; so a text's ids are those of its
-    chunks in turn.  Trailing ASCII punctuation after a letter or digit is a token
+    White space never enters a token of this vocabulary, so a text's ids are those of its
+    chunks in turn.  Chunks of ASCII alone are lower-cased first, which its normaliser does
+    anyway; others are not, as it composes before that and a composed capital differs.  Trailing ASCII punctuation after a letter or digit is a token
     group of its own and looked up apart, which keeps the memo small.
     """
 
@@ -82,7 +82,8 @@ class Encoder:
         if b"<|" in text:  # may name a special token, in which white space or case matter
             ids = packed(self.memo.tokenizer.encode(text.decode(), add_special_tokens=False).ids)
         else:
-            ids = b"".join(map(self.memo.__getitem__, text.translate(LOWER).split()))
+            chunks = text.lower().split() if text.isascii() else [c.lower() if c.isascii() else c for c in text.split()]
+            ids = b"".join(map(self.memo.__getitem__, chunks))
         return np.frombuffer(ids + packed([end_id]), "<u4")
 
 

@@ -254,6 +254,16 @@ def test_packing_holds_every_token_once(which, request):
         assert at <= 4096
 
 
+def test_decomposed_capitals_keep_their_ids():
+    from tokenizers import Tokenizer
+
+    plain, encode = Tokenizer.from_file(tokenizer_path()), packing.Encoder(tokenizer_path())
+    marks = ("\u0300", "\u0301", "\u0302", "\u0307", "\u0308", "\u030a", "\u030c", "\u0327", "\u0331")
+    names = [f"{a}{c}{m}{b}" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for m in marks for a, b in (("", ""), ("x", "oe."), ("", "SON!"))]
+    for text in [*names, " ".join(names), "T\u0308 PLAIN Caps \u0130stanbul \u00c4RGER"]:
+        assert encode(text.encode(), 2).tolist() == plain.encode(text, add_special_tokens=False).ids + [2], text
+
+
 def test_column_generation_reaches_the_bound():
     random = np.random.default_rng(5)
     demand = np.zeros(64, np.int64)
