@@ -157,8 +157,6 @@ def mixtures(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
         better = penalised > best_value
         best = np.where(better[:, None], share, best)
         best_value = np.where(better, penalised, best_value)
-        if not better.any():
-            break
     return known, best
 
 

@@ -154,6 +154,15 @@ def test_language_mixture(documents):
     assert np.isclose(share.sum(), 1) and (share > 0.3).sum() == 2
 
 
+def test_language_sets_do_not_depend_on_the_batch(documents, monkeypatch):
+    """The search tries every size, also where no document of the batch improved at the one before."""
+    model, sizes, mixture = langid.fit(documents), [], langid._mixture
+    monkeypatch.setattr(langid, "_mixture", lambda *a: sizes.append(int(a[4].sum(axis=1).max())) or mixture(*a))
+    text = documents.where("lang = 'en' AND n_chars > 1500").first().text
+    langid.mixtures([text], model)
+    assert sorted(sizes) == list(range(1, len(model.languages) + 1))
+
+
 def test_language_edges(awkward, empty, spark):
     model = langid.fit(awkward)
     rows = {r.doc_id: r.language for r in langid.annotate(awkward, model).collect()}
