@@ -9,7 +9,9 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import decontamination, jaccard, langid, licenses, packing, pii, search, sharding, toxicity, urls
+from tabloom.llm import (
+    alignment, decontamination, dedup, jaccard, langid, licenses, packing, pii, repair, search, sharding, toxicity, urls,
+)
 from tabloom.llm.words import id_crc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +131,52 @@ FROM h LEFT JOIN best ON h.n = best.n
 @_query("op10_url_bloom_filter", URLS_SQL)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(_table(spark, folder, "pages"), urls.rule_table(spark, urls.RULES))
+
+
+DEDUP_SQL = r"""
+WITH bare AS (SELECT doc_id, length(coalesce(text, '')) AS points, row_number() OVER () AS r,
+              sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+       row_number() OVER best = 1 AS kept, text_sha256
+FROM bare WINDOW best AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id NULLS LAST, r)
+"""
+
+
+@_query("op11_fuse_filter_dedup", DEDUP_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents").select("doc_id", "text")
+    return dedup.deduplicate(documents, dedup.by_arrival(), dedup.BATCHES)
+
+
+def alignment_files() -> alignment.Files:
+    import public_tokenizers
+
+    at = public_tokenizers.path
+    return alignment.Files(
+        at("byte_bpe_50k.json"), at("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, at("piece_bpe_32k.model")
+    )
+
+
+@_query("op12_pair_bitmap_alignment")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    found, _ = alignment.align(_table(spark, folder, "documents"), alignment_files())
+    return found
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows as the contract damages them; dropped ones are marked ``gone``."""
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    lot = (F.crc32(key.cast("binary")) % 20).alias("lot")
+    text = F.coalesce("text", F.lit(" "))
+    rows = conversations.select("conv_id", "turn", "role", text.alias("text"), lot)
+    return rows.select(
+        "conv_id", "turn", F.when(F.col("lot") == 4, F.lit("user")).otherwise(F.col("role")).alias("role"),
+        F.when(F.col("lot") == 1, F.lit("")).when(F.col("lot") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")).alias("text"),
+        (F.col("lot") == 0).alias("gone"),
+        F.explode(F.when(F.col("lot") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    )
+
+
+@_query("op13_branch_and_bound_repair")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.repair(damaged(_table(spark, folder, "conversations")), gone=F.col("gone"))
