@@ -377,23 +377,26 @@ def align(documents: DataFrame, files: Files, doc_id: str = "doc_id", text: str
     """Documents (doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256), and the pairs of ``pair_counts``."""
     indexed = index(documents, files, doc_id, text)
     pairs = stored(pair_counts(indexed), "pairs")
-    postings = indexed.where("posting").select("block", "a", "b", "planes")
-    known = join_weighted(postings, pairs.select("a", "b", "count", "best", "blocks"), ["a", "b"], "blocks")
+    # Only the keys of the bitmaps go to their counts; the bitmaps go to their block once.
+    keys = indexed.where("posting").select("block", "a", "b")
+    known = join_weighted(keys, pairs.select("a", "b", "count", "best", "blocks"), ["a", "b"], "blocks")
     kind = indexed.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
 
-    def gather(rows: pa.Table, held: pa.Table) -> pa.Table:
+    def gather(rows: pa.Table, counted: pa.Table) -> pa.Table:
+        is_posting = rows.column("posting").to_numpy()
+        held, rows = rows.filter(pa.array(is_posting)), rows.filter(pa.array(~is_posting))
+        # Both sides have every pair of the block once.
+        ours, theirs = (np.lexsort((t.column("b").to_numpy(), t.column("a").to_numpy())) for t in (held, counted))
+        count, best = np.zeros(len(ours), np.int64), np.zeros(len(ours), np.int64)
+        count[ours], best[ours] = counted.column("count").to_numpy()[theirs], counted.column("best").to_numpy()[theirs]
         number = rows.column("number").to_numpy()
-        n_best, sums = scores(
-            held.column("planes").to_pylist(), held.column("count").to_numpy(), held.column("best").to_numpy().astype(np.int64),
-            int(number.max(initial=-1)) + 1,
-        )
+        n_best, sums = scores(held.column("planes").to_pylist(), count, best, int(number.max(initial=-1)) + 1)
         columns = [rows.column(n) for n in ("doc_id", *FIGURES)]
         columns += [pa.array(n_best[number], pa.int64()), pa.array(sums[number], pa.int64()), rows.column("groups_sha256")]
         return pa.table(columns, names=["doc_id", *FIGURES, "n_best", "count_sum", "groups_sha256"])
 
-    figures = indexed.where("NOT posting").select("block", "number", "doc_id", *FIGURES, "groups_sha256")
+    rows = indexed.select("block", "posting", "number", "doc_id", *FIGURES, "groups_sha256", "a", "b", "planes")
     # Fresh column ids: both sides stem from the index.
-    held = known.select(*[F.col(c).alias(c) for c in ("block", "planes", "count", "best")])
-    found = figures.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(gather, schema)
-    return found, pairs
+    counted = known.select(*[F.col(c).alias(c) for c in ("block", "a", "b", "count", "best")])
+    return rows.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(gather, schema), pairs
