@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tabloom.llm.words import join_weighted, stored
 
-SLICE_CHARS = 6_000_000
+SLICE_CHARS = 4_000_000
 BLOCK_DOCUMENTS = 1 << 16
 BLOCK_POSTINGS = 6_000_000
 ARRAY_MEMBERS = 4096
