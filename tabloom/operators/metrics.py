@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.values import quoted, rounded
 from tabloom.plans.ordering import evenly_spaced, running_totals
+from tabloom.session import cut_lineage
 
 
 def label_pairs(
@@ -125,13 +126,13 @@ def _cumulated(
     scored: DataFrame, score: str, positive: Column, by: Sequence[str], pieces: int | None
 ) -> DataFrame:
     """Distinct scores with the positives and negatives at or above each."""
-    counts = score_counts(scored, score, positive, by)
+    counts = cut_lineage(score_counts(scored, score, positive, by))
     summed = running_totals(
         counts, "score", {"pos_to": F.col("pos"), "neg_to": F.col("neg")}, by, pieces
     )
     totals = counts.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     joined = (
-        summed.join(F.broadcast(totals), list(by)) if by else summed.crossJoin(F.broadcast(totals))
+        summed.join(totals, list(by)) if by else summed.crossJoin(F.broadcast(totals))
     )
     return joined.withColumn("tp", F.col("P") - F.col("pos_to") + F.col("pos")).withColumn(
         "fp", F.col("N") - F.col("neg_to") + F.col("neg")

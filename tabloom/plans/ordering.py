@@ -1,9 +1,10 @@
 """Global running sums and positions without a one-partition window.
 
 The ordered domain is split at cut points; each piece is windowed on its own
-and shifted by the total of the pieces before it.  Cut points come from a
-bottom-k hash sample: deterministic and valid for any orderable type.  The number
-of pieces follows the counted rows, without an upper limit.
+and shifted by the total of the pieces before it.  Cut points come from a hash
+threshold: a row is sampled if its hash is small enough, which needs no ordering, works
+in every task by itself and is valid for any orderable type.  The share of sampled rows is the same in every group,
+so a group gets as many pieces as its rows ask for.  The number of pieces follows the counted rows, without an upper limit.
 """
 
 from __future__ import annotations
@@ -18,33 +19,26 @@ from pyspark.sql import types as T
 SAMPLE_PER_BUCKET = 16
 ROWS_PER_PIECE = 500_000
 LEAST_PIECES = 8
-# So many small rows are broadcast at most; more pieces are joined by shuffle.
-BROADCAST_PIECES = 20_000
+HASH_RANGE = 1 << 40
 
 
-def piece_count(df: DataFrame) -> int:
-    """Pieces of about ``ROWS_PER_PIECE`` rows; one counting job over no columns."""
-    return max(LEAST_PIECES, df.count() // ROWS_PER_PIECE + 1)
+def pieces_of(rows: int) -> int:
+    return max(LEAST_PIECES, rows // ROWS_PER_PIECE + 1)
 
 
-def _cut_table(df: DataFrame, order: str, by: Sequence[str], pieces: int) -> DataFrame:
-    """One row per group: the sorted cut points, in blocks of about their square root.
+def _cut_table(df: DataFrame, order: str, by: Sequence[str], pieces: int, rows: int) -> DataFrame:
+    """One row per sampled group: the sorted cut points, in blocks of about their square root.
 
-    Without groups the row becomes a literal, so a re-run task sees the same pieces;
-    with groups it stays a table.
+    All groups together have about one cut for each piece.  Without groups the row becomes a
+    literal, so a re-run task sees the same pieces; with groups it stays a table.
     """
-    size = pieces * SAMPLE_PER_BUCKET
-    by_hash = Window.partitionBy(*by).orderBy(F.xxhash64(order), F.col(order))
-    sample = (
-        df.select(*by, order)
-        .withColumn("_r", F.row_number().over(by_hash))
-        .where(F.col("_r") <= size)
-        if by
-        else df.select(order).orderBy(F.xxhash64(order), F.col(order)).limit(size)
+    share = min(1.0, pieces * SAMPLE_PER_BUCKET / max(1, rows))
+    sample = df.select(*by, order).where(
+        F.pmod(F.xxhash64(F.lit(29), order), F.lit(HASH_RANGE)) < F.lit(int(share * HASH_RANGE))
     )
     kept = F.array_sort(F.collect_set(order))
     cuts = F.filter(kept, lambda _, i: (i + 1) % SAMPLE_PER_BUCKET == 0)
-    width = max(1, math.isqrt(pieces))
+    width = _width(pieces)
     starts = F.sequence(F.lit(0), F.greatest(F.size("_flat") - 1, F.lit(0)), F.lit(width))
     blocks = F.transform(starts, lambda s: F.slice("_flat", s + 1, width))
     table = sample.groupBy(*by).agg(cuts.alias("_flat")).select(*by, blocks.alias("_cuts"))
@@ -54,22 +48,23 @@ def _cut_table(df: DataFrame, order: str, by: Sequence[str], pieces: int) -> Dat
     return df.sparkSession.createDataFrame(table.collect(), T.StructType([T.StructField("_cuts", kind)]))
 
 
-def _with_piece(df: DataFrame, order: str, by: Sequence[str], pieces: int) -> DataFrame:
-    table = _cut_table(df, order, by, pieces)
-    # By column name alone there is one row of cuts per column; other groups may be many.
-    small = set(by) <= {"column"} and pieces <= BROADCAST_PIECES
-    table = F.broadcast(table) if small else table
+def _width(pieces: int) -> int:
+    return max(1, math.isqrt(pieces))
+
+
+def _with_piece(df: DataFrame, order: str, by: Sequence[str], pieces: int, rows: int) -> DataFrame:
+    # Bounded: one cut for each ``ROWS_PER_PIECE`` rows of the whole table, whatever the groups.
+    table = F.broadcast(_cut_table(df, order, by, pieces, rows))
     joined = df.join(table, list(by), "left") if by else df.crossJoin(table)
     # Two short searches: the last block that starts at or before the value, then inside it.
     block = F.size(F.filter("_cuts", lambda b: F.get(b, F.lit(0)) <= F.col(order)))
     inside = F.size(F.filter(F.get("_cuts", block - 1), lambda cut: cut <= F.col(order)))
-    width = max(1, math.isqrt(pieces))
-    position = F.when(block > 0, (block - 1) * width + inside).otherwise(0)
+    position = F.when(block > 0, (block - 1) * _width(pieces) + inside).otherwise(0)
     return joined.withColumn("_b", F.coalesce(position, F.lit(0))).drop("_cuts")
 
 
 def _shifted(
-    pieced: DataFrame, order: Sequence[Column], sums: Mapping[str, Column], by: Sequence[str], pieces: int
+    pieced: DataFrame, order: Sequence[Column], sums: Mapping[str, Column], by: Sequence[str]
 ) -> DataFrame:
     names = list(sums)
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(
@@ -90,8 +85,7 @@ def _shifted(
         "*", *[F.sum(expr).over(inside).alias("_l_" + n) for n, expr in sums.items()]
     )
     # One row per piece; with groups adaptive execution decides by the real size.
-    few = not by and pieces <= BROADCAST_PIECES
-    shifted = local.join(F.broadcast(offsets) if few else offsets, [*by, "_b"], "left")
+    shifted = local.join(offsets if by else F.broadcast(offsets), [*by, "_b"], "left")
     for n in names:
         shifted = shifted.withColumn(n, F.col("_l_" + n) + F.col("_o_" + n))
     return shifted.drop("_b", *["_l_" + n for n in names], *["_o_" + n for n in names])
@@ -104,9 +98,13 @@ def running_totals(
     by: Sequence[str] = (),
     pieces: int | None = None,
 ) -> DataFrame:
-    """Add inclusive running sums over ``order`` (unique within ``by``)."""
-    by, pieces = list(by), pieces or piece_count(df)
-    return _shifted(_with_piece(df, order, by, pieces), [F.col(order)], sums, by, pieces)
+    """Add inclusive running sums over ``order`` (unique within ``by``).
+
+    The table is read three times (rows counted, cuts drawn, sums made): an aggregated one should be cut off first.
+    """
+    by, rows = list(by), df.count()
+    pieces = pieces or pieces_of(rows)
+    return _shifted(_with_piece(df, order, by, pieces, rows), [F.col(order)], sums, by)
 
 
 def with_position(
@@ -127,11 +125,11 @@ def hash_position(
     Pieces are ranges of the hash itself, so a class holding most of the rows
     is still spread over all of them.
     """
-    bits = max(1, ((pieces or piece_count(df)) - 1).bit_length())
+    bits = max(1, ((pieces or pieces_of(df.count())) - 1).bit_length())
     hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(c) for c in key]))
     pieced = hashed.withColumn("_b", F.shiftright("_h", 64 - bits))
     order = [F.col("_h"), *[F.col(c) for c in key]]
-    numbered = _shifted(pieced, order, {name: F.lit(1)}, list(by), 1 << bits)
+    numbered = _shifted(pieced, order, {name: F.lit(1)}, list(by))
     return numbered.withColumn(name, F.col(name) - 1).drop("_h")
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tabloom.plans.ordering import evenly_spaced, hash_position, running_totals, with_position
+from tabloom.plans.ordering import _cut_table, evenly_spaced, hash_position, running_totals, with_position
 from tabloom.plans.quantiles import long_quantiles
 
 PROBABILITIES = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
@@ -57,11 +57,23 @@ def test_running_totals_agree(spark, by):
     frame = pd.DataFrame({"g": [i % 2 for i in range(3000)], "k": range(3000), "w": [i % 5 for i in range(3000)]})
     df = spark.createDataFrame(frame.sample(frac=1, random_state=1)).repartition(6)
     expected = frame.groupby("g")["w"].cumsum() if by else frame["w"].cumsum()
-    for pieces in (None, 1, 40):
+    for pieces in (None, 1, 40, 100, 1500):
         got = running_totals(df, "k", {"s": F.col("w")}, by, pieces).orderBy("k").toPandas()
         assert got["s"].tolist() == expected.tolist()
 
 
+def test_groups_are_cut_without_ordering_them(spark):
+    """Cuts follow the rows of a group, and no window holds a whole one."""
+    df = spark.range(40_000).select(F.when(F.col("id") % 4 > 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 200)).alias("g"), "id")
+    cuts = {r["g"]: sum(map(len, r["_cuts"])) for r in _cut_table(df, "id", ["g"], 100, 40_000).collect()}
+    assert 55 <= cuts["hot"] <= 95 and all(n <= 3 for g, n in cuts.items() if g != "hot")
+    plan = _cut_table(df, "id", ["g"], 100, 40_000)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort " not in plan
+    whole = running_totals(df, "id", {"n": F.lit(1)}, ["g"], 100)
+    windows = re.findall(r"Window \[.*?\], \[([^\]]*)\]", whole._jdf.queryExecution().executedPlan().toString())
+    assert any("_b" in w and "g#" in w for w in windows) and not any(re.fullmatch(r"g#\d+", w) for w in windows if "id" in w)
+
+
 def test_positions_for_text_and_composite_keys(spark):
     frame = pd.DataFrame({"a": [f"k{i % 13:02d}" for i in range(1000)], "b": range(1000)})
     df = spark.createDataFrame(frame.sample(frac=1, random_state=3)).repartition(7)
