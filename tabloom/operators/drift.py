@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,7 @@ from tabloom.functions.values import (
     DRIFT_BOOLEAN_TOKENS,
     DRIFT_MISSING_LABEL,
     is_floating_type,
+    is_numeric_type,
     is_temporal_type,
     null_if_nan,
     quoted,
@@ -28,6 +29,8 @@ from tabloom.operators.profile import base_profile, schema_table
 from tabloom.plans.longform import numeric_long, rows_from_one, to_long
 from tabloom.plans.ordering import running_totals
 from tabloom.plans.quantiles import long_quantiles
+from tabloom.plans.sizing import spread
+from tabloom.session import cut_lineage
 
 # Smoothing, status limits and retrain score.
 PSI_DRIFT = 0.25
@@ -191,20 +194,26 @@ def psi_numeric(reference: DataFrame, current: DataFrame, columns: Sequence[str]
     return _psi_numeric_long(ref, cur)
 
 
+# Inner edges only: the outer bins are open.  Repeated edges make no bin.
+INNER_BIN = " + ".join(
+    f"CAST(q[{i}] > q[0] AND q[{i}] < q[10] AND q[{i}] <= {{v}} AS INT)" for i in range(1, 10)
+)
+
+
 def _psi_numeric_long(ref: DataFrame, cur: DataFrame) -> DataFrame:
     edges = long_quantiles(ref, DECILES)
-    # Inner edges only: the outer bins are open.  Repeated edges make no bin.
-    inner = " + ".join(
-        f"CAST(q[{i}] > q[0] AND q[{i}] < q[10] AND q[{i}] <= value AS INT)" for i in range(1, 10)
-    )
     both = ref.select("column", "value", F.lit(0).alias("s")).unionByName(
         cur.select("column", "value", F.lit(1).alias("s"))
     )
-    cells = (
+    return _psi_of_bins(
         both.join(F.broadcast(edges), "column")
-        .groupBy("column", F.size(F.array_distinct("q")).alias("edges"), F.expr(inner).alias("bin"))
+        .groupBy("column", F.size(F.array_distinct("q")).alias("edges"), F.expr(INNER_BIN.format(v="value")).alias("bin"))
         .agg(F.count_if(F.col("s") == 0).alias("ref"), F.count_if(F.col("s") == 1).alias("cur"))
     )
+
+
+def _psi_of_bins(cells: DataFrame) -> DataFrame:
+    """(column, psi) from (column, edges, bin, ref, cur)."""
     # At most ten bins per column, so one column's bins fit one task.  Bins that
     # are empty on both sides are added in closed form.
     whole = Window.partitionBy("column")
@@ -253,7 +262,7 @@ def ks(
     reference: DataFrame, current: DataFrame, columns: Sequence[str], pieces: int | None = None
 ) -> DataFrame:
     """Largest gap of the two distribution functions, over distinct values."""
-    return _ks_from(_numbers(reference, current, columns), pieces)
+    return _ks_from(cut_lineage(_numbers(reference, current, columns)), pieces)
 
 
 def mean_shift(reference: DataFrame, current: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -270,18 +279,120 @@ def drift_status(psi: Column) -> Column:
     )
 
 
+def side_values(
+    reference: DataFrame, current: DataFrame, columns: Sequence[str] | None = None
+) -> DataFrame:
+    """(column, value, number, ref, cur): every distinct cell of both sides, from one scan of each.
+
+    A number of one type on both sides stays a number (``value`` is NULL); all else is text,
+    which is read as a number once per distinct text and side (``ref_number``, ``cur_number``).
+    """
+    names = list(columns or shared_columns(reference, current))
+    kinds = {c: (reference.schema[c].dataType, current.schema[c].dataType) for c in names}
+    plain = {c for c, (r, k) in kinds.items() if r == k and is_numeric_type(r)}
+
+    def side(df: DataFrame, which: int) -> DataFrame:
+        cells = [
+            F.struct(
+                (F.lit(None) if c in plain else null_if_nan(quoted(c), kinds[c][which]))
+                .cast("string").alias("value"),
+                (to_number(quoted(c), kinds[c][which]) if c in plain else F.lit(None)).cast("double").alias("number"),
+            ).alias(c)
+            for c in names
+        ]
+        long = spread(df.select(*[quoted(c) for c in names])).select(*cells)
+        return long.unpivot([], [quoted(c) for c in names], "column", "cell").select(
+            "column", "cell.value", "cell.number", F.lit(which).alias("_side")
+        )
+
+    counts = side(reference, 0).unionByName(side(current, 1)).groupBy("column", "value", "number").agg(
+        F.count_if(F.col("_side") == 0).alias("ref"), F.count_if(F.col("_side") == 1).alias("cur")
+    )
+    read = [F.lit(None).cast("double")] * 2
+    for which in (0, 1):
+        for c in names:
+            if c not in plain and not is_temporal_type(kinds[c][which]):
+                boolean = isinstance(kinds[c][which], T.BooleanType)
+                number = F.col("value").cast("boolean").cast("double") if boolean else to_number(F.col("value"))
+                read[which] = F.when(F.col("column") == c, number).otherwise(read[which])
+    return counts.select(
+        "*", *[F.coalesce("number", r).alias(n) for n, r in zip(("ref_number", "cur_number"), read)]
+    )
+
+
+def _facts_of(values: DataFrame, reference: DataFrame, current: DataFrame) -> list[Row]:
+    """One row per column: kind, flag and means, from the distinct cells."""
+    aggs = []
+    for side, df in (("ref", reference), ("cur", current)):
+        kinds = {f.name: f.dataType for f in df.schema.fields}
+        broken = [c for c, k in kinds.items() if is_floating_type(k) or is_temporal_type(k)]
+        whole = F.coalesce("value", F.col("number").cast("decimal(38, 0)").cast("string"))
+        token = F.lower(F.trim(whole))
+        bit = F.array_position(F.array(*map(F.lit, DRIFT_BOOLEAN_TOKENS)), token)
+        bits = F.when(F.col("column").isin(broken), F.lit(1)).otherwise(F.pow(F.lit(2), bit).cast("long"))
+        present = (F.col(side) > 0) & F.coalesce("value", F.col("number").cast("string")).isNotNull()
+        number = F.col(f"{side}_number")
+        counted = F.sum(F.when(number.isNotNull(), F.col(side)))
+        aggs += [
+            F.sum(side).alias(f"{side}_n"), counted.alias(f"{side}_p"),
+            rounded(F.sum(number * F.col(side)) / counted).alias(f"{side}_mean"),
+            F.bit_or(F.when(present, bits)).alias(f"{side}_bits"),
+        ]
+    return values.groupBy("column").agg(*aggs).collect()
+
+
+def _is_numeric(row: Row, reference: DataFrame, current: DataFrame) -> bool:
+    types = [df.schema[row["column"]].dataType for df in (reference, current)]
+    if any(isinstance(t, T.BooleanType) for t in types):
+        return False
+    bits = (row["ref_bits"] or 0) | (row["cur_bits"] or 0)
+    if bits > 0 and bits & 1 == 0 and bits.bit_count() <= 2:
+        return False
+    return all(row[f"{s}_n"] and (row[f"{s}_p"] or 0) / row[f"{s}_n"] >= NUMERIC_SHARE for s in ("ref", "cur"))
+
+
+def _numeric_drift(numbers: DataFrame) -> DataFrame:
+    """(column, psi, ks_statistic): ranks, deciles and gaps all come from one running count."""
+    totals = numbers.groupBy("column").agg(F.sum("ref").alias("R"), F.sum("cur").alias("C"))
+    # One row per column.
+    summed = running_totals(
+        numbers, "number", {"ref_to": F.col("ref"), "cur_to": F.col("cur")}, ["column"]
+    ).join(F.broadcast(totals), "column")
+    share = [F.col(f"{s}_to") / F.nullif(F.col(n), F.lit(0)) for s, n in (("ref", "R"), ("cur", "C"))]
+    picks = []
+    for i, p in enumerate(DECILES):
+        for end in ("floor", "ceil"):
+            rank = f"{end}({p!r}D * (R - 1))"
+            picks.append(F.expr(f"max(CASE WHEN ref_to - ref <= {rank} AND {rank} < ref_to THEN number END) AS _{end}{i}"))
+    found = summed.groupBy("column", "R", "C").agg(rounded(F.max(F.abs(share[0] - share[1]))).alias("ks_statistic"), *picks)
+    deciles = ", ".join(
+        f"CASE WHEN {p!r}D * (R - 1) = floor({p!r}D * (R - 1)) THEN _floor{i} ELSE "
+        f"_floor{i} + ({p!r}D * (R - 1) - floor({p!r}D * (R - 1))) * (_ceil{i} - _floor{i}) END"
+        for i, p in enumerate(DECILES)
+    )
+    edges = cut_lineage(found.select("column", "ks_statistic", F.expr(f"array({deciles})").alias("q")))
+    cells = (
+        numbers.join(F.broadcast(edges), "column")
+        .groupBy("column", F.size(F.array_distinct("q")).alias("edges"), F.expr(INNER_BIN.format(v="number")).alias("bin"))
+        .agg(F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
+    )
+    return edges.select("column", "ks_statistic").join(F.broadcast(_psi_of_bins(cells)), "column", "left")
+
+
 def column_drift(
     reference: DataFrame, current: DataFrame, columns: Sequence[str] | None = None
 ) -> DataFrame:
     """One row per shared column with the measures of its kind and a status.
 
-    The kinds (one row per column) are fetched first, so that labels are only
-    counted for categorical columns and orders only built for numeric ones.
+    Each side is scanned once into distinct cells with their counts on both sides; kinds,
+    means, deciles, running counts and label counts are all taken from those.
     """
-    facts = side_facts(reference, current, columns).collect()
+    values = cut_lineage(side_values(reference, current, columns))
+    facts = _facts_of(values, reference, current)
     spark = reference.sparkSession
-    numeric = [r["column"] for r in facts if r["kind"] == "numeric"]
-    categorical = [r["column"] for r in facts if r["kind"] != "numeric"]
+    numeric = [r for r in facts if _is_numeric(r, reference, current)]
+    names = [r["column"] for r in numeric]
+    categorical = [r["column"] for r in facts if r["column"] not in names]
     schema = (
         "column string, kind string, psi double, status string, ks_statistic double, "
         "js_distance double, reference_mean double, current_mean double, "
@@ -290,21 +401,25 @@ def column_drift(
     parts = []
     if numeric:
         means = spark.createDataFrame(
-            [(r["column"], r["reference_mean"], r["current_mean"]) for r in facts if r["kind"] == "numeric"],
+            [(r["column"], r["ref_mean"], r["cur_mean"]) for r in numeric],
             "column string, reference_mean double, current_mean double",
         )
-        parts.append(
-            means.join(psi_numeric(reference, current, numeric), "column", "left")
-            .join(F.broadcast(ks(reference, current, numeric)), "column", "left")
-            .withColumn("kind", F.lit("numeric"))
+        sides = F.array(
+            F.struct(F.col("ref_number").alias("number"), "ref", F.lit(0).cast("bigint").alias("cur")),
+            F.struct(F.col("cur_number").alias("number"), F.lit(0).cast("bigint").alias("ref"), "cur"),
         )
-    if categorical:
-        names = spark.createDataFrame([(c,) for c in categorical], "column string")
-        parts.append(
-            names.join(_categorical(reference, current, categorical), "column", "left").withColumn(
-                "kind", F.lit("categorical")
-            )
+        pairs = values.where(F.col("column").isin(names)).select("column", F.explode(sides).alias("s"))
+        numbers = pairs.where(F.col("s.number").isNotNull()).groupBy("column", F.col("s.number").alias("number")).agg(
+            F.sum("s.ref").alias("ref"), F.sum("s.cur").alias("cur")
         )
+        found = _numeric_drift(cut_lineage(numbers.where("ref > 0 OR cur > 0")))
+        parts.append(means.join(F.broadcast(found), "column", "left").withColumn("kind", F.lit("numeric")))
+    if categorical:
+        label = F.coalesce("value", F.col("number").cast("string"), F.lit(DRIFT_MISSING_LABEL))
+        value = F.coalesce("value", F.col("number").cast("string"))
+        cells = values.where(F.col("column").isin(categorical)).select("column", value.alias("value"), label.alias("label"), "ref", "cur")
+        listed = spark.createDataFrame([(c,) for c in categorical], "column string")
+        parts.append(listed.join(_psi_js(cells), "column", "left").withColumn("kind", F.lit("categorical")))
     if not parts:
         return spark.createDataFrame([], schema)
     result = parts[0]
@@ -358,8 +473,10 @@ def drift_report(
     has_model: bool = False,
 ) -> DataFrame:
     """One row: overall status, counts by status, retrain score and action."""
-    features = [c for c in shared_columns(reference, current) if c != target]
-    drift = column_drift(reference, current, features)
+    measured = target is not None and target in reference.columns and target in current.columns
+    # Features and target in one pass over both sides; one row per column is kept.
+    whole = cut_lineage(column_drift(reference, current))
+    drift = whole.where(F.col("column") != F.lit(target)) if measured else whole
     signals = drift.agg(
         F.count_if(F.col("status") == "drift").alias("drifted"),
         F.count_if(F.col("status") == "warning").alias("warned"),
@@ -367,7 +484,7 @@ def drift_report(
             F.array_sort(F.collect_list(F.when(F.col("status") == "drift", F.col("column")))), ","
         ).alias("drifted_columns"),
     )
-    changed = schema_drift(reference, current).agg(
+    changed = schema_drift(reference, current, observed=True).agg(
         F.count_if(F.col("change") != "same").alias("schema_changes")
     )
     signals = signals.crossJoin(F.broadcast(changed))
@@ -377,8 +494,7 @@ def drift_report(
             return reference.sparkSession.range(1).select(F.lit(None).cast("string").alias(name))
         return df.agg(F.first("status").alias(name))
 
-    measured = target is not None and target in reference.columns and target in current.columns
-    on_target = target_drift(reference, current, target) if measured else None
+    on_target = whole.where(F.col("column") == target) if measured else None
     signals = signals.crossJoin(F.broadcast(status_of(on_target, "target_status")))
     signals = signals.crossJoin(F.broadcast(status_of(predictions, "prediction_status")))
     if performance is None:
