@@ -17,6 +17,9 @@ EVENT_SCHEMA = (
     "status string, message string, payload string, created_at timestamp"
 )
 
+# Groups a job's rows are dealt over in a batch.
+PARTS = 32
+
 
 def read_events(
     spark: SparkSession, folder: str, pattern: str = "*", schema: T.StructType | str = EVENT_SCHEMA,
@@ -30,32 +33,46 @@ def read_events(
 
 
 def follow_events(
-    events: DataFrame, job: str = "job_id", event_id: str = "event_id", event_time: str = "created_at"
+    events: DataFrame, job: str = "job_id", event_id: str = "event_id", event_time: str = "created_at",
+    parts: int = PARTS, resent_within: str | None = None,
 ) -> DataFrame:
     """Every event of a job once, up to and with its terminal event (``is_terminal``).
 
-    The ids a job has shown are kept until its terminal event; then the job is closed, its
-    ids are dropped and later rows are too.  Step events never close a job.  Late
-    and re-sent rows need no watermark: they are told by id, not by time.
+    Spark's own state per (job, id) drops what was seen; it spreads a job's ids over all tasks.
+    Then the rows of a job are dealt over ``parts`` groups, each of which also gets the job's few
+    terminal rows, so every group knows by itself where the job ends.  A group's state is whether its
+    job is closed: no task gathers a job's rows or ids.  Step events never close a job.  A closed job
+    passes nothing on, however late or early its rows are dated.
+
+    Ids are kept for good, or for ``resent_within`` (such as "2 days") of event time if rows
+    aren't sent again later than that; rows dated further back are then dropped.
     """
-    names = events.columns
+    if resent_within is None:
+        once = events.dropDuplicates([job, event_id])
+    else:
+        once = events.withWatermark(event_time, resent_within).dropDuplicatesWithinWatermark([job, event_id])
+    ends = F.coalesce(F.col("status").isin(TERMINAL_STATES) & (F.col("event_type") != "step"), F.lit(False))
+    home = F.pmod(F.xxhash64(event_id), F.lit(parts)).cast("int")
+    everywhere = F.sequence(F.lit(0), F.lit(parts - 1))
+    dealt = once.withColumns({"is_terminal": ends, "_home": home}).withColumn(
+        "_part", F.explode(F.when(F.col("is_terminal"), everywhere).otherwise(F.array("_home")))
+    )
     output = T.StructType([*events.schema.fields, T.StructField("is_terminal", T.BooleanType())])
-    state_type = T.StructType([T.StructField("closed", T.BooleanType()), T.StructField("seen", T.ArrayType(T.StringType()))])
+    order = [event_time, event_id]
 
     def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        closed, ids = state.get if state.exists else (False, [])
-        rows = pd.concat(list(frames)) if not closed else pd.DataFrame(columns=names)
-        if closed or rows.empty:
+        if state.exists:
             return
-        rows = rows[~rows[event_id].isin(set(ids))].drop_duplicates(event_id)
-        rows = rows.sort_values([event_time, event_id], kind="stable")
-        ends = rows["status"].isin(TERMINAL_STATES) & (rows["event_type"] != "step")
-        rows = rows.assign(is_terminal=ends)[ends.cumsum() - ends == 0]
-        closed = bool(ends.any())
-        state.update((closed, [] if closed else [*ids, *rows[event_id]]))
-        yield rows[[*names, "is_terminal"]]
-
-    return events.groupBy(job).applyInPandasWithState(follow, output, state_type, "append", GroupStateTimeout.NoTimeout)
+        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
+        closing = rows["is_terminal"].to_numpy()
+        if closing.any():
+            state.update((True,))
+            rows = rows.iloc[: closing.argmax() + 1]
+        yield rows.loc[rows["_home"] == rows["_part"], output.names]
+
+    return dealt.groupBy(job, "_part").applyInPandasWithState(
+        follow, output, "closed boolean", "append", GroupStateTimeout.NoTimeout
+    )
 
 
 def follow_job_state(events: DataFrame) -> DataFrame:

@@ -251,6 +251,42 @@ def test_stream_passes_each_event_once_over_batches(spark, tmp_path):
     assert sorted(map(str, latest.collect())) == sorted(map(str, whole.collect()))
 
 
+@pytest.mark.parametrize("parts", [1, 32])
+def test_a_job_with_a_third_of_all_events(spark, tmp_path, parts):
+    """Against plain Python: sent twice, over three batches, one hot job that ends in the second."""
+    rng = np.random.default_rng(4)
+    folder, kept, closed, ids = str(tmp_path / "in"), [], set(), set()
+    schema = "event_id string, job_id string, event_type string, status string, created_at timestamp"
+    stream, number = None, 0
+    for batch in range(3):
+        rows = []
+        for _ in range(1500):
+            job = "hot" if rng.random() < 0.34 else f"j{rng.integers(0, 300)}"
+            end = batch == 1 and number % 400 == 7 or rng.random() < 0.01 and job != "hot"
+            rows.append((f"e{number % 4000}", job, "step" if number % 9 == 0 else "move", "completed" if end else "running",
+                         (pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=int(rng.integers(0, 5000)))).to_pydatetime()))
+            number += 1
+        if batch == 1:
+            rows.append(("last", "hot", "move", "completed", pd.Timestamp("2024-01-03").to_pydatetime()))
+        spark.createDataFrame([*rows, *rows], schema).repartition(3).write.mode("append").parquet(folder)
+        stream = events.follow_events(events.read_events(spark, folder, schema=spark.read.parquet(folder).schema), parts=parts)
+        got = events.drain(stream, str(tmp_path / "out"), str(tmp_path / "state")).collect()
+        by = {}
+        for row in rows:
+            if (row[1], row[0]) not in ids:
+                ids.add((row[1], row[0]))
+                by.setdefault(row[1], []).append(row)
+        for job, found in by.items():
+            for row in sorted(found, key=lambda r: (r[4], r[0])) if job not in closed else ():
+                ends = row[3] == "completed" and row[2] != "step"
+                kept.append((row[0], job, ends))
+                if ends:
+                    closed.add(job)
+                    break
+        assert sorted((r.event_id, r.job_id, r.is_terminal) for r in got) == sorted(kept)
+    assert "hot" in closed
+
+
 def test_csv_files_are_read_by_their_own_header(spark, tmp_path):
     (tmp_path / "a.csv").write_text('id,name\n1,"two\nlines"\n')
     (tmp_path / "b.csv").write_text("name,id\nx,2\n")
