@@ -20,6 +20,12 @@ def sample_kurtosis(value: Column) -> Column:
     return F.when(n >= 4, scale * ((n + 1) * F.kurtosis(value) + 6))
 
 
+def pearson(x: str, y: str) -> Column:
+    """Correlation of complete pairs; NULL, not an error, where one of them has no spread."""
+    spread = F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x))
+    return F.regr_sxy(y, x) / F.nullif(spread, F.lit(0.0))
+
+
 def clamp(value: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(value, F.lit(high)))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions import dates
 from tabloom.functions.stats import sample_skewness
+from tabloom.functions.stats import pearson
 from tabloom.functions.values import (
     OTHER_LABEL,
     as_label,
@@ -314,7 +315,7 @@ def scatter_sample(
         *order_by, _number(df, x).alias("x"), _number(df, y).alias("y")
     ).where(F.col("x").isNotNull() & F.col("y").isNotNull())
     sample = evenly_spaced(points, n, order_by).drop("_pos")
-    corr = sample.agg(rounded(F.corr("x", "y")).alias("correlation"))
+    corr = sample.agg(rounded(pearson("x", "y")).alias("correlation"))
     return sample.crossJoin(F.broadcast(corr)).select(
         *order_by, rounded(F.col("x")).alias("x"), rounded(F.col("y")).alias("y"), "correlation"
     )
@@ -347,7 +348,7 @@ def rank_features(df: DataFrame, target: str, columns: Sequence[str], task: str)
         numbers = df.select(
             _number(df, target).alias("_t"), *[_number(df, c).alias(f"_v{i}") for i, c in enumerate(names)]
         )
-        one = numbers.agg(*[F.corr(f"_v{i}", "_t").alias(f"_c{i}") for i in range(len(names))])
+        one = numbers.agg(*[pearson(f"_v{i}", "_t").alias(f"_c{i}") for i in range(len(names))])
         entries = [
             F.struct(F.lit(c).alias("column"), rounded(F.abs(f"_c{i}")).alias("score"))
             for i, c in enumerate(names)

@@ -24,8 +24,10 @@ from tabloom.operators.profile import (
     missing_by_column,
     moments,
 )
-from tabloom.plans.longform import numeric_long, rows_from_one
+from tabloom.plans.longform import numeric_long
+from tabloom.plans.moments import correlation, pair_moments
 from tabloom.plans.quantiles import long_quantiles
+from tabloom.plans.sizing import spread
 
 TOTAL = "(all columns)"
 
@@ -141,43 +143,26 @@ def outlier_analysis(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     ).orderBy(F.desc("outlier_ratio"), "column")
 
 
-def correlation_pairs(
-    df: DataFrame, columns: Sequence[str], block: int = 200
-) -> DataFrame:
-    """(column_a, column_b, i, j, correlation) for i < j, pairwise complete.
+def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_a, column_b, i, j, correlation) for i < j, pairwise complete, from one scan.
 
-    All pairs of a block come out of a single scan and a one-row shuffle.
+    NULL where a column has no spread among the pair's rows.
     """
     names = list(columns)
-    numbers = df.select(
+    if len(names) < 2:
+        empty = "column_a string, column_b string, i int, j int, correlation double"
+        return df.sparkSession.createDataFrame([], empty)
+    numbers = spread(df.select(*map(quoted, names))).select(
         *[
             to_number(quoted(c), df.schema[c].dataType, strip_commas=True).alias(f"_v{i}")
             for i, c in enumerate(names)
         ]
     )
-    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
-    result = None
-    for start in range(0, len(pairs), block):
-        part = pairs[start : start + block]
-        one = numbers.agg(*[F.corr(f"_v{i}", f"_v{j}").alias(f"_c{i}_{j}") for i, j in part])
-        piece = rows_from_one(
-            one,
-            [
-                {
-                    "column_a": F.lit(names[i]),
-                    "column_b": F.lit(names[j]),
-                    "i": F.lit(i),
-                    "j": F.lit(j),
-                    "correlation": rounded(F.col(f"_c{i}_{j}")),
-                }
-                for i, j in part
-            ],
-        )
-        result = piece if result is None else result.unionByName(piece)
-    if result is None:
-        empty = "column_a string, column_b string, i int, j int, correlation double"
-        return df.sparkSession.createDataFrame([], empty)
-    return result
+    listed = F.array(*map(F.lit, names))
+    return pair_moments(numbers).select(
+        F.get(listed, F.col("i")).alias("column_a"), F.get(listed, F.col("j")).alias("column_b"), "i", "j",
+        rounded(correlation()).alias("correlation"),
+    )
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -9,17 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.functions.values import null_tokens_to_null, quoted, text_to_number
+from tabloom.sources.csvrecords import ENCODINGS, column_names, file_facts, records
 
-# Encodings tried in this order; the last one always decodes.
-ENCODINGS = ["utf-8", "utf-8-sig", "big5", "cp950", "latin1"]
-JAVA_NAMES = {
-    "utf-8": "UTF-8",
-    "utf-8-sig": "UTF-8",
-    "big5": "Big5",
-    "cp950": "x-windows-950",
-    "latin1": "ISO-8859-1",
-}
-REPLACEMENT = "�"
 PREVIEW_ROWS = 20
 
 
@@ -27,64 +18,36 @@ class TableError(ValueError):
     """The table cannot be read or holds nothing."""
 
 
-def _file_facts(spark: SparkSession, path: str | Sequence[str], names: Sequence[str]) -> list:
-    """Header line and usable encodings of every file, from one scan of the bytes.
-
-    One row per file reaches the driver, as in any file listing.
-    """
-    spark.conf.set("spark.sql.legacy.codingErrorAction", "true")  # bad bytes become U+FFFD
-    raw = F.col("value").cast("binary")
-    bad = [
-        F.bool_or(~F.is_valid_utf8("value") if name == "UTF-8" else F.decode(raw, name).contains(REPLACEMENT))
-        for name in names
-    ]
-    lines = spark.read.text(path if isinstance(path, str) else list(path)).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at")
-    )
-    # A file's first block is read by one task, in order.
-    header = F.first(F.when(F.col("at") == 0, F.encode("value", "UTF-8")), ignorenulls=True)
-    facts = lines.groupBy("file").agg(header.alias("header"), *[b.alias(f"bad{i}") for i, b in enumerate(bad)])
-    return facts.orderBy("file").collect()
-
-
 def read_csv(
     spark: SparkSession,
     path: str | Sequence[str],
     encodings: Sequence[str] = ENCODINGS,
     promote: bool = True,
-    multi_line: bool = True,
     mode: str = "FAILFAST",
 ) -> DataFrame:
     """CSV with header; cells with a missing-value token become NULL.
 
     Each file is read in the first encoding that decodes all its bytes and by its own header, so
-    files whose columns stand in another order, or that lack some, fit together.  Line breaks
-    inside quotes are read; ``multi_line=False`` lets large files without them be split.
+    files whose columns stand in another order, or that lack some, fit together.  Cells may hold line
+    breaks and doubled quotes; files are split over tasks all the same.
     """
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    names = list(dict.fromkeys(JAVA_NAMES.get(name, name) for name in encodings))
-    groups: dict[tuple, list[str]] = {}
-    for row in _file_facts(spark, path, names):
-        usable = [name for i, name in enumerate(names) if not row[f"bad{i}"]]
-        if not usable:
-            raise TableError(f"no encoding decodes {row['file']}")
-        groups.setdefault((usable[0], bytes(row["header"] or b"")), []).append(row["file"])
-    if not groups:
-        raise TableError("the file has no columns")
+    groups: dict[tuple, list] = {}
+    for file in file_facts(spark, path, encodings):
+        if file.encoding is None:
+            raise TableError(f"no encoding decodes {file.path}")
+        groups.setdefault((file.encoding, file.header), []).append(file)
     whole = None
-    for (name, _), files in groups.items():
-        raw = (
-            spark.read.option("header", True)
-            .option("encoding", name)
-            .option("multiLine", multi_line)
-            .option("mode", mode)
-            .option("enforceSchema", True)
-            .csv(files)
-        )
-        if not raw.columns:
+    for (encoding, header), files in sorted(groups.items(), key=lambda g: g[0]):
+        names = column_names(header, encoding)
+        if not names:
             raise TableError("the file has no columns")
-        plain = raw.toDF(*[c.lstrip("\ufeff") for c in raw.columns])
+        schema = ", ".join(f"c{i} string" for i in range(len(names)))
+        parsed = F.from_csv("record", schema, {"mode": mode, "escape": '"'})
+        cells = records(spark, files, encoding).select(parsed.alias("r"))
+        plain = cells.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)])
         whole = plain if whole is None else whole.unionByName(plain, allowMissingColumns=True)
+    if whole is None:
+        raise TableError("the file has no columns")
     texts = whole.select(*[null_tokens_to_null(quoted(c)).alias(c) for c in whole.columns])
     return promote_types(texts) if promote else texts
 
@@ -165,4 +128,4 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     if fmt not in ("parquet", "json", "csv"):
         raise TableError(f"unknown format: {fmt}")
     writer = df.write.mode("errorifexists").format(fmt)
-    (writer.option("header", True) if fmt == "csv" else writer).save(path)
+    (writer.option("header", True).option("escape", '"') if fmt == "csv" else writer).save(path)

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tabloom.operators.eda import correlation_pairs
 from tabloom.plans.ordering import _cut_table, evenly_spaced, hash_position, running_totals, with_position
 from tabloom.plans.quantiles import long_quantiles
 
@@ -93,6 +94,46 @@ def test_hash_positions_are_dense_and_ignore_partitions(spark):
         assert sorted(part["_pos"]) == list(range(len(part)))
 
 
+def _wide_table(spark, k, rows):
+    """Far from zero, with gaps, a constant and an all-missing column."""
+    rng = np.random.default_rng(6)
+    shared = rng.normal(size=rows)
+    data = np.column_stack([1e6 * (i % 3) + shared * (i % 5) + rng.normal(size=rows) for i in range(k)])
+    data[rng.random(data.shape) < 0.2] = np.nan
+    data[:, 3], data[:, 5] = 7.0, np.nan
+    frame = pd.DataFrame(data, columns=[f"c{i}" for i in range(k)])
+    columns = [F.when(~F.isnan(c), F.col(c)).alias(c) for c in frame.columns]
+    return frame, spark.createDataFrame(frame).select(*columns).repartition(7)
+
+
+def test_correlations_of_all_pairs(spark):
+    frame, df = _wide_table(spark, 30, 900)
+    expected = frame.corr().to_numpy()
+    rows = correlation_pairs(df, df.columns).collect()
+    assert len(rows) == 30 * 29 // 2
+    for r in rows:
+        want = expected[r["i"], r["j"]]
+        assert (r["column_a"], r["column_b"]) == (f"c{r['i']}", f"c{r['j']}")
+        assert r["correlation"] is None if np.isnan(want) else abs(r["correlation"] - want) < 6e-5
+
+
+def test_many_columns_are_scanned_once(spark, tmp_path):
+    frame, df = _wide_table(spark, 150, 400)
+    df.write.parquet(str(tmp_path / "wide"))
+    found = correlation_pairs(spark.read.parquet(str(tmp_path / "wide")), list(frame.columns))
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    expected = frame.corr().to_numpy()
+    for r in found.collect():
+        want = expected[r["i"], r["j"]]
+        assert r["correlation"] is None if np.isnan(want) else abs(r["correlation"] - want) < 6e-5
+
+
+def test_correlations_of_nothing(spark):
+    df = spark.createDataFrame([], ", ".join(f"c{i} double" for i in range(30)))
+    assert correlation_pairs(df, df.columns[:1]).count() == 0
+    assert all(r["correlation"] is None for r in correlation_pairs(df, df.columns).collect())
+
+
 @pytest.mark.parametrize("size,n", [(5, 10), (10, 10), (101, 10), (1000, 7), (50, 1)])
 def test_evenly_spaced_matches_linspace(spark, size, n):
     got = sorted(r["id"] for r in evenly_spaced(spark.range(size), n, ["id"]).collect())

@@ -6,9 +6,10 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+from tabloom.functions.values import NULL_TOKENS
 from tabloom.operators import explain, features, lifecycle, neighbours, scoring, split, supervised, unsupervised
 from tabloom.operators.features import FeatureConfig
-from tabloom.sources import tables
+from tabloom.sources import csvrecords, tables
 from tabloom.streaming import events
 
 
@@ -295,6 +296,59 @@ def test_csv_files_are_read_by_their_own_header(spark, tmp_path):
     assert rows == {1: ("two\nlines", None), 2: ("x", None), 3: ("中文", "y")}
 
 
+def _csv_cell(rng):
+    plain = ["", "x", "5 o\" clock", "it's", "NA", "ünï", "1.5", " pad "]
+    quoted = ['"a, b"', '"say ""hi"""', '"two\nlines"', '"three\n\n"",lines"', '""', '"\r\n"']
+    return str(rng.choice(plain + quoted))
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_csv_with_line_breaks_is_split(spark, tmp_path, end):
+    """Against the csv module, in splits of a few hundred bytes."""
+    import csv
+    import io
+
+    rng, want = np.random.default_rng(5), []
+    for f in range(3):
+        lines = ['id,"na\nme",note'] if f < 2 else ["note,id"]
+        for i in range(400):
+            cells = [f"{f}-{i}", _csv_cell(rng), _csv_cell(rng)] if f < 2 else [_csv_cell(rng), f"{f}-{i}"]
+            lines.append(",".join(cells))
+        body = end.join(lines) + end * (f % 2)
+        (tmp_path / f"{f}.csv").write_bytes(body.encode())
+        rows = list(csv.reader(io.StringIO(body, newline="")))
+        want += [dict(zip(rows[0], r)) for r in rows[1:] if r]
+    settings = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "100"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        files = csvrecords.file_facts(spark, str(tmp_path), csvrecords.ENCODINGS)
+        table = tables.read_csv(spark, str(tmp_path), promote=False)
+        lines = csvrecords._lines(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 20 and sum(len(f.inside) for f in files) > 3
+        got = {r["id"]: (r["na\nme"], r["note"]) for r in table.collect()}
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+
+    def cell(text):
+        return None if text is None or text in NULL_TOKENS else text
+
+    assert got == {r["id"]: (cell(r.get("na\nme")), cell(r["note"])) for r in want} and len(got) == 1200
+
+
+def test_csv_quotes_only_open_cells_at_their_start():
+    ends = csvrecords.ends_inside
+    assert not ends(b'1,5" pipe,x', False) and not ends(b'"a""b",c', False) and ends(b'"a""', False) and ends(b'x,"y', False)
+    assert not ends(b'y",z', True) and ends(b'y"",z', True) and ends(b'y","z', True) and ends(b"no quote", True)
+
+
+def test_csv_written_is_read_again(spark, tmp_path):
+    rows = [(1, 'say "hi"'), (2, "back\\slash"), (3, "a,b\nc"), (4, 'end"')]
+    tables.write_table(spark.createDataFrame(rows, "id int, name string"), str(tmp_path / "t"), "csv")
+    assert sorted((r["id"], r["name"]) for r in tables.read_csv(spark, str(tmp_path / "t")).collect()) == rows
+
+
 def test_training_run_with_neighbours_area_and_records(churn, spark, tmp_path):
     config = FeatureConfig(numeric=("age", "monthly_charges"), categorical=("contract_type",))
     models = ["logistic_regression", "knn_classifier"]
