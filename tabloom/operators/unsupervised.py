@@ -24,6 +24,7 @@ from tabloom.operators.neighbours import (
     local_outlier_factor,
     pair_blocks,
 )
+from tabloom.plans.graphs import connected_components
 from tabloom.plans.ordering import evenly_spaced, with_position
 from tabloom.session import cut_lineage
 
@@ -56,29 +57,6 @@ def _local_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             return root
 
 
-def connected_components(edges: DataFrame, limit: int = 100) -> DataFrame:
-    """(id, component): smallest id reachable, from undirected (u, v) edges.
-
-    Every step takes the smallest neighbouring label and then the label of that
-    label, so long chains shrink quickly; lineage is cut at each step.
-    """
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    both = cut_lineage(both.distinct())
-    labels = cut_lineage(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("c")))
-    for _ in range(limit):
-        told = both.join(labels.toDF("v", "vc"), "v").groupBy("u").agg(F.min("vc").alias("m"))
-        lower = labels.join(told, "u").select("u", F.col("c").alias("old"), F.least("c", "m").alias("c"))
-        jump = lower.join(labels.toDF("c", "cc"), "c", "left")
-        following = cut_lineage(
-            jump.select("u", "old", F.least("c", F.coalesce("cc", "c")).alias("c"))
-        )
-        changed = not following.where(F.col("c") != F.col("old")).isEmpty()
-        labels = following.select("u", "c")
-        if not changed:
-            return labels.toDF("id", "component")
-    raise RuntimeError("components did not settle")
-
-
 def dbscan(
     df: DataFrame,
     eps: float,

@@ -236,14 +236,12 @@ def report_table(spark, folder):
 
 @query(
     "lc12_run_analysis",
-    """SELECT * FROM (VALUES (0, 'profile', 'completed'), (1, 'eda', 'completed'), (2, 'charts', 'skipped'),
+    """SELECT * FROM (VALUES (0, 'profile', 'completed'), (1, 'eda', 'completed'), (2, 'charts', 'completed'),
     (3, 'train', 'completed'), (4, 'report', 'completed')) t("position", step, status)""",
 )
 def run_analysis(spark, folder):
     rows = labelled_documents(spark, folder)
-    done = RP.run_analysis(
-        rows, ["doc_id"], "quality", "classification", ["logistic_regression"], skip=["charts"]
-    )
+    done = RP.run_analysis(rows, ["doc_id"], "quality", "classification", ["logistic_regression"])
     for result in done.tables.values():
         result.count()
     return RP.steps_table(done, rows)

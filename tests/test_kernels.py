@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabloom.operators.eda import correlation_pairs
+from tabloom.plans.graphs import connected_components
 from tabloom.plans.ordering import _cut_table, evenly_spaced, hash_position, running_totals, with_position
 from tabloom.plans.quantiles import long_quantiles
 
@@ -144,3 +145,35 @@ def test_evenly_spaced_matches_linspace(spark, size, n):
 def test_evenly_spaced_keeps_a_null_key(spark):
     df = spark.createDataFrame([(None, "x"), (1, "y"), (2, "z")], "k int, v string")
     assert {r["v"] for r in evenly_spaced(df, 3, ["k"]).collect()} == {"x", "y", "z"}
+
+
+def _roots(pairs):
+    parent = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return {x: root(x) for x in list(parent)}
+
+
+def test_components_of_random_graphs(spark):
+    rng = np.random.default_rng(3)
+    pairs = [tuple(map(int, p)) for p in rng.integers(0, 900, (500, 2))] + [(5000, 5000), (5001, 5001)]
+    df = spark.createDataFrame(pairs, "u bigint, v bigint").repartition(5)
+    assert {r["id"]: r["component"] for r in connected_components(df).collect()} == _roots(pairs)
+    assert connected_components(df.limit(0)).count() == 0
+
+
+def test_components_of_a_long_chain_and_a_hub(spark):
+    """A chain of 1,000 nodes in mixed order, and a hub with 100,000 neighbours."""
+    chain = spark.range(0, 999, 1, 2).select((F.col("id") * 7919 % 1_000).alias("u"), ((F.col("id") + 1) * 7919 % 1_000).alias("v"))
+    hub = spark.range(0, 100_000, 1, 2).select(F.lit(60_000).cast("long").alias("u"), (F.col("id") + 1_001).alias("v"))
+    got = connected_components(chain.unionByName(hub)).groupBy("component").count().collect()
+    assert {r["component"]: r["count"] for r in got} == {0: 1_000, 1_001: 100_000}

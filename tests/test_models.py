@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tabloom.functions.values import NULL_TOKENS
 from tabloom.operators import explain, features, lifecycle, neighbours, scoring, split, supervised, unsupervised
 from tabloom.operators.features import FeatureConfig
+from tabloom.plans.graphs import connected_components
 from tabloom.sources import csvrecords, tables
 from tabloom.streaming import events
 
@@ -214,7 +215,7 @@ def test_pca_matches_numpy(spark):
 def test_components_of_a_long_chain(spark):
     edges = spark.range(200).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     more = spark.createDataFrame([(500, 501)], "u bigint, v bigint")
-    got = unsupervised.connected_components(edges.unionByName(more))
+    got = connected_components(edges.unionByName(more))
     assert {(r["component"], r["count"]) for r in got.groupBy("component").count().collect()} == {(0, 201), (500, 2)}
 
 
