@@ -12,7 +12,7 @@ A text is cut at single spaces in front of a visible character, where neither to
 a space, and no piece of B has a space inside.  Each different chunk of a slice is tokenised and grouped once.
 
 Memory: a task holds one slice of ``SLICE_CHARS`` (one text at least) and the postings of a block, ``BLOCK_POSTINGS`` and one slice at
-most.  A pair that stands in very many blocks meets its count by broadcast (``words.join_weighted``), others by shuffle; pairs are bounded
+most.  A pair that stands in very many blocks meets its count by broadcast (``skew.join_weighted``), others by shuffle; pairs are bounded
 by the two vocabularies.  Nothing of the corpus passes through the driver.
 
 Defined cases: a text that is NULL, empty, or not rendered back byte by byte by either tokenizer (B's normaliser, a U+2581 of its own) has
@@ -36,7 +36,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.words import join_weighted, stored
+from tabloom.llm.words import stored
+from tabloom.plans.skew import join_weighted
 
 SLICE_CHARS = 4_000_000
 BLOCK_DOCUMENTS = 1 << 16

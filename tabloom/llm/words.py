@@ -42,22 +42,6 @@ def id_crc(column: Column) -> Column:
     return F.crc32(column.cast("string").cast("binary"))
 
 
-HEAVY = 10_000
-
-
-def join_weighted(rows: DataFrame, table: DataFrame, on: list[str], weight: str) -> DataFrame:
-    """Rows with the columns of a table that has one row per key and ``weight`` rows for it.
-
-    Keys that hold more than 1 / ``HEAVY`` of all rows are at most ``HEAVY`` in number and are broadcast, so
-    their rows stay where they are; only the others are shuffled.  Both sides should be stored tables.
-    """
-    limit = (table.agg(F.sum(weight)).first()[0] or 0) / HEAVY
-    heavy = F.broadcast(table.where(F.col(weight) > limit).drop(weight))
-    light = table.where(F.col(weight) <= limit).drop(weight)
-    rest = rows.join(heavy.select(*on), on, "left_anti")
-    return rows.join(heavy, on).unionByName(rest.join(light, on))
-
-
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
