@@ -25,21 +25,43 @@ def _bit(key: Column, word: int) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), place.cast("int"))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of ``df`` has it, in any case."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def bloom_table(keys: DataFrame, key: str, blocks: int) -> DataFrame:
     """(_block, _w0 … _w7), at most ``blocks`` rows of nine numbers."""
     sums = [F.bit_or(_bit(F.col(key), i)).alias(f"_w{i}") for i in range(WORDS)]
     return keys.groupBy(_block(F.col(key), blocks).alias("_block")).agg(*sums)
 
 
+def _looked_up(df: DataFrame, key: str, bloom: DataFrame, blocks: int, how: str) -> tuple[DataFrame, Column]:
+    """Rows next to the block of their key, and whether all its bits are set.
+
+    The filter table is broadcast; its size is bounded by ``MAX_BLOCKS``.
+    """
+    block, *places = free_names(df, "_block", *(f"_w{i}" for i in range(WORDS)))
+    passed = F.lit(True)
+    for i, place in enumerate(places):
+        passed = passed & (F.col(place).bitwiseAND(_bit(F.col(key), i)) != 0)
+    looked = df.withColumn(block, _block(F.col(key), blocks))
+    return looked.join(F.broadcast(bloom.toDF(block, *places)), block, how), passed
+
+
 def possible(df: DataFrame, key: str, bloom: DataFrame, blocks: int) -> DataFrame:
     """Rows whose key may be in the filter: all that are, and few others.
 
-    The filter table is broadcast; its size is bounded by ``MAX_BLOCKS``.
+    All columns of ``df`` come back as they were, whatever their names.
     """
-    passed = F.col("_w0").bitwiseAND(_bit(F.col(key), 0)) != 0
-    for i in range(1, WORDS):
-        passed = passed & (F.col(f"_w{i}").bitwiseAND(_bit(F.col(key), i)) != 0)
-    looked = df.withColumn("_block", _block(F.col(key), blocks)).join(F.broadcast(bloom), "_block")
+    looked, passed = _looked_up(df, key, bloom, blocks, "inner")
     return looked.where(passed).select(*df.columns)
 
 
@@ -47,16 +69,14 @@ def without(df: DataFrame, key: Column, dropped: DataFrame, dropped_key: str) ->
     """``df`` less the rows whose key stands in ``dropped``; NULL counts as a value.
 
     Rows that can't be in it pass by the filter without a shuffle; only the rest,
-    the dropped rows and a few others, meets the exact anti join.
+    the dropped rows and a few others, meets the exact anti join.  All columns of
+    ``df`` come back as they were, whatever their names.
     """
-    keys = dropped.select(F.col(dropped_key).alias("_dropped")).distinct()
+    own, gone, maybe = free_names(df, "_key", "_dropped", "_maybe")
+    keys = dropped.select(F.col(dropped_key).alias(gone)).distinct()
     blocks = block_count(keys.count())
-    bloom = bloom_table(keys, "_dropped", blocks)
-    named = df.withColumn("_key", key)
-    looked = named.withColumn("_block", _block(F.col("_key"), blocks)).join(F.broadcast(bloom), "_block", "left")
-    passed = F.lit(True)
-    for i in range(WORDS):
-        passed = passed & (F.col(f"_w{i}").bitwiseAND(_bit(F.col("_key"), i)) != 0)
-    looked = looked.withColumn("_maybe", F.coalesce(passed, F.lit(False)))
-    kept = looked.where(F.col("_maybe")).join(keys, F.col("_key").eqNullSafe(F.col("_dropped")), "left_anti")
-    return looked.where(~F.col("_maybe")).select(*df.columns).unionByName(kept.select(*df.columns))
+    named = df.withColumn(own, key)
+    looked, passed = _looked_up(named, own, bloom_table(keys, gone, blocks), blocks, "left")
+    looked = looked.withColumn(maybe, F.coalesce(passed, F.lit(False)))
+    kept = looked.where(F.col(maybe)).join(keys, F.col(own).eqNullSafe(F.col(gone)), "left_anti")
+    return looked.where(~F.col(maybe)).select(*df.columns).unionByName(kept.select(*df.columns))

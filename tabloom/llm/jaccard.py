@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.bloom import block_count, bloom_table, possible, without
+from tabloom.llm.bloom import block_count, bloom_table, free_names, possible, without
 from tabloom.llm.words import spaced_words, stored, utf8
 from tabloom.session import cut_lineage
 
@@ -345,7 +345,8 @@ def join_classes(
 def one_of_each(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The documents, all columns, less those linked to one with a smaller id.
 
-    Of rows equal in id and text one stays; documents without words all stay.
+    Of rows equal in id and text one stays; documents without words all stay.  Extra
+    columns come back as they were, whatever their names.
     """
     judged = stored(join_classes(documents, doc_id, text, percent).where("n_shingles > 0"), "classes")
     row = F.struct("doc_id", "text_key").alias("row")
@@ -358,6 +359,8 @@ def one_of_each(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     if again.isEmpty():
         return kept
     blocks = block_count(again.count())
-    several = possible(documents.withColumn("_key", key), "_key", bloom_table(again, "row", blocks), blocks)
-    several = several.join(again, F.col("_key").eqNullSafe(F.col("row")), "left_semi").dropDuplicates(["_key"])
-    return kept.unionByName(several.drop("_key"))
+    own, copy = free_names(documents, "_key", "_copy")
+    again = again.withColumnRenamed("row", copy)
+    several = possible(documents.withColumn(own, key), own, bloom_table(again, copy, blocks), blocks)
+    several = several.join(again, F.col(own).eqNullSafe(F.col(copy)), "left_semi").dropDuplicates([own])
+    return kept.unionByName(several.drop(own))

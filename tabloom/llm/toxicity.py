@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.llm.bloom import free_names
 from tabloom.llm.words import stored, utf8, words
 
 FIT_ROWS = 20_000
@@ -246,7 +247,5 @@ def accepted(
 ) -> DataFrame:
     """The documents, all columns, that are not rejected."""
     model = fit(documents, grades, doc_id, text)
-    columns, into = documents.columns, "_toxicity"
-    while into in columns:
-        into += "_"
-    return annotate(documents, model, text, into).where(~rejected(into, reject_at)).select(*columns)
+    (into,) = free_names(documents, "_toxicity")
+    return annotate(documents, model, text, into).where(~rejected(into, reject_at)).select(*documents.columns)

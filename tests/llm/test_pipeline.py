@@ -42,3 +42,25 @@ def test_run_packs_what_is_kept(spark):
     for r in rows:
         tokens[r.doc_id] += r["length"]
     assert all(tokens[r.doc_id] == r.doc_tokens for r in rows)
+
+
+CLASHES = ["_KEY", "_block", "_maybe", "_w0", "_dropped", "row", "_copy", "_toxicity", "component_id", "text_key"]
+
+
+def test_stages_keep_extra_columns(spark):
+    """Whatever their names, in any case, with copies and with rows that go."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    docs = docs.union(docs.where("doc_id % 7 = 0"))  # the same rows again
+    for i, name in enumerate(CLASHES):
+        docs = docs.withColumn(name, docs.doc_id * 100 + i)
+    stages = dict(corpus_pipeline.STAGES)
+    for name in list(stages)[:-1]:
+        kept = stages[name](spark, docs, FOLDER)
+        assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
+        rows = kept.collect()
+        assert rows, name
+        for r in rows:
+            assert [r[c] for c in CLASHES] == [r.doc_id * 100 + i for i in range(len(CLASHES))], name
+    packed = stages["packing"](spark, docs, FOLDER)
+    assert not set(CLASHES) & set(packed.columns)
+    assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in docs.collect()}
