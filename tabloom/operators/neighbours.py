@@ -168,7 +168,7 @@ def pair_blocks(
     return Blocks(queries_out, fresh)
 
 
-def _distinct_vectors(df: DataFrame) -> DataFrame:
+def distinct_vectors(df: DataFrame) -> DataFrame:
     """(id, vec): the smallest id stands for all copies of a vector."""
     return df.groupBy("vec").agg(F.min("id").alias("id")).select("id", "vec")
 
@@ -188,14 +188,24 @@ def knn_join(
     copies beyond the k + 1 smallest ids are left out without changing results.
     """
     need = k + 1 if exclude_self else k
+    few = few_copies(base, need)
+    blocks = pair_blocks(distinct_vectors(queries), few, k=need, block_rows=block_rows, pivots=pivots)
+    return ranked_neighbours(nearest_in_blocks(blocks, need), queries, need, k, exclude_self)
+
+
+def few_copies(base: DataFrame, most: int) -> DataFrame:
+    """(id, vec): of equal vectors the ``most`` smallest ids."""
     first = Window.partitionBy("vec").orderBy("id")
-    few = (
+    return (
         base.select("id", "vec")
         .withColumn("r", F.row_number().over(first))
-        .where(F.col("r") <= need)
+        .where(F.col("r") <= most)
         .drop("r")
     )
-    blocks = pair_blocks(_distinct_vectors(queries), few, k=need, block_rows=block_rows, pivots=pivots)
+
+
+def nearest_in_blocks(blocks: Blocks, need: int) -> DataFrame:
+    """(rep, neighbour_id, distance): the ``need`` nearest of every query in every block."""
 
     def nearest(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if len(q) == 0 or len(b) == 0:
@@ -214,15 +224,19 @@ def knn_join(
             }
         )
 
-    partial = blocks.run(nearest, "rep bigint, neighbour_id bigint, distance double")
+    return blocks.run(nearest, "rep bigint, neighbour_id bigint, distance double")
+
+
+def ranked_neighbours(found: DataFrame, queries: DataFrame, need: int, k: int, exclude_self: bool) -> DataFrame:
+    """The k best of what the blocks found, for every query by the one that stands for its copies."""
     by_distance = Window.partitionBy("rep").orderBy("distance", "neighbour_id")
     best = (
-        partial.withColumn("r", F.row_number().over(by_distance))
+        found.withColumn("r", F.row_number().over(by_distance))
         .where(F.col("r") <= need)
         .groupBy("rep")
         .agg(F.array_sort(F.collect_list(F.struct("distance", "neighbour_id"))).alias("near"))
     )
-    reps = _distinct_vectors(queries).withColumnRenamed("id", "rep")
+    reps = distinct_vectors(queries).withColumnRenamed("id", "rep")
     members = queries.select(F.col("id").alias("query_id"), "vec").join(reps, "vec").drop("vec")
     listed = members.join(best, "rep")
     near = F.filter("near", lambda s: s["neighbour_id"] != F.col("query_id")) if exclude_self else F.col("near")
@@ -234,9 +248,12 @@ def knn_join(
     )
 
 
-def knn_classify(train: DataFrame, test: DataFrame, k: int = 5, **blocks) -> DataFrame:
-    """Majority label of the k nearest; ties go to the smaller label."""
-    near = knn_join(test, train, k, **blocks).join(
+def knn_classify(train: DataFrame, test: DataFrame, k: int = 5, join: Callable = knn_join, **blocks) -> DataFrame:
+    """Majority label of the k nearest; ties go to the smaller label.
+
+    ``join`` finds the neighbours: exactly, or ``neighbour_index.knn_indexed``.
+    """
+    near = join(test, train, k, **blocks).join(
         train.select(F.col("id").alias("neighbour_id"), "label"), "neighbour_id"
     )
     votes = near.groupBy("query_id", "label").agg(F.count("*").alias("votes"))
@@ -245,18 +262,18 @@ def knn_classify(train: DataFrame, test: DataFrame, k: int = 5, **blocks) -> Dat
     )
 
 
-def knn_regress(train: DataFrame, test: DataFrame, k: int = 5, **blocks) -> DataFrame:
-    near = knn_join(test, train, k, **blocks).join(
+def knn_regress(train: DataFrame, test: DataFrame, k: int = 5, join: Callable = knn_join, **blocks) -> DataFrame:
+    near = join(test, train, k, **blocks).join(
         train.select(F.col("id").alias("neighbour_id"), "target"), "neighbour_id"
     )
     return near.groupBy("query_id").agg(F.avg("target").alias("predicted"))
 
 
 def local_outlier_factor(
-    df: DataFrame, k: int = 20, contamination: float = 0.1, **blocks
+    df: DataFrame, k: int = 20, contamination: float = 0.1, join: Callable = knn_join, **blocks
 ) -> DataFrame:
     """(id, lof, is_outlier) from the k nearest other points."""
-    near = cut_lineage(knn_join(df, df, k, exclude_self=True, **blocks))
+    near = cut_lineage(join(df, df, k, exclude_self=True, **blocks))
     reach = near.groupBy("query_id").agg(F.max("distance").alias("k_distance"))
     known = reach.toDF("neighbour_id", "k_distance")
     # Density: inverse of the mean reachability distance.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabloom.operators import neighbour_index as NI
 from tabloom.operators import neighbours as N
 from tabloom.operators import unsupervised as U
 from tabloom.workload.inputs import table
@@ -35,6 +36,13 @@ def knn_pivots(spark, folder):
     return N.knn_join(points, points, 4, block_rows=200, pivots=8)
 
 
+@query("un06_knn_index")
+def knn_index(spark, folder):
+    """Every twentieth vector against all, from inverted lists; the tests measure its recall."""
+    points = vectors(spark, folder)
+    return NI.knn_indexed(points.where("id % 20 = 0"), points, 5, exclude_self=True)
+
+
 @query(
     "su09_knn_classify",
     f"""WITH {VECTORS_SQL}, near AS ({near_sql('TRUE', 'TRUE', 5, 'q.id <> b.id')}),
