@@ -7,6 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from tabloom.operators import explain as X
+from tabloom.operators import linear_folds as LF
 from tabloom.operators import scoring as SC
 from tabloom.operators import split as SP
 from tabloom.operators import supervised as SU
@@ -86,6 +87,51 @@ def cross_validate(spark, folder):
     return SU.cross_validate(rows, "l_extendedprice", "regression", "linear_regression", LINE, KEY, 3)
 
 
+def by_order(spark, folder):
+    """Line items with the lines of an order in one fold."""
+    return table(spark, folder, "lineitem").withColumn("fold", F.pmod("l_orderkey", F.lit(5)))
+
+
+def fold_models_sql(penalty: float) -> str:
+    return f"""d AS (SELECT (l_orderkey % 5)::INTEGER AS fold, l_extendedprice::DOUBLE AS y, l_quantity::DOUBLE AS x FROM lineitem),
+    s AS (SELECT f.fold, regr_sxy(y, x) / (regr_sxx(y, x) + {penalty}) AS slope, avg(y) AS my, avg(x) AS mx
+      FROM (SELECT DISTINCT fold FROM d) f JOIN d ON d.fold <> f.fold GROUP BY f.fold),
+    e AS (SELECT d.fold, y, y - (my - slope * mx) - slope * x AS gap, slope, my - slope * mx AS intercept FROM d JOIN s ON s.fold = d.fold),
+    m AS (SELECT fold, count(*) AS n, any_value(slope) AS slope, any_value(intercept) AS intercept, avg(abs(gap)) AS mae,
+      sqrt(avg(gap * gap)) AS rmse, 1 - avg(gap * gap) / var_pop(y) AS r2 FROM e GROUP BY fold)"""
+
+
+@query(
+    "su04_linear_folds",
+    f"""WITH {fold_models_sql(0.0)} SELECT fold, n AS rows, round(slope, 3) AS slope, round(intercept, 2) AS intercept,
+    round(rmse, 2) AS rmse, round(r2, 6) AS r2 FROM m""",
+)
+def linear_folds(spark, folder):
+    found = LF.linear_folds(by_order(spark, folder), ["l_quantity"], "l_extendedprice")
+    return found.select(
+        "fold", "rows", F.round(F.col("coefficients")[0], 3).alias("slope"), F.round("intercept", 2).alias("intercept"),
+        F.round("rmse", 2).alias("rmse"), F.round("r2", 6).alias("r2"),
+    )
+
+
+def _folds_sql(penalty: float) -> str:
+    parts = [
+        f"""SELECT '{m}' AS metric, round(avg({m}), 2) AS mean, round(stddev_pop({m}), 2) AS std, count(*) AS folds,
+        {'TRUE' if m == 'r2' else 'FALSE'} AS higher_is_better FROM m"""
+        for m in ("mae", "rmse", "r2")
+    ]
+    return f"WITH {fold_models_sql(penalty)} " + " UNION ALL ".join(parts)
+
+
+def _cross_validated(spark, folder, penalty):
+    found = LF.cross_validate_linear(by_order(spark, folder), ["l_quantity"], "l_extendedprice", penalty=penalty)
+    return found.withColumn("mean", F.round("mean", 2)).withColumn("std", F.round("std", 2))
+
+
+query("su04_cross_validate_linear", _folds_sql(0.0))(partial(_cross_validated, penalty=0.0))
+query("su04_cross_validate_ridge", _folds_sql(1.0))(partial(_cross_validated, penalty=1.0))
+
+
 # --- models -------------------------------------------------------------------
 
 
