@@ -15,6 +15,7 @@ from tabloom.operators.features import source_column
 from tabloom.operators.supervised import predict
 from tabloom.plans.longform import numeric_long
 from tabloom.plans.ordering import evenly_spaced, hash_position
+from tabloom.plans.permute import permuted_position
 from tabloom.plans.quantiles import long_quantiles
 from tabloom.session import cut_lineage
 
@@ -83,29 +84,26 @@ def sample_rows(df: DataFrame, key: Sequence[str], n: int = SAMPLE_ROWS, seed: i
     return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
 
 
-def _replicas(df: DataFrame, columns: Sequence[str], key: Sequence[str], repeats: int, seed: int) -> DataFrame:
-    """Rows once per (feature, repeat), that feature's values shuffled.
+def permuted_replicas(df: DataFrame, columns: Sequence[str], key: Sequence[str], repeats: int, seed: int) -> DataFrame:
+    """(f, r, columns of ``df``): all rows once per feature number and repeat, that feature shuffled.
 
-    Each replica is numbered in two hash orders and joined to itself on the
-    number, so the shuffle needs neither a collected column nor one big task.
+    Rows are numbered once, by a unique key.  A keyed permutation of the numbers tells every
+    value where it goes, so only (number, feature, repeat, value) is shuffled and nothing
+    is sorted again; a NULL is a value like others.
     """
-    jobs = F.array(
-        *[
-            F.struct(F.lit(j).alias("f"), F.lit(r).alias("r"))
-            for j in range(len(columns))
-            for r in range(repeats)
-        ]
-    )
-    wide = df.withColumn("_j", F.explode(jobs)).withColumn("f", F.col("_j.f")).withColumn("r", F.col("_j.r")).drop("_j")
-    rows = hash_position(wide, seed, key, ["f", "r"], "_pos")
-    shuffled = hash_position(wide, seed + 1, [*key, "f", "r"], ["f", "r"], "_pos").select(
-        "f", "r", "_pos", F.struct(*[quoted(c) for c in columns]).alias("_other")
-    )
-    joined = rows.join(shuffled, ["f", "r", "_pos"])
+    placed = cut_lineage(hash_position(df, seed, key, name="_pos"))
+    jobs = F.array(*[F.struct(F.lit(f).alias("f"), F.lit(r).alias("r")) for f in range(len(columns)) for r in range(repeats)])
+    sent = placed.select("_pos", F.explode(jobs).alias("_j"), F.struct(*[quoted(c) for c in columns]).alias("_all"))
+    own = F.struct(*[F.when(F.col("_j.f") == f, F.col(f"_all.`{c}`")).alias(f"v{f}") for f, c in enumerate(columns)])
+    target = permuted_position(F.col("_pos"), F.xxhash64(F.lit(seed + 1), "_j.f", "_j.r"), placed.count())
+    # A position receives one value per feature and repeat, whatever the table's size.
+    received = sent.select(target.alias("_pos"), F.struct("_j.f", "_j.r", own.alias("v")).alias("_s"))
+    received = received.groupBy("_pos").agg(F.collect_list("_s").alias("_s"))
+    joined = placed.join(received, "_pos").withColumn("_s", F.explode("_s"))
     swapped = {
-        c: F.when(F.col("f") == j, F.col(f"_other.`{c}`")).otherwise(quoted(c)) for j, c in enumerate(columns)
+        c: F.when(F.col("_s.f") == f, F.col(f"_s.v.v{f}")).otherwise(quoted(c)).alias(c) for f, c in enumerate(columns)
     }
-    return joined.select("f", "r", *[swapped.get(c, quoted(c)).alias(c) for c in df.columns])
+    return joined.select("_s.f", "_s.r", *[swapped.get(c, quoted(c)) for c in df.columns])
 
 
 def permutation_importance(
@@ -127,7 +125,7 @@ def permutation_importance(
     base = measure(predict(model, rows), actual, "predicted", digits=9).select(
         (F.col(metric) * sign).alias("base")
     )
-    scored = predict(model, _replicas(rows, names, key, repeats, seed))
+    scored = predict(model, permuted_replicas(rows, names, key, repeats, seed))
     each = measure(scored, actual, "predicted", ["f", "r"], digits=9)
     drops = each.crossJoin(F.broadcast(base)).select(
         "f", (F.col("base") - F.col(metric) * sign).alias("drop")

@@ -387,6 +387,29 @@ def permutation_importance(spark, folder):
     return X.permutation_importance(model, rows, columns, "l_extendedprice", "regression", KEY, 5)
 
 
+@query(
+    "ex09_permuted_replicas",
+    """SELECT f, r, count(*) AS rows, round(sum(l_quantity), 2)::DOUBLE AS quantity, round(sum(l_discount), 2)::DOUBLE AS discount,
+      round(sum(l_quantity * l_quantity), 2)::DOUBLE AS quantity_squares, round(avg(l_extendedprice), 2)::DOUBLE AS mean_prediction,
+      TRUE AS shuffled
+    FROM lineitem, (SELECT unnest(range(2))::INTEGER AS f), (SELECT unnest(range(3))::INTEGER AS r) GROUP BY f, r""",
+)
+def permuted_replicas(spark, folder):
+    """Shuffling keeps a column's sums, and with them the mean prediction of a linear model."""
+    lines = table(spark, folder, "lineitem").withColumn("before", F.col("l_quantity") * 1000 + F.col("l_discount"))
+    source = partial(table, name="lineitem")
+    config = FeatureConfig(numeric=("l_quantity", "l_discount"), scaler="none")
+    model = _fit(spark, folder, "linear_regression", "regression", config, "l_extendedprice", source)
+    found = X.permuted_replicas(lines, ["l_quantity", "l_discount"], KEY, 3, 42)
+    moved = F.col("before") != F.col("l_quantity") * 1000 + F.col("l_discount")
+    return SU.predict(model, found).groupBy("f", "r").agg(
+        F.count("*").alias("rows"), F.round(F.sum("l_quantity"), 2).cast("double").alias("quantity"),
+        F.round(F.sum("l_discount"), 2).cast("double").alias("discount"),
+        F.round(F.sum(F.col("l_quantity") * F.col("l_quantity")), 2).cast("double").alias("quantity_squares"),
+        F.round(F.avg("predicted"), 2).alias("mean_prediction"), (F.avg(moved.cast("int")) > 0.8).alias("shuffled"),
+    )
+
+
 WEIGHTS = {"l_quantity": 1900.0, "l_discount": -250.0, "l_tax": 40.0}
 
 
