@@ -44,6 +44,8 @@ from tabloom.session import cut_lineage
 BASELINE_ROWS = 8
 EXPERIMENT_ROWS = 12
 
+CLASSES_AT_ONCE = 8
+
 
 class TrainingError(ValueError):
     """Too few rows, an unknown model or no usable label."""
@@ -65,7 +67,8 @@ def _logistic(s: LabelStats, seed: int) -> Estimator:
 
 
 def _one_vs_rest(estimator: Estimator, s: LabelStats) -> Estimator:
-    return estimator if s.classes <= 2 else OneVsRest(classifier=estimator)
+    # The classes' models are independent jobs.
+    return estimator if s.classes <= 2 else OneVsRest(classifier=estimator, parallelism=min(s.classes, CLASSES_AT_ONCE))
 
 
 def _least_squares(s: LabelStats, **options) -> Estimator:
