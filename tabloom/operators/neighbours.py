@@ -1,15 +1,18 @@
 """Exact nearest-neighbour work on vectors, in bounded blocks.
 
 Points are grouped around pivots; the triangle inequality tells which groups
-can matter to each other, and groups are cut into blocks of a fixed size.  A
+can matter to each other, and groups are cut into blocks of bounded size.  A
 task sees one query block and one base block and returns per-query results
 only, so neither a dense region nor a hot group lands in one task, and pairs of
-points are never emitted.
+points are never emitted.  A row is sent once per block of the other side, so blocks
+grow with the table up to ``BLOCK_CELLS`` numbers; inside a task they are met tile by tile.
+Matrix products screen the pairs of a tile with a proven margin, and what the margin
+leaves open is decided by plain differences.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +27,9 @@ MOST_PIVOTS = 256
 SLACK = 1e-5
 DIGITS = 6
 CHUNK_CELLS = 4_000_000
+BLOCK_CELLS = 1 << 20  # numbers of a block's vectors: 8 MB
+BLOCKS_A_SIDE = 16
+SCREEN_GROUPS = 32
 
 
 def points(df: DataFrame, key: str, vector: str, extra: Sequence[str] = ()) -> DataFrame:
@@ -43,6 +49,68 @@ def distances(queries: np.ndarray, base: np.ndarray) -> np.ndarray:
     return result
 
 
+def pair_distances(queries: np.ndarray, base: np.ndarray, qi: np.ndarray, bi: np.ndarray) -> np.ndarray:
+    """``distances`` of the listed pairs only, by the same plain differences."""
+    result = np.empty(len(qi))
+    step = max(1, CHUNK_CELLS // max(1, base.shape[1]))
+    for start in range(0, len(qi), step):
+        gap = queries[qi[start : start + step]] - base[bi[start : start + step]]
+        result[start : start + step] = np.sqrt((gap * gap).sum(axis=1))
+    return result
+
+
+def screened(queries: np.ndarray, base: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first query, squared distances to all of base, their error bound per query), a tile of queries at a time.
+
+    |q|² + |b|² - 2qb as one matrix product: off by at most the bound from ``distances`` squared.
+    Numbers that are not finite, or whose squares are not, get the bound infinity.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        qq, bb = (queries * queries).sum(axis=1), (base * base).sum(axis=1)
+        left = np.column_stack([-2.0 * queries, np.ones(len(queries)), qq])
+        right = np.column_stack([base, bb, np.ones(len(base))]).T
+        slack = (4 * base.shape[1] + 32) * np.finfo(float).eps * (np.sqrt(qq) + np.sqrt(bb.max())) ** 2 + 1e-300
+        slack = np.where(np.isfinite(slack), slack, np.inf)
+        step = max(1, CHUNK_CELLS // len(base))
+        for start in range(0, len(queries), step):
+            yield start, left[start : start + step] @ right, slack[start : start + step, None]
+
+
+def nearest_pairs(queries: np.ndarray, base: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, base, distance) of the ``m`` nearest of every query; ties at ``DIGITS`` go to the earlier base row."""
+    m, found = min(m, len(base)), []
+    for start, squares, slack in screened(queries, base):
+        rows = len(squares)
+        if np.isfinite(slack).all():
+            # The m-th least of the groups' minima is not below the m-th least of all.
+            width = len(base) // SCREEN_GROUPS
+            some = squares
+            if width >= 4 * m:
+                some = squares[:, : width * SCREEN_GROUPS].reshape(rows, SCREEN_GROUPS, width).min(axis=1)
+            reach = np.partition(some, m - 1, axis=1)[:, m - 1, None]
+            limit = (np.sqrt(np.maximum(reach, 0) + slack) + 2.0 * 10.0**-DIGITS) ** 2 + slack
+            qi, bi = np.nonzero(squares <= limit)
+        else:
+            qi, bi = np.divmod(np.arange(rows * len(base)), len(base))
+        gaps = np.round(pair_distances(queries[start : start + rows], base, qi, bi), DIGITS)
+        order = np.lexsort((bi, gaps, qi))
+        qi, bi, gaps = qi[order], bi[order], gaps[order]
+        kept = np.arange(len(qi)) - np.searchsorted(qi, qi) < m
+        found.append((qi[kept] + start, bi[kept], gaps[kept]))
+    return tuple(np.concatenate(part) for part in zip(*found, strict=True))
+
+
+def within(queries: np.ndarray, base: np.ndarray, eps: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(first query, which pairs lie within ``eps``), a tile of queries at a time."""
+    for start, squares, slack in screened(queries, base):
+        band = slack + 8 * np.finfo(float).eps * eps * eps
+        with np.errstate(invalid="ignore"):
+            near = squares <= eps * eps
+            qi, bi = np.nonzero(~(np.abs(squares - eps * eps) > band))
+        near[qi, bi] = pair_distances(queries[start : start + len(near)], base, qi, bi) <= eps
+        yield start, near
+
+
 @dataclass
 class Blocks:
     """Query and base rows keyed by (a, qi, bj): one task per key."""
@@ -110,7 +178,10 @@ def pair_blocks(
     radius; neither: all pairs.
     """
     spark = queries.sparkSession
-    count = base.count()
+    size = base.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
+    count = size["n"]
+    # Rows of a block: as many as asked for, more in a large table.
+    block_rows = max(block_rows, min(BLOCK_CELLS // max(1, size["d"] or 1), -(-count // BLOCKS_A_SIDE)))
     wanted = pivots or min(MOST_PIVOTS, -(-count // block_rows))
     if (k is None and eps is None) or wanted <= 1 or count == 0:
         centres = np.zeros((1, 1))
@@ -213,16 +284,8 @@ def nearest_in_blocks(blocks: Blocks, need: int) -> DataFrame:
         ids = b["id"].to_numpy()
         order = np.argsort(ids, kind="stable")
         ids, vectors = ids[order], _stack(b["vec"])[order]
-        gaps = np.round(distances(_stack(q["vec"]), vectors), DIGITS)
-        m = min(need, len(ids))
-        picked = np.argsort(gaps, axis=1, kind="stable")[:, :m]
-        return pd.DataFrame(
-            {
-                "rep": np.repeat(q["id"].to_numpy(), m),
-                "neighbour_id": ids[picked].ravel(),
-                "distance": np.take_along_axis(gaps, picked, axis=1).ravel(),
-            }
-        )
+        qi, bi, gaps = nearest_pairs(_stack(q["vec"]), vectors, need)
+        return pd.DataFrame({"rep": q["id"].to_numpy()[qi], "neighbour_id": ids[bi], "distance": gaps})
 
     return blocks.run(nearest, "rep bigint, neighbour_id bigint, distance double")
 
