@@ -19,10 +19,12 @@ from tabloom.operators.features import FeatureConfig, build_preprocessor, featur
 from tabloom.operators.neighbours import (
     BLOCK_ROWS,
     _stack,
-    distances,
     flag_share,
     local_outlier_factor,
     pair_blocks,
+    pair_distances,
+    screened,
+    within,
 )
 from tabloom.plans.graphs import connected_components
 from tabloom.plans.ordering import evenly_spaced, with_position
@@ -81,8 +83,9 @@ def dbscan(
     def count(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if len(q) == 0 or len(b) == 0:
             return pd.DataFrame({"id": [], "n": []})
-        near = distances(_stack(q["vec"]), _stack(b["vec"])) <= eps
-        return pd.DataFrame({"id": q["id"], "n": near @ b["weight"].to_numpy()})
+        weight = b["weight"].to_numpy().astype(float)  # whole numbers, far below 2 ** 53
+        n = [near @ weight for _, near in within(_stack(q["vec"]), _stack(b["vec"]), eps)]
+        return pd.DataFrame({"id": q["id"], "n": np.concatenate(n).astype("int64")})
 
     counts = blocks.run(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     flagged = cut_lineage(
@@ -95,26 +98,33 @@ def dbscan(
     def link(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if len(q) == 0 or len(b) == 0:
             return pd.DataFrame({"u": [], "v": [], "core": []})
-        near = distances(_stack(q["vec"]), _stack(b["vec"])) <= eps
         q_ids, b_ids = q["id"].to_numpy(), b["id"].to_numpy()
         core = q["core"].to_numpy().astype(bool)
         ids = np.unique(np.concatenate([b_ids, q_ids[core]]))
-        place = {v: i for i, v in enumerate(ids)}
-        qi, bi = np.nonzero(near & core[:, None])
-        left = np.array([place[v] for v in q_ids], dtype=int, copy=True) if core.all() else np.array(
-            [place.get(v, 0) for v in q_ids], dtype=int
-        )
-        right = np.array([place[v] for v in b_ids], dtype=int)
-        roots = ids[_local_roots(len(ids), left[qi], right[bi])]
-        base_root = np.array([roots[i] for i in right])
-        rows = [pd.DataFrame({"u": ids, "v": roots, "core": True})]
-        qi, bi = np.nonzero(near & ~core[:, None])
-        if len(qi):
-            border = pd.DataFrame({"u": q_ids[qi], "v": base_root[bi], "core": False})
-            rows.append(border.drop_duplicates())
+        places = np.arange(len(ids))
+        left, right = np.searchsorted(ids, q_ids), np.searchsorted(ids, b_ids)
+        joined, border = places, []
+        for start, near in within(_stack(q["vec"]), _stack(b["vec"]), eps):
+            tile = slice(start, start + len(near))
+            inner = core[tile]
+            own = np.where(inner, joined[np.minimum(left[tile], len(ids) - 1)], -1)
+            qi, bi = np.nonzero(near & inner[:, None] & (own[:, None] != joined[right]))
+            if len(qi):
+                known = np.concatenate([joined, right[bi]])
+                joined = _local_roots(len(ids), np.concatenate([places, left[start + qi]]), known)
+            outer = np.flatnonzero(~inner)  # each has fewer than ``min_samples`` links
+            qi, bi = np.nonzero(near[outer])
+            border.append(np.unique((start + outer[qi]) * len(ids) + joined[right[bi]]))
+        roots = ids[joined]
+        moved = roots != ids  # a core point's link to itself is added once, below
+        rows = [pd.DataFrame({"u": ids[moved], "v": roots[moved], "core": True})]
+        qi, root = np.divmod(np.concatenate(border), len(ids))
+        rows.append(pd.DataFrame({"u": q_ids[qi], "v": roots[root], "core": False}).drop_duplicates())
         return pd.concat(rows, ignore_index=True)
 
-    links = cut_lineage(blocks.run(link, "u bigint, v bigint, core boolean").distinct())
+    own = flagged.where("core").select(F.col("id").alias("u"), F.col("id").alias("v"), "core")
+    found = blocks.run(link, "u bigint, v bigint, core boolean")
+    links = cut_lineage(found.unionByName(own).distinct())
     components = connected_components(links.where("core"))
     clusters = with_position(components.select("component").distinct(), ["component"])
     clusters = clusters.select("component", F.col("_pos").cast("int").alias("label"))
@@ -144,9 +154,17 @@ def silhouette(df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     def sums(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if len(q) == 0 or len(b) == 0:
             return pd.DataFrame({"id": [], "own": [], "other": [], "s": []})
-        gaps = distances(_stack(q["vec"]), _stack(b["vec"]))
+        queries, base = _stack(q["vec"]), _stack(b["vec"])
         names, codes = np.unique(b["label"].to_numpy(), return_inverse=True)
-        totals = gaps @ np.eye(len(names))[codes]
+        member, parts = np.eye(len(names))[codes], []
+        for start, squares, slack in screened(queries, base):
+            # Roots of small differences of large numbers are taken again, by plain differences.
+            qi, bi = np.nonzero(~(squares > 1e6 * slack))
+            squares[qi, bi] = 0.0
+            gaps = np.sqrt(squares, out=squares)
+            gaps[qi, bi] = pair_distances(queries[start : start + len(gaps)], base, qi, bi)
+            parts.append(gaps @ member)
+        totals = np.concatenate(parts)
         return pd.DataFrame(
             {
                 "id": np.repeat(q["id"].to_numpy(), len(names)),
