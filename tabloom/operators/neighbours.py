@@ -30,6 +30,7 @@ CHUNK_CELLS = 4_000_000
 BLOCK_CELLS = 1 << 20  # numbers of a block's vectors: 8 MB
 BLOCKS_A_SIDE = 16
 SCREEN_GROUPS = 32
+SCREEN_CELLS = 500_000
 
 
 def points(df: DataFrame, key: str, vector: str, extra: Sequence[str] = ()) -> DataFrame:
@@ -71,7 +72,7 @@ def screened(queries: np.ndarray, base: np.ndarray) -> Iterator[tuple[int, np.nd
         right = np.column_stack([base, bb, np.ones(len(base))]).T
         slack = (4 * base.shape[1] + 32) * np.finfo(float).eps * (np.sqrt(qq) + np.sqrt(bb.max())) ** 2 + 1e-300
         slack = np.where(np.isfinite(slack), slack, np.inf)
-        step = max(1, CHUNK_CELLS // len(base))
+        step = max(1, SCREEN_CELLS // len(base))
         for start in range(0, len(queries), step):
             yield start, left[start : start + step] @ right, slack[start : start + step, None]
 
@@ -104,9 +105,9 @@ def within(queries: np.ndarray, base: np.ndarray, eps: float) -> Iterator[tuple[
     """(first query, which pairs lie within ``eps``), a tile of queries at a time."""
     for start, squares, slack in screened(queries, base):
         band = slack + 8 * np.finfo(float).eps * eps * eps
-        with np.errstate(invalid="ignore"):
-            near = squares <= eps * eps
-            qi, bi = np.nonzero(~(np.abs(squares - eps * eps) > band))
+        near = squares <= eps * eps + band
+        unsure = near ^ (squares <= eps * eps - band) if np.isfinite(band).all() else np.ones_like(near)
+        qi, bi = np.nonzero(unsure)
         near[qi, bi] = pair_distances(queries[start : start + len(near)], base, qi, bi) <= eps
         yield start, near
 

@@ -48,7 +48,7 @@ def kmeans(df: DataFrame, k: int, seed: int = 42) -> tuple[DataFrame, DataFrame]
 
 def _local_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Smallest member position of each connected component of a small graph."""
-    root = np.arange(n)
+    root = np.arange(n, dtype="int32")
     while True:
         low = np.minimum(root[left], root[right])
         before = root.copy()
@@ -83,9 +83,13 @@ def dbscan(
     def count(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if len(q) == 0 or len(b) == 0:
             return pd.DataFrame({"id": [], "n": []})
-        weight = b["weight"].to_numpy().astype(float)  # whole numbers, far below 2 ** 53
-        n = [near @ weight for _, near in within(_stack(q["vec"]), _stack(b["vec"]), eps)]
-        return pd.DataFrame({"id": q["id"], "n": np.concatenate(n).astype("int64")})
+        copies = b["weight"].to_numpy() - 1
+        more = np.flatnonzero(copies)
+        n = [
+            np.count_nonzero(near, axis=1) + near[:, more] @ copies[more]
+            for _, near in within(_stack(q["vec"]), _stack(b["vec"]), eps)
+        ]
+        return pd.DataFrame({"id": q["id"], "n": np.concatenate(n)})
 
     counts = blocks.run(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     flagged = cut_lineage(
@@ -101,7 +105,7 @@ def dbscan(
         q_ids, b_ids = q["id"].to_numpy(), b["id"].to_numpy()
         core = q["core"].to_numpy().astype(bool)
         ids = np.unique(np.concatenate([b_ids, q_ids[core]]))
-        places = np.arange(len(ids))
+        places = np.arange(len(ids), dtype="int32")
         left, right = np.searchsorted(ids, q_ids), np.searchsorted(ids, b_ids)
         joined, border = places, []
         for start, near in within(_stack(q["vec"]), _stack(b["vec"]), eps):
@@ -114,7 +118,7 @@ def dbscan(
                 joined = _local_roots(len(ids), np.concatenate([places, left[start + qi]]), known)
             outer = np.flatnonzero(~inner)  # each has fewer than ``min_samples`` links
             qi, bi = np.nonzero(near[outer])
-            border.append(np.unique((start + outer[qi]) * len(ids) + joined[right[bi]]))
+            border.append(np.unique((start + outer[qi]) * len(ids) + joined[right[bi]].astype("int64")))
         roots = ids[joined]
         moved = roots != ids  # a core point's link to itself is added once, below
         rows = [pd.DataFrame({"u": ids[moved], "v": roots[moved], "core": True})]

@@ -26,7 +26,7 @@ def awkward(kind):
 @pytest.mark.filterwarnings("ignore::RuntimeWarning")
 def test_tiles_match_plain_differences(kind, monkeypatch):
     rows = awkward(kind)
-    monkeypatch.setattr(neighbours, "CHUNK_CELLS", 7_000)  # several tiles
+    monkeypatch.setattr(neighbours, "SCREEN_CELLS", 7_000)  # several tiles
     plain = np.sqrt(((rows[:, None] - rows[None]) ** 2).sum(axis=2))
     gaps = np.round(plain, neighbours.DIGITS)
     qi, bi, found = neighbours.nearest_pairs(rows, rows, 2)
