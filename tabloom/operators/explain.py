@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.values import quoted, rounded
@@ -215,40 +215,54 @@ def sampled_shapley(
     numbered = hash_position(background.select(*dict.fromkeys([*key, *names])), seed, key)
     reference = cut_lineage(numbered.select(F.col("_pos").alias("_b"), F.struct(*[quoted(c) for c in names]).alias("_bg")))
     size = reference.count()
+    own = {c: f"_key_{i}" for i, c in enumerate(key)}
+    # Only a key and a number go to the background and only its values come back to the key; the
+    # steps are made and summed where the key's walks already are.
+    asked = (
+        rows.select(*[quoted(c).alias(alias) for c, alias in own.items()]).dropna().distinct()
+        .withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+        .withColumn("_b", F.pmod(F.xxhash64(F.lit(seed + 1), *own.values(), "t"), F.lit(size)))
+        .join(reference, "_b")
+        .drop("_b")
+    )
+    explained = rows.select(
+        *[quoted(c).alias(alias) for c, alias in own.items()], F.struct(*[quoted(c) for c in names]).alias("_own")
+    )
     ordered = F.array_sort(
-        F.array(*[F.struct(F.xxhash64(F.lit(seed), *key, "t", F.lit(j)).alias("h"), F.lit(j).alias("j")) for j in range(d)])
+        F.array(*[F.struct(F.xxhash64(F.lit(seed), *own.values(), "t", F.lit(j)).alias("h"), F.lit(j).alias("j")) for j in range(d)])
     )
     walks = (
-        rows.select(*key, *[quoted(c) for c in names if c not in key])
-        .withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-        .withColumn("_b", F.pmod(F.xxhash64(F.lit(seed + 1), *key, "t"), F.lit(size)))
+        explained.join(asked, list(own.values()))
         .withColumn("_order", F.transform(ordered, lambda s: s["j"]))
-        .join(reference, "_b")
         .withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(d))))
     )
     mixed = {
-        c: F.when(F.array_position("_order", F.lit(j)) <= F.col("s"), quoted(c)).otherwise(F.col(f"_bg.`{c}`"))
+        c: F.when(F.array_position("_order", F.lit(j)) <= F.col("s"), F.col(f"_own.`{c}`")).otherwise(F.col(f"_bg.`{c}`"))
         for j, c in enumerate(names)
     }
-    own = {c: f"_key_{i}" for i, c in enumerate(key)}
     steps = walks.select(
-        *[F.col(c).alias(alias) for c, alias in own.items()], "t", "s", "_order",
+        *own.values(), "s", F.get("_order", F.col("s") - 1).alias("_to"), F.get("_order", F.col("s")).alias("_from"),
         *[mixed[c].alias(c) for c in names],
     )
     value = output if output is not None else F.col("prediction")
-    scored = predict(model, steps).select(*own.values(), "t", "s", "_order", value.alias("_f"))
-    walk = Window.partitionBy(*own.values(), "t").orderBy("s")  # d + 1 rows each
-    gains = scored.withColumn("_gain", F.col("_f") - F.lag("_f").over(walk))
-    base = scored.where("s = 0").groupBy(*own.values()).agg(F.avg("_f").alias("base_value"))
-    name = F.element_at(F.array(*map(F.lit, names)), F.element_at("_order", F.col("s")) + 1)
-    mean = (
-        gains.where("s > 0")
-        .groupBy(*own.values(), name.alias("feature"))
-        .agg(F.avg("_gain").alias("contribution"))
+    scored = predict(model, steps).select(*own.values(), "s", "_to", "_from", value.alias("_f"))
+    # A feature gains the value of the step that sets it less that of the step before: no walk has to meet.
+    gains = [
+        F.sum(F.when(F.col("_to") == j, F.col("_f")).when(F.col("_from") == j, -F.col("_f")).otherwise(F.lit(0.0)))
+        for j in range(d)
+    ]
+    # Rows that share a key share its gain, so the count divides once for the walks and once for the copies.
+    walked = F.count_if(F.col("s") == 0)
+    summed = scored.groupBy(*own.values()).agg(
+        F.avg(F.when(F.col("s") == 0, F.col("_f"))).alias("base_value"),
+        F.array(
+            *[F.struct(F.lit(c).alias("feature"), (g / walked * (F.lit(samples) / walked)).alias("c")) for c, g in zip(names, gains, strict=True)]
+        ).alias("_parts"),
     )
-    return mean.join(base, list(own.values())).select(
+    return summed.select("*", F.explode("_parts").alias("_p")).select(
         *[F.col(alias).alias(c) for c, alias in own.items()],
-        "feature", F.col("feature").alias("source_column"), "contribution", "base_value",
+        F.col("_p.feature").alias("feature"), F.col("_p.feature").alias("source_column"),
+        F.col("_p.c").alias("contribution"), "base_value",
     )
 
 

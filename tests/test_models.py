@@ -372,3 +372,18 @@ def test_grouping_run_over_prepared_columns(spark):
     assert status == {"kmeans": "trained", "dbscan": "trained", "isolation_forest": "trained", "nope": "failed"}
     assert run.projection.count() == 61 and run.labels["kmeans"].count() == 61
     assert run.labels["isolation_forest"].orderBy(F.desc("score")).first()["id"] == 60
+
+
+def test_sampled_contributions_meet_without_walks_being_sorted(revenue):
+    _, model = fitted(revenue, "linear_regression")
+    columns = ["age", "tenure", "support_tickets"]
+    found = explain.sampled_shapley(model, revenue.limit(6), revenue, columns, ["record_id"], 12)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan  # all steps of all walks were shuffled and sorted
+    by = {(r["record_id"], r["feature"]): r for r in found.collect()}
+    assert len(by) == 18 and all(r["source_column"] == f for (_, f), r in by.items())
+    # Linear: a feature's gain is its weight times its distance from the drawn background, within the column's range.
+    ages = [r["age"] for r in revenue.collect()]
+    own = {r["record_id"]: r["age"] for r in revenue.limit(6).collect()}
+    for key, age in own.items():
+        assert 7 * (age - max(ages)) - 1e-4 <= by[key, "age"]["contribution"] <= 7 * (age - min(ages)) + 1e-4
