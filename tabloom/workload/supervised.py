@@ -397,7 +397,9 @@ def permutation_importance(spark, folder):
 )
 def permuted_replicas(spark, folder):
     """Shuffling keeps a column's sums, and with them the mean prediction of a linear model."""
-    lines = table(spark, folder, "lineitem").withColumn("before", F.col("l_quantity") * 1000 + F.col("l_discount"))
+    lines = table(spark, folder, "lineitem").select(
+        *KEY, "l_quantity", "l_discount", (F.col("l_quantity") * 1000 + F.col("l_discount")).alias("before")
+    )
     source = partial(table, name="lineitem")
     config = FeatureConfig(numeric=("l_quantity", "l_discount"), scaler="none")
     model = _fit(spark, folder, "linear_regression", "regression", config, "l_extendedprice", source)

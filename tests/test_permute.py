@@ -45,3 +45,13 @@ def test_replicas_shuffle_one_column_and_keep_the_others(spark):
     assert explain.permuted_replicas(df.limit(0), ["a"], ["id"], 2, 7).count() == 0
     plan = explain.permuted_replicas(df, ["a"], ["id"], 2, 7)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
+
+
+def test_sent_values_are_narrow_rows(spark):
+    df = spark.createDataFrame([(i, float(i), 2.0 * i, f"t{i}") for i in range(50)], "id int, a double, b double, c string")
+    found = explain.permuted_replicas(df, ["a", "c", "b"], ["id"], 2, 7)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "_v2" not in plan  # no list per position; numbers share a column
+    rows = found.collect()
+    assert len(rows) == 300 and {(x.f, x.r) for x in rows} == {(f, r) for f in range(3) for r in range(2)}
+    assert all(x.b == 2.0 * x.id for x in rows if x.f != 2) and sum(x.b for x in rows if x.f == 2) == 4900.0
