@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.values import rounded
+from tabloom.plans.ordering import with_position
 
 MODEL_SCHEMA = (
     "model_id string, dataset_id string, version_id string, target string, task string, "
@@ -84,16 +85,17 @@ def metric_value(metric: str) -> Column:
 
 def compare(meta: DataFrame, model_ids: Sequence[str] | None, metric: str) -> DataFrame:
     """(rank, model_id, …, value): best first, models without the metric last."""
-    from pyspark.sql import Window
-
     kept = meta.where(F.col("model_id").isin(list(model_ids))) if model_ids is not None else meta
     value = F.col("value")
-    order = value.asc_nulls_last() if metric in LOWER_IS_BETTER else value.desc_nulls_last()
-    valued = kept.withColumn("value", metric_value(metric))
-    ranked = Window.orderBy(order, "model_id")  # one row per registered model
-    return valued.select(
-        F.row_number().over(ranked).alias("rank"), "model_id", "model", "status", "value"
-    )
+    if metric in LOWER_IS_BETTER:
+        group, by = F.when(value.isNull(), 1).otherwise(0), value
+    else:  # not a number counts as the largest
+        group, by = F.when(value.isNull(), 2).when(F.isnan(value), 0).otherwise(1), -value
+    valued = kept.select("model_id", "model", "status", metric_value(metric).alias("value"))
+    # A registry can be long: positions come from pieces, no task ranks it alone.
+    placed = with_position(valued.withColumn("_group", group).withColumn("_by", by), ["_group", "_by", "model_id"])
+    rank = (F.col("_pos") + 1).cast("int").alias("rank")
+    return placed.select(rank, "model_id", "model", "status", "value").orderBy("rank")
 
 
 def recommend(comparison: DataFrame, champion_id: str, challenger_id: str) -> DataFrame:
