@@ -36,6 +36,7 @@ from tabloom.functions.values import (
 from tabloom.plans.longform import numeric_long
 from tabloom.plans.quantiles import long_quantiles
 from tabloom.plans.sizing import spread
+from tabloom.session import cut_lineage
 
 # Names and length that make a label column text, feature limits.
 TEXT_NAMES = [
@@ -193,13 +194,6 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def exploded_terms(df: DataFrame, column: str, keep: Sequence[str] = ()) -> DataFrame:
-    """(keep…, term): words and word pairs; each text is split only once."""
-    rows = spread(df.select(*keep, quoted(column)))
-    split = rows.select(*keep, words_of(quoted(column)).alias("_words"))
-    return split.select(*keep, F.explode(with_pairs(F.col("_words"))).alias("term"))
-
-
 def with_pairs(words: Column) -> Column:
     """Words followed by the pairs of neighbouring words."""
     later = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
@@ -207,12 +201,26 @@ def with_pairs(words: Column) -> Column:
     return F.concat(words, F.zip_with(earlier, later, lambda a, b: F.concat_ws(" ", a, b)))
 
 
+def neighbouring_words(df: DataFrame, column: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(keep…, _word, _next): every word with the one after it, NULL after the last."""
+    rows = spread(df.select(*keep, quoted(column)))
+    split = rows.select(*keep, words_of(quoted(column)).alias("_words"))
+    later = F.slice("_words", 2, F.greatest(F.size("_words") - 1, F.lit(0)))
+    both = F.explode(F.arrays_zip(F.col("_words").alias("_word"), later.alias("_next"))).alias("_p")
+    return split.select(*keep, both).select(*keep, F.col("_p._word").alias("_word"), F.col("_p._next").alias("_next"))
+
+
 def vocabulary(df: DataFrame, column: str, max_features: int) -> DataFrame:
-    """(term, total): the most frequent terms of the whole corpus, ties by term."""
-    counts = exploded_terms(df, column).groupBy("term").agg(
-        F.count("*").alias("total")
-    )
-    return counts.orderBy(F.desc("total"), "term").limit(max_features)
+    """(term, total): the most frequent terms of the whole corpus, ties by term.
+
+    Only neighbouring words are counted row by row; a word's total is the sum over what follows it.
+    """
+    pairs = neighbouring_words(df, column).groupBy("_word", "_next").agg(F.count("*").alias("n"))
+    words = pairs.groupBy(F.col("_word").alias("term")).agg(F.sum("n").alias("total"))
+    # No count is below one: with it the condition stays above the sum, and both uses read one shuffle.
+    followed = pairs.where(F.col("_next").isNotNull() | (F.col("n") < 1))
+    terms = followed.select(F.concat_ws(" ", "_word", "_next").alias("term"), F.col("n").alias("total"))
+    return words.unionByName(terms).orderBy(F.desc("total"), "term").limit(max_features)
 
 
 def tfidf(df: DataFrame, key: str, column: str, max_features: int = 100) -> DataFrame:
@@ -220,10 +228,13 @@ def tfidf(df: DataFrame, key: str, column: str, max_features: int = 100) -> Data
 
     Only terms of the bounded vocabulary are shuffled by row.
     """
-    vocab = vocabulary(df, column, max_features)
+    vocab = cut_lineage(vocabulary(df, column, max_features))
+    first = vocab.select(F.substring_index("term", " ", 1).alias("_word")).distinct()
+    near = neighbouring_words(df, column, [key]).join(F.broadcast(first), "_word", "left_semi")
+    pair = F.when(F.col("_next").isNotNull(), F.concat_ws(" ", "_word", "_next"))
     rows = df.agg(F.count("*").alias("_n"))
     counts = (
-        exploded_terms(df, column, [key])
+        near.select(key, F.explode(F.array("_word", pair)).alias("term"))
         .join(F.broadcast(vocab.select("term")), "term")
         .groupBy(key, "term")
         .agg(F.count("*").alias("tf"))
