@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Estimator, PipelineModel
+from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
@@ -38,6 +38,7 @@ from tabloom.operators.features import (
 )
 from tabloom.operators.neighbours import knn_classify, knn_regress
 from tabloom.operators.split import SEED, assign_folds, split
+from tabloom.operators.tree_cells import Cells, cells_of, forest_regressor
 from tabloom.session import cut_lineage
 
 # Least usable rows of a baseline run and of an experiment.
@@ -105,6 +106,7 @@ EXPERIMENT_PARAMS: dict[str, dict[str, Any]] = {
 }
 NEIGHBOURS = 5
 WEIGHTED = {"logistic_regression", "random_forest_classifier", "linear_svm", "gbt_classifier"}
+ON_CELLS = {"gbt_classifier", "gbt_regressor", "random_forest_regressor"}
 
 
 def detect_task(df: DataFrame, target: str | None, rule: str = "baseline") -> DataFrame:
@@ -188,13 +190,23 @@ def fit_model(
     inner._set(**(params or {}))
     if name in WEIGHTED and estimator.hasParam("weightCol"):
         estimator = estimator.copy({estimator.getParam("weightCol"): "weight"})
-    model = estimator.fit(prepared.rows)
-    stages = [prepared.preprocessor, model]
+    cells = cells_of(prepared.rows, prepared.stats.rows, params, seed) if name in ON_CELLS else None
+    if cells is None:
+        stages = [prepared.preprocessor, estimator.fit(prepared.rows)]
+    else:
+        stages = [PipelineModel(stages=[prepared.preprocessor, cells.bins]), _fit_cells(cells, estimator, name, seed)]
     if task == "classification":
         stages.append(IndexToString(inputCol="prediction", outputCol="predicted", labels=prepared.labels))
     return PipelineModel(stages=stages)
 
 
+def _fit_cells(cells: Cells, estimator: Estimator, name: str, seed: int) -> Model:
+    if name == "random_forest_regressor":
+        return forest_regressor(cells, estimator, seed)
+    merged = cells.merged(name in CLASSIFIERS)
+    return estimator.copy({estimator.getParam("weightCol"): "weight"}).fit(merged)
+
+
 NEIGHBOUR_MODELS = {"classification": "knn_classifier", "regression": "knn_regressor"}
 
 
