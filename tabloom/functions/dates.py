@@ -16,12 +16,16 @@ PARTS = ["year", "month", "day", "dayofweek"]
 
 
 def parse_timestamp(column: Column, data_type: T.DataType | None = None) -> Column:
-    """ISO first, then the fixed layouts; NULL when nothing parses."""
+    """ISO first, then the fixed layouts; NULL when nothing parses.
+
+    The layouts all hold a slash.  Texts without one are not tried: each failing try raises and catches an exception.
+    """
     if data_type is not None and is_temporal_type(data_type):
         return column.cast("timestamp_ntz")
     text = F.trim(column.cast("string"))
     attempts = [F.try_to_timestamp(text)]
-    attempts += [F.try_to_timestamp(text, F.lit(layout)) for layout in DATE_FORMATS]
+    slash = F.contains(text, F.lit("/"))
+    attempts += [F.when(slash, F.try_to_timestamp(text, F.lit(layout))) for layout in DATE_FORMATS]
     return F.coalesce(*attempts).cast("timestamp_ntz")
 
 

@@ -23,6 +23,9 @@ TRUE_TOKENS = ["true", "1", "yes", "y"]
 FALSE_TOKENS = ["false", "0", "no", "n"]
 DRIFT_BOOLEAN_TOKENS = ["true", "false", "0", "1"]
 
+# Every text that a cast to double accepts (digits, exponents, hexadecimal forms, "inf", "nan"), and some more.
+NUMBER_SHAPE = r"^[+-]?([.0-9][\x00-\x20.0-9+\-xXpPa-fA-F]*$|[iInN])"
+
 MISSING_LABEL = "Missing"
 OTHER_LABEL = "Other"
 DRIFT_MISSING_LABEL = "<missing>"
@@ -73,14 +76,14 @@ def text_to_number(column: Column, strip_commas: bool) -> Column:
     """Coerce text to double, NULL where it does not parse.
 
     A trailing d or f is a Java literal suffix that Spark's cast accepts, so it
-    is ruled out here ("inf" excepted).  Texts that cannot start a number are
+    is ruled out here ("inf" excepted).  Texts that hold what no number holds are
     not cast at all: a failing cast raises and catches an exception per row.
     """
     text = F.trim(column)
     if strip_commas:
         text = F.replace(text, F.lit(","), F.lit(""))
-    start = text.rlike("^[+-]?[.0-9iInN]") & ~text.rlike("[0-9.][dDfF]$")
-    return null_if_nan(F.when(start, text.try_cast("double")))
+    like = text.rlike(NUMBER_SHAPE) & ~text.rlike("[0-9.][dDfF]$")
+    return null_if_nan(F.when(like, text.try_cast("double")))
 
 
 def to_number(

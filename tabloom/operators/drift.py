@@ -25,7 +25,7 @@ from tabloom.functions.values import (
     to_number,
 )
 from tabloom.operators import metrics as M
-from tabloom.operators.profile import base_profile, schema_table
+from tabloom.operators.profile import base_profile, physical_kind, schema_table
 from tabloom.plans.longform import numeric_long, rows_from_one, to_long
 from tabloom.plans.ordering import running_totals
 from tabloom.plans.quantiles import long_quantiles
@@ -42,13 +42,13 @@ METRIC_ALARM = 0.1
 
 def _column_kinds(df: DataFrame, observed: bool) -> DataFrame:
     """(column, kind): from the schema, or for text from what the cells hold."""
-    if not observed:
-        return schema_table(df).select("column", F.col("physical").alias("kind"))
-    kinds = base_profile(df, approximate=True)
-    text = F.col("physical") == "text"
-    return kinds.select(
-        "column", F.when(text, F.col("inferred_type")).otherwise(F.col("physical")).alias("kind")
-    )
+    kinds = schema_table(df).select("column", F.col("physical").alias("kind"))
+    texts = [c for c in df.columns if physical_kind(df.schema[c].dataType) == "text"]
+    if not observed or not texts:
+        return kinds
+    # Only text is looked into; of the other columns no cell is read.
+    seen = base_profile(df, texts, approximate=True).select("column", "inferred_type")
+    return kinds.join(F.broadcast(seen), "column", "left").select("column", F.coalesce("inferred_type", "kind").alias("kind"))
 
 
 def schema_drift(reference: DataFrame, current: DataFrame, observed: bool = False) -> DataFrame:

@@ -52,7 +52,7 @@ TEXT_LENGTH = 40.0
 LONGEST_DATE_TEXT = 40
 
 
-def _kind(data_type: T.DataType) -> str:
+def physical_kind(data_type: T.DataType) -> str:
     if isinstance(data_type, T.BooleanType):
         return "boolean"
     if is_numeric_type(data_type):
@@ -67,7 +67,7 @@ def schema_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
         F.struct(
             F.lit(c).alias("column"),
             F.lit(i).alias("position"),
-            F.lit(_kind(df.schema[c].dataType)).alias("physical"),
+            F.lit(physical_kind(df.schema[c].dataType)).alias("physical"),
         )
         for i, c in enumerate(names)
     ]
