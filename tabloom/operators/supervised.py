@@ -46,6 +46,7 @@ BASELINE_ROWS = 8
 EXPERIMENT_ROWS = 12
 
 CLASSES_AT_ONCE = 8
+FOLDS_AT_ONCE = 4
 
 
 class TrainingError(ValueError):
@@ -310,16 +311,25 @@ def prepare_folds(
     df: DataFrame, target: str, task: str, config: FeatureConfig, key: Sequence[str], folds: int = 5,
     weights: str = "none", seed: int = SEED,
 ) -> list[tuple[Prepared, DataFrame]]:
-    """Per fold the prepared rows of the others and its own rows; any model can be fitted on them."""
-    rows = labelled_rows(df, target, task)
+    """Per fold the prepared rows of the others and its own rows; any model can be fitted on them.
+
+    Both hold the features and ``_y`` only.  The folds are independent and prepared side by side.
+    """
+    kept = [c for c in df.columns if c in {*config.columns, target}]
+    needed = [c for c in df.columns if c in {*key, *kept}]
+    rows = labelled_rows(df.select(*map(quoted, needed)), target, task)
     placed = cut_lineage(
-        assign_folds(rows, key, folds, "_y" if task == "classification" else None, seed)
+        assign_folds(rows, key, folds, "_y" if task == "classification" else None, seed).select(
+            *map(quoted, kept), "_y", "fold"
+        )
     )
     count = placed.agg(F.max("fold").alias("k")).first()["k"] + 1
-    return [
-        (prepare(placed.where(F.col("fold") != fold), config, task, weights), placed.where(F.col("fold") == fold))
-        for fold in range(count)
-    ]
+
+    def one(fold: int) -> tuple[Prepared, DataFrame]:
+        return prepare(placed.where(F.col("fold") != fold), config, task, weights), placed.where(F.col("fold") == fold)
+
+    with ThreadPoolExecutor(max_workers=min(count, FOLDS_AT_ONCE)) as pool:
+        return list(pool.map(inheritable_thread_target(df.sparkSession)(one), range(count)))
 
 
 def _measure_folds(

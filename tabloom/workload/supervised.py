@@ -166,8 +166,9 @@ for _name, _params in [
 @query("su07_gbt_multiclass")
 def gbt_multiclass(spark, folder):
     """One-versus-rest trees on the three return flags, judged on line items they have not seen."""
-    rows = SU.labelled_rows(table(spark, folder, "lineitem"), "l_returnflag", "classification")
-    placed = cut_lineage(SP.split(rows, KEY, "_y"))
+    lines = table(spark, folder, "lineitem").select(*KEY, *LINE.columns, "l_returnflag")
+    rows = SU.labelled_rows(lines, "l_returnflag", "classification")
+    placed = cut_lineage(SP.split(rows, KEY, "_y").drop(*KEY))
     learned = SU.prepare(placed.where("NOT is_test"), LINE, "classification")
     model = SU.fit_model(learned, "gbt_classifier", "classification")
     return SU._metrics(SU.predict(model, placed.where("is_test")), "classification")
@@ -195,8 +196,9 @@ for _name, _slope in _SLOPES.items():
 
 
 def _price_metrics(spark, folder, name, params=None):
-    rows = SU.labelled_rows(table(spark, folder, "lineitem"), "l_extendedprice", "regression")
-    placed = cut_lineage(SP.split(rows, KEY))
+    lines = table(spark, folder, "lineitem").select(*KEY, *LINE.columns, "l_extendedprice")
+    rows = SU.labelled_rows(lines, "l_extendedprice", "regression")
+    placed = cut_lineage(SP.split(rows, KEY).drop(*KEY))
     model = SU.fit_model(SU.prepare(placed.where("NOT is_test"), LINE, "regression"), name, "regression", params=params)
     return SU._metrics(SU.predict(model, placed.where("is_test")), "regression")
 
