@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tabloom.functions.values import quoted
 from tabloom.operators.lifecycle import TERMINAL_STATES, job_state
 
 EVENT_SCHEMA = (
@@ -19,6 +20,8 @@ EVENT_SCHEMA = (
 
 # Groups a job's rows are dealt over in a batch.
 PARTS = 32
+# Buckets of jobs; each makes ``PARTS`` groups, however many jobs there are.
+BUCKETS = 128
 
 
 def read_events(
@@ -34,15 +37,19 @@ def read_events(
 
 def follow_events(
     events: DataFrame, job: str = "job_id", event_id: str = "event_id", event_time: str = "created_at",
-    parts: int = PARTS, resent_within: str | None = None,
+    parts: int = PARTS, resent_within: str | None = None, buckets: int = BUCKETS,
 ) -> DataFrame:
     """Every event of a job once, up to and with its terminal event (``is_terminal``).
 
     Spark's own state per (job, id) drops what was seen; it spreads a job's ids over all tasks.
     Then the rows of a job are dealt over ``parts`` groups, each of which also gets the job's few
-    terminal rows, so every group knows by itself where the job ends.  A group's state is whether its
-    job is closed: no task gathers a job's rows or ids.  Step events never close a job.  A closed job
-    passes nothing on, however late or early its rows are dated.
+    terminal rows (their texts only once), so every group knows by itself where the job ends: no task
+    gathers a job's rows or ids.  Step events never close a job.  A closed job passes nothing on,
+    however late or early its rows are dated.
+
+    Jobs share ``buckets`` of groups, as a call per job and part costs more than its rows.  A group's state
+    is the ids of its closed jobs, read whenever the bucket gets rows; streams that close many
+    millions of jobs should take more buckets.
 
     Ids are kept for good, or for ``resent_within`` (such as "2 days") of event time if rows
     aren't sent again later than that; rows dated further back are then dropped.
@@ -54,25 +61,37 @@ def follow_events(
     ends = F.coalesce(F.col("status").isin(TERMINAL_STATES) & (F.col("event_type") != "step"), F.lit(False))
     home = F.pmod(F.xxhash64(event_id), F.lit(parts)).cast("int")
     everywhere = F.sequence(F.lit(0), F.lit(parts - 1))
-    dealt = once.withColumns({"is_terminal": ends, "_home": home}).withColumn(
+    # One text per job, NULL being a job as well.
+    name = F.coalesce(F.concat(F.lit("="), F.col(job).cast("string")), F.lit(""))
+    bucket = F.pmod(F.xxhash64(name, F.lit(buckets)), F.lit(buckets)).cast("int")
+    dealt = once.withColumns({"is_terminal": ends, "_home": home, "_job": name, "_bucket": bucket}).withColumn(
         "_part", F.explode(F.when(F.col("is_terminal"), everywhere).otherwise(F.array("_home")))
     )
-    output = T.StructType([*events.schema.fields, T.StructField("is_terminal", T.BooleanType())])
-    order = [event_time, event_id]
+    fields, order = events.schema.fields, ["_job", "_time", "_id"]
+    # Integers travel as text, as pandas makes them doubles next to another job's NULL.
+    texts = [f.name for f in fields if isinstance(f.dataType, (T.StringType, T.IntegralType))]
+    output = T.StructType([T.StructField(f.name, T.StringType() if f.name in texts else f.dataType) for f in fields])
+    output = output.add("is_terminal", T.BooleanType())
+    own = F.col("_home") == F.col("_part")
+    dealt = dealt.withColumns({"_time": F.col(event_time), "_id": F.col(event_id)}).withColumns(
+        {c: F.when(own, quoted(c).cast("string")) for c in texts}
+    )
 
     def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            return
-        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
-        closing = rows["is_terminal"].to_numpy()
-        if closing.any():
-            state.update((True,))
-            rows = rows.iloc[: closing.argmax() + 1]
+        closed = set(state.get[0]) if state.exists else set()
+        rows = pd.concat([f[~f["_job"].isin(closed)] for f in frames]).sort_values(order, kind="stable")
+        ending = rows["is_terminal"].astype("int64")
+        before = ending.groupby(rows["_job"]).cumsum() - ending
+        rows = rows[before == 0]
+        ended = rows.loc[rows["is_terminal"], "_job"]
+        if len(ended):
+            state.update((sorted(closed.union(ended)),))
         yield rows.loc[rows["_home"] == rows["_part"], output.names]
 
-    return dealt.groupBy(job, "_part").applyInPandasWithState(
-        follow, output, "closed boolean", "append", GroupStateTimeout.NoTimeout
+    followed = dealt.groupBy("_bucket", "_part").applyInPandasWithState(
+        follow, output, "closed array<string>", "append", GroupStateTimeout.NoTimeout
     )
+    return followed.select(*[quoted(f.name).cast(f.dataType).alias(f.name) for f in fields], "is_terminal")
 
 
 def follow_job_state(events: DataFrame) -> DataFrame:
