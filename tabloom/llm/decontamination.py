@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.bloom import without
-from tabloom.llm.words import stored, utf8, words
+from tabloom.llm.words import portions, stored, utf8, words
 
 WIDTH = 13
 SLOP = 3
@@ -140,7 +140,7 @@ def build_index(
                 ),
             )
 
-        for batch in batches:
+        for batch in portions(batches):
             for name, body, key in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist()):
                 found = words(body)
                 ids.append(name)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.bloom import block_count, bloom_table, free_names, possible, without
-from tabloom.llm.words import spaced_words, stored, utf8
+from tabloom.llm.words import portions, spaced_words, stored, utf8
 from tabloom.session import cut_lineage
 
 SHINGLE = 3
@@ -46,7 +46,7 @@ SHARED = 3  # prefix tokens that two sets over the threshold have in common at l
 OFTEN = 3
 FREQUENT = 1 << 18
 BLOCK_TOKENS = 1 << 21
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 100_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9], np.uint64)
 
 
@@ -89,10 +89,13 @@ def _frequent(documents: DataFrame, text: str, most: int) -> tuple[np.ndarray, n
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
         for batch in batches:
-            tokens, n = np.unique(np.concatenate([shingles(b) for b in utf8(batch.column(0))]), return_counts=True)
+            tokens = np.concatenate([shingles(b) for part in portions([batch]) for b in utf8(part.column(0))])
+            tokens.sort()
+            first = np.flatnonzero(np.concatenate([[len(tokens) > 0], tokens[1:] != tokens[:-1]]))
+            n = np.diff(first, append=len(tokens))
             kept = n >= OFTEN
             yield pa.RecordBatch.from_arrays(
-                [pa.array(tokens[kept].view(np.int64)), pa.array(n[kept])], names=["token", "n"]
+                [pa.array(tokens[first[kept]].view(np.int64)), pa.array(n[kept])], names=["token", "n"]
             )
 
     counts = documents.select(text).mapInArrow(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
@@ -109,7 +112,7 @@ def _signatures(documents: DataFrame, doc_id: str, text: str, percent: int, freq
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
         often, ranks = shared.value
-        for batch in batches:
+        for batch in portions(batches):
             sizes, keys, homes, prefixes = [], [], [], []
             for body in utf8(batch.column(1)):
                 tokens = shingles(body)
@@ -264,7 +267,7 @@ def _links(
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
-        for batch in batches:
+        for batch in portions(batches):
             tokens = [shingles(b).tobytes() for b in utf8(batch.column(1))]
             keys = [xxhash.xxh3_128_digest(t) for t in tokens]
             yield pa.RecordBatch.from_arrays(

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.words import stored, utf8
+from tabloom.llm.words import portions, stored, utf8
 
 CAPACITY = 4096
 UNIT = 16
@@ -97,7 +97,7 @@ def pieces(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(tokenizer)
-        for batch in batches:
+        for batch in portions(batches):
             rows, parts = [], []
             for key, body in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
                 ids = encode(body, end_id)

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.llm.words import portions
+
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 6
 FIT_ISLANDS = 3_000
@@ -347,7 +349,7 @@ def fit(documents: DataFrame, text: str = "text", most: int = FIT_ISLANDS) -> Se
     """Train on the ``most`` distinct islands with the smallest hashes."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             found = {}
             for body in batch.column(0).to_pylist():
                 for a, b in islands(body or ""):
@@ -402,11 +404,14 @@ def personal_data(documents: DataFrame, model: SemiCrf, text: str = "text") -> C
 
     @F.arrow_udf(SPANS_TYPE)
     def find(column: pa.Array) -> pa.Array:
-        rows = [
-            [{"kind": KINDS[k], "start": a, "end": b, "base": base} for a, k, b, base in find_spans(body or "", shared.value)]
-            for body in column.to_pylist()
-        ]
-        return pa.array(rows, pa.list_(order))
+        parts = []
+        for part in portions([column]):
+            rows = [
+                [{"kind": KINDS[k], "start": a, "end": b, "base": base} for a, k, b, base in find_spans(body or "", shared.value)]
+                for body in part.to_pylist()
+            ]
+            parts.append(pa.array(rows, pa.list_(order)))
+        return pa.concat_arrays(parts)
 
     return find.asNondeterministic()(F.col(text))
 
@@ -430,16 +435,19 @@ def redacted(documents: DataFrame, text: str = "text", length: str | None = None
 
     @F.arrow_udf("string")
     def hide(column: pa.Array) -> pa.Array:
-        texts = column.to_pylist()
-        for i, body in enumerate(texts):
-            out, done = [], 0
-            for a, kind, b, _ in find_spans(body or "", shared.value):
-                if a >= done:
-                    out += [body[done:a], f"[{KINDS[kind].upper()}]"]
-                done = max(done, b)
-            if out:
-                texts[i] = "".join([*out, body[done:]])
-        return pa.array(texts, pa.string())
+        parts = []
+        for part in portions([column]):
+            texts = part.to_pylist()
+            for i, body in enumerate(texts):
+                out, done = [], 0
+                for a, kind, b, _ in find_spans(body or "", shared.value):
+                    if a >= done:
+                        out += [body[done:a], f"[{KINDS[kind].upper()}]"]
+                    done = max(done, b)
+                if out:
+                    texts[i] = "".join([*out, body[done:]])
+            parts.append(pa.array(texts, pa.string()))
+        return pa.concat_arrays(parts)
 
     result = documents.withColumn(text, hide.asNondeterministic()(F.col(text)))
     if length:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.bloom import free_names
-from tabloom.llm.words import stored, utf8, words
+from tabloom.llm.words import portions, stored, utf8, words
 
 FIT_ROWS = 20_000
 VOCABULARY = 4_096
@@ -217,7 +217,7 @@ def severity(documents: DataFrame, model: Model, text: str = "text") -> Column:
         fitted = shared.value
         known, weights = fitted.vocabulary, fitted.weights
         scores, evidence = np.zeros(len(column)), np.zeros(len(column), np.int32)
-        for i, body in enumerate(utf8(column)):
+        for i, body in enumerate(b for part in portions([column]) for b in utf8(part)):
             found = [known[w] for w in words(body) if w in known]
             if found:
                 evidence[i] = len(found)
