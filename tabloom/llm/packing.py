@@ -20,8 +20,10 @@ each on its own; ties in rank go by id, start and checksum; an empty table gives
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from codecs import charmap_decode
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +36,17 @@ from tabloom.llm.words import portions, stored, utf8
 CAPACITY = 4096
 UNIT = 16
 END_ID = 2
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 200_000
 LEAST_BUCKETS = 64
 PIECES_PER_BUCKET = 100_000
-_PUNCTUATION = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
+# Lower-cased characters on which Python and the tokenizer agree: printable ASCII and the letters of Latin-1.
+_LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"
+_KNOWN = re.compile(f"[!-~{_LETTERS}]+")
+_GROUPS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+# The characters that the vocabulary writes bytes with.
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_HIDDEN = [b for b in range(256) if b not in _SHOWN]
+_SPELT = "".join(chr(b) if b in _SHOWN else chr(256 + _HIDDEN.index(b)) for b in range(256))
 
 
 def packed(ids: list[int]) -> bytes:
@@ -50,23 +59,44 @@ class _Memo(dict):
 
     White space never enters a token of this vocabulary, so a text's ids are those of its
     chunks in turn.  Chunks of ASCII alone are lower-cased first, which its normaliser does
-    anyway; others are not, as it composes before that and a composed capital differs.  Trailing ASCII punctuation after a letter or digit is a token
-    group of its own and looked up apart, which keeps the memo small.
+    anyway; others are not, as it composes before that and a composed capital differs.  A chunk of
+    printable ASCII and Latin-1 letters has nothing to compose: it is cut into the tokenizer's
+    groups here and only the groups' merges are asked of its model, which costs a third of a whole call.
+
+    A full memo becomes the ``older`` one, from which words in use come back.
     """
 
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer = tokenizer
+        self.model = tokenizer.model
+        self.older: dict[bytes, bytes] = {}
 
     def __missing__(self, chunk: bytes) -> bytes:
-        core = chunk.rstrip(_PUNCTUATION)
-        if core and len(core) < len(chunk) and chr(core[-1]).isascii() and chr(core[-1]).isalnum():
-            ids = self[core] + self[chunk[len(core) :]]
-        else:
-            ids = packed(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids)
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self.merged(chunk) if chunk.isalpha() else self.asked(chunk)
         self[chunk] = ids
         return ids
 
+    def asked(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        lower = text.lower()
+        if not _KNOWN.fullmatch(lower):
+            return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        groups = _GROUPS.findall(lower)
+        if len(groups) > 1:
+            return b"".join([self[group.encode()] for group in groups])
+        return self.merged(lower.encode())
+
+    def merged(self, group: bytes) -> bytes:
+        return packed([token.id for token in self.model.tokenize(charmap_decode(group, "strict", _SPELT)[0])])
+
+    def shorten(self) -> None:
+        if len(self) > MEMO_WORDS:
+            self.older = dict(self)
+            self.clear()
+
 
 class Encoder:
     """ids of whole texts, equal to the tokenizer's own."""
@@ -77,8 +107,7 @@ class Encoder:
         self.memo = _Memo(Tokenizer.from_file(path))
 
     def __call__(self, text: bytes, end_id: int) -> np.ndarray:
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
+        self.memo.shorten()
         if b"<|" in text:  # may name a special token, in which white space or case matter
             ids = packed(self.memo.tokenizer.encode(text.decode(), add_special_tokens=False).ids)
         else:
