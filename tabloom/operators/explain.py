@@ -15,14 +15,13 @@ from tabloom.operators.features import source_column
 from tabloom.operators.supervised import predict
 from tabloom.plans.longform import numeric_long
 from tabloom.plans.ordering import evenly_spaced, hash_position
-from tabloom.plans.permute import permuted_position
+from tabloom.plans.permute import replicas
 from tabloom.plans.quantiles import long_quantiles
 from tabloom.session import cut_lineage, shared_folder
 
 # Most rows, background rows, repeats and features shown.
 SAMPLE_ROWS = 200
 TOP_FEATURES = 15
-SENT_VALUES = 2_000_000  # permuted values of one task
 
 
 def calibration(
@@ -89,39 +88,18 @@ def permuted_replicas(df: DataFrame, columns: Sequence[str], key: Sequence[str],
     """(f, r, columns of ``df``): all rows once per feature number and repeat, that feature shuffled.
 
     Rows are numbered once, by a unique key.  A keyed permutation of the numbers tells every
-    value where it goes, so only (number, feature, repeat, value) is shuffled, in narrow rows that
-    meet their table row in the join; a NULL is a value like others.
+    value where it goes; values travel packed and without their places; a NULL is a value like others.
     """
     return _replicas(cut_lineage(hash_position(df, seed, key, name="_pos")), df.columns, columns, repeats, seed)
 
 
 def _replicas(placed: DataFrame, kept: Sequence[str], columns: Sequence[str], repeats: int, seed: int) -> DataFrame:
     """``permuted_replicas`` of numbered rows."""
-    rows, copies = placed.count(), len(columns) * repeats
-    kinds = [placed.schema[c].dataType for c in columns]
-    slots = [kinds.index(k) for k in kinds]  # columns of one type share a slot
-    number = F.explode(F.sequence(F.lit(0), F.lit(copies - 1))) if copies else F.explode(F.array().cast("array<int>"))
-    sent = placed.select("_pos", number.alias("_j"), *[quoted(c).alias(f"_all{f}") for f, c in enumerate(columns)])
-    feature, repeat = F.floor(F.col("_j") / repeats).cast("int"), F.col("_j") % repeats
-    target = permuted_position(F.col("_pos"), F.xxhash64(F.lit(seed + 1), feature, repeat), rows)
-
-    def slot(i: int) -> Column:
-        value = F.lit(None).cast(kinds[i])
-        for f in (f for f, s in enumerate(slots) if s == i):
-            value = F.when(feature == f, F.col(f"_all{f}")).otherwise(value)
-        return value.alias(f"_v{i}")
-
-    received = sent.select(target.alias("_pos"), "_j", *[slot(i) for i in sorted(set(slots))])
-    # Tasks of a bounded number of values, so that their sort stays in memory.
-    parts = rows * copies // SENT_VALUES
-    if parts > int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")):
-        placed, received = placed.repartition(parts, "_pos"), received.repartition(parts, "_pos")
-    swapped = {
-        c: F.when(feature == f, F.col(f"_v{slots[f]}")).otherwise(quoted(c)).alias(c) for f, c in enumerate(columns)
-    }
-    return placed.join(received, "_pos").select(
-        feature.alias("f"), repeat.alias("r"), *[swapped.get(c, quoted(c)) for c in kept]
-    )
+    number = F.col("id")
+    feature, repeat = F.floor(number / repeats).cast("int"), (number % repeats).cast("int")
+    drawn = placed.sparkSession.range(0, len(columns) * repeats, numPartitions=1).orderBy("id")
+    keys = [r[0] for r in drawn.select(F.xxhash64(F.lit(seed + 1), feature, repeat)).collect()] if repeats else []
+    return replicas(placed, kept, columns, [keys[f * repeats : (f + 1) * repeats] for f in range(len(columns))])
 
 
 def permutation_importance(
