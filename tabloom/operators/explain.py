@@ -13,6 +13,7 @@ from tabloom.functions.values import quoted, rounded
 from tabloom.operators import metrics as M
 from tabloom.operators.features import source_column
 from tabloom.operators.supervised import predict
+from tabloom.plans.draws import with_draws
 from tabloom.plans.longform import numeric_long
 from tabloom.plans.ordering import evenly_spaced, hash_position
 from tabloom.plans.permute import replicas
@@ -213,32 +214,27 @@ def sampled_shapley(
     d = len(names)
     if background_rows is not None:
         background = sample_rows(background, key, background_rows, seed)
-    numbered = hash_position(background.select(*dict.fromkeys([*key, *names])), seed, key)
-    reference = cut_lineage(numbered.select(F.col("_pos").alias("_b"), F.struct(*[quoted(c) for c in names]).alias("_bg")))
-    size = reference.count()
+    spark = background.sparkSession
+    path = f"{shared_folder(spark)}/background"
+    hash_position(background.select(*dict.fromkeys([*key, *names])), seed, key).select("_pos", *[quoted(c) for c in names]).write.parquet(path)
     own = {c: f"_key_{i}" for i, c in enumerate(key)}
-    # Only a key and a number go to the background and only its values come back to the key; the
-    # steps are made and summed where the key's walks already are.
-    asked = (
-        rows.select(*[quoted(c).alias(alias) for c, alias in own.items()]).dropna().distinct()
-        .withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-        .withColumn("_b", F.pmod(F.xxhash64(F.lit(seed + 1), *own.values(), "t"), F.lit(size)))
-        .join(reference, "_b")
-        .drop("_b")
-    )
+    # Every row draws by its key, so rows that share a key share their draws; only positions go to the background and
+    # only its values come back.
     explained = rows.select(
-        *[quoted(c).alias(alias) for c, alias in own.items()], F.struct(*[quoted(c) for c in names]).alias("_own")
+        *[quoted(c).alias(alias) for c, alias in own.items()], *[quoted(c).alias(f"_own_{j}") for j, c in enumerate(names)]
+    ).dropna(subset=list(own.values()))
+    met = with_draws(
+        explained, F.xxhash64(F.lit(seed + 1), *own.values()), samples, spark.read.parquet(path),
+        {c: f"_bg_{j}" for j, c in enumerate(names)},
     )
     ordered = F.array_sort(
         F.array(*[F.struct(F.xxhash64(F.lit(seed), *own.values(), "t", F.lit(j)).alias("h"), F.lit(j).alias("j")) for j in range(d)])
     )
-    walks = (
-        explained.join(asked, list(own.values()))
-        .withColumn("_order", F.transform(ordered, lambda s: s["j"]))
-        .withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(d))))
+    walks = met.withColumn("_order", F.transform(ordered, lambda s: s["j"])).withColumn(
+        "s", F.explode(F.sequence(F.lit(0), F.lit(d)))
     )
     mixed = {
-        c: F.when(F.array_position("_order", F.lit(j)) <= F.col("s"), F.col(f"_own.`{c}`")).otherwise(F.col(f"_bg.`{c}`"))
+        c: F.when(F.array_position("_order", F.lit(j)) <= F.col("s"), F.col(f"_own_{j}")).otherwise(F.col(f"_bg_{j}"))
         for j, c in enumerate(names)
     }
     steps = walks.select(
