@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,13 +11,15 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.values import quoted, rounded, safe_ratio
 from tabloom.operators.features import FeatureConfig, build_preprocessor, feature_names
 from tabloom.operators.neighbours import (
+    BLOCK_CELLS,
     BLOCK_ROWS,
+    BLOCKS_A_SIDE,
     _stack,
     flag_share,
     local_outlier_factor,
@@ -27,11 +29,14 @@ from tabloom.operators.neighbours import (
     within,
 )
 from tabloom.plans.graphs import connected_components
-from tabloom.plans.ordering import evenly_spaced, with_position
+from tabloom.plans.ordering import HASH_RANGE, evenly_spaced, with_position
+from tabloom.plans.skew import join_weighted
 from tabloom.session import cut_lineage
 
 TREES = 200
 TREE_ROWS = 256
+PIECE_ROWS = 64  # of a piece in a block
+DRIVER_EDGES = 200_000
 
 
 def kmeans(df: DataFrame, k: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -68,82 +73,171 @@ def dbscan(
 ) -> DataFrame:
     """(id, label): density clusters numbered by their smallest core id, noise −1.
 
-    Copies of a vector are one weighted point.  Blocks return neighbour counts
-    first; then each block joins its own core points and passes on one edge per
-    point, so dense regions never emit their pairs.
+    Copies of a vector are one weighted point.  Every point first meets a bounded draw of the points: who has
+    enough neighbours there is a core point, and core points that meet the same drawn ones are one piece of a cluster.
+    Blocks then count for the undecided points only, and look for links between different pieces only, so what a
+    dense region has settled is not compared again.  They pass on one edge per piece or border point, never pairs.
     """
     unique = cut_lineage(
         df.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("weight"))
     )
-    blocks = pair_blocks(
-        unique.select("id", "vec"), unique.select("id", "vec", "weight"),
-        eps=eps, block_rows=block_rows, pivots=pivots,
+    size = unique.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
+    most = max(block_rows, min(BLOCK_CELLS // max(1, size["d"] or 1), -(-size["n"] // BLOCKS_A_SIDE)))
+    limit = F.lit(int(min(1.0, most / max(1, size["n"])) * HASH_RANGE))
+    drawn = F.pmod(F.xxhash64(F.lit(31), "id"), F.lit(HASH_RANGE)) < limit
+    blocks = {"eps": eps, "block_rows": block_rows, "pivots": pivots}
+
+    flagged = _with_core(unique, drawn, min_samples, blocks)
+    cores = flagged.where("core")
+    own = _pieces(cores, drawn, eps)
+    pieces = cut_lineage(own.groupBy("root").agg(F.min("id").alias("piece"), F.count("*").alias("n")))
+    named = cut_lineage(join_weighted(own, pieces, ["root"], "n").select("id", "piece"))
+    pieces = pieces.select("piece", "n")
+    largest = pieces.orderBy(F.desc("n"), "piece").first()
+    flagged = cut_lineage(flagged.join(named, "id", "left"))
+    open_ones = flagged.where(~F.col("core") | (F.col("piece") != F.lit(largest["piece"] if largest else None)))
+    loops = pieces.select(F.col("piece").alias("u"), F.col("piece").alias("v"), F.lit(True).alias("core"))
+    links = loops
+    if largest and not open_ones.isEmpty():
+        asked = open_ones.select("id", "vec", "core", F.coalesce("piece", "id").alias("piece"))
+        met = pair_blocks(asked, flagged.where("core").select("id", "vec", "piece"), **blocks)
+        links = met.run(_linker(eps), "u bigint, v bigint, core boolean").unionByName(loops).distinct()
+    links = cut_lineage(links)
+    components = _components(links.where("core").select("u", "v"))
+    clusters = with_position(components.select("component").distinct(), ["component"])
+    clusters = clusters.select("component", F.col("_pos").cast("int").alias("label"))
+    labels = components.join(clusters, "component").select(F.col("id").alias("piece"), "label")
+    labels = cut_lineage(labels.join(pieces, "piece"))
+    core_labels = join_weighted(named, labels, ["piece"], "n").select("id", "label")
+    border = links.where(~F.col("core")).select(F.col("u").alias("id"), F.col("v").alias("piece"))
+    border_labels = join_weighted(border, labels, ["piece"], "n").groupBy("id").agg(F.min("label").alias("label"))
+    by_vector = core_labels.unionByName(border_labels)
+    labelled = unique.select("id", "vec").join(by_vector, "id", "left").select(
+        "vec", F.coalesce("label", F.lit(-1)).alias("label")
     )
+    return df.select("id", "vec").join(labelled, "vec").select("id", "label")
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    """``connected_components``; a bounded number of edges is joined in the driver, as every round costs several jobs."""
+    few = edges.limit(DRIVER_EDGES + 1).toPandas()
+    if len(few) > DRIVER_EDGES:
+        return connected_components(edges)
+    u, v = few["u"].to_numpy("int64"), few["v"].to_numpy("int64")
+    ids = np.unique(np.concatenate([u, v]))
+    roots = _local_roots(len(ids), np.searchsorted(ids, u), np.searchsorted(ids, v))
+    found = pd.DataFrame({"id": ids, "component": ids[roots]})
+    return edges.sparkSession.createDataFrame(found, "id bigint, component bigint")
+
+
+def _counted(q: np.ndarray, b: np.ndarray, weight: np.ndarray, eps: float) -> np.ndarray:
+    """How many points, copies included, lie within ``eps`` of every query."""
+    copies = weight - 1
+    more = np.flatnonzero(copies)
+    n = [np.count_nonzero(near, axis=1) + near[:, more] @ copies[more] for _, near in within(q, b, eps)]
+    return np.concatenate(n)
+
+
+def _with_core(unique: DataFrame, drawn: Column, min_samples: int, blocks: dict) -> DataFrame:
+    """(id, vec, core): counted among the drawn points, then among all where that is not enough."""
+    eps, some = blocks["eps"], unique.where(drawn).select("vec", "weight").toPandas()
+    base, weight = _stack(some["vec"]), some["weight"].to_numpy()
+    shared = unique.sparkSession.sparkContext.broadcast((base, weight))
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        base, weight = shared.value
+        for batch in batches:
+            n = _counted(_stack(batch["vec"]), base, weight, eps) if len(batch) and len(base) else 0
+            yield batch.assign(sure=np.asarray(n) >= min_samples)
+
+    seen = cut_lineage(unique.mapInPandas(meet, "vec array<double>, id bigint, weight bigint, sure boolean"))
+    unsure = seen.where("NOT sure")
+    if unsure.isEmpty():
+        return seen.select("id", "vec", F.col("sure").alias("core"))
 
     def count(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if len(q) == 0 or len(b) == 0:
             return pd.DataFrame({"id": [], "n": []})
-        copies = b["weight"].to_numpy() - 1
-        more = np.flatnonzero(copies)
-        n = [
-            np.count_nonzero(near, axis=1) + near[:, more] @ copies[more]
-            for _, near in within(_stack(q["vec"]), _stack(b["vec"]), eps)
-        ]
-        return pd.DataFrame({"id": q["id"], "n": np.concatenate(n)})
-
-    counts = blocks.run(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
-    flagged = cut_lineage(
-        unique.join(counts, "id").select("id", "vec", (F.col("n") >= min_samples).alias("core"))
-    )
-    blocks = pair_blocks(
-        flagged, flagged.where("core").select("id", "vec"), eps=eps, block_rows=block_rows, pivots=pivots
-    )
+        return pd.DataFrame({"id": q["id"], "n": _counted(_stack(q["vec"]), _stack(b["vec"]), b["weight"].to_numpy(), eps)})
+
+    met = pair_blocks(unsure.select("id", "vec"), seen.select("id", "vec", "weight"), **blocks)
+    counts = met.run(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    core = F.col("sure") | (F.coalesce("n", F.lit(0)) >= min_samples)
+    return cut_lineage(seen.join(counts, "id", "left").select("id", "vec", core.alias("core")))
+
+
+def _pieces(cores: DataFrame, drawn: Column, eps: float) -> DataFrame:
+    """(id, root): core points that reach each other over drawn core points share a root; others are their own."""
+    some = cores.where(drawn).select("id", "vec").toPandas()
+    shared = cores.sparkSession.sparkContext.broadcast((some["id"].to_numpy(), _stack(some["vec"])))
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, base = shared.value
+        places = np.arange(len(ids), dtype="int32")
+        joined = places
+        for batch in batches:
+            if len(batch) == 0:
+                continue
+            own = batch["id"].to_numpy()
+            reached = own.copy()
+            for start, near in within(_stack(batch["vec"]), base, eps) if len(ids) else ():
+                first = near.argmax(axis=1)
+                found = near[np.arange(len(near)), first]
+                reached[start : start + len(near)][found] = ids[first[found]]
+                qi, bi = np.nonzero(near & (joined[first][:, None] != joined))
+                if len(qi):
+                    joined = _local_roots(len(ids), np.concatenate([places, first[qi]]), np.concatenate([joined, bi]))
+            yield pd.DataFrame({"u": own, "v": reached, "own": True})
+        moved = joined != places
+        yield pd.DataFrame({"u": ids[moved], "v": ids[joined[moved]], "own": False})
+
+    met = cut_lineage(cores.select("id", "vec").mapInPandas(meet, "u bigint, v bigint, own boolean"))
+    own = met.where("own").select(F.col("u").alias("id"), "v")
+    # At most one row for each drawn point.
+    roots = F.broadcast(_components(met.where("NOT own").select("u", "v")).toDF("v", "root"))
+    return cut_lineage(own.join(roots, "v", "left").select("id", F.coalesce("root", "v").alias("root")))
+
+
+def _linker(eps: float) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Links of a block between different pieces: of pieces, and of border points to pieces."""
 
     def link(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if len(q) == 0 or len(b) == 0:
             return pd.DataFrame({"u": [], "v": [], "core": []})
-        q_ids, b_ids = q["id"].to_numpy(), b["id"].to_numpy()
-        core = q["core"].to_numpy().astype(bool)
-        ids = np.unique(np.concatenate([b_ids, q_ids[core]]))
+        q_ids, core = q["id"].to_numpy(), q["core"].to_numpy().astype(bool)
+        q_pieces, b_pieces = q["piece"].to_numpy(), b["piece"].to_numpy()
+        ids = np.unique(np.concatenate([b_pieces, q_pieces[core]]))
         places = np.arange(len(ids), dtype="int32")
-        left, right = np.searchsorted(ids, q_ids), np.searchsorted(ids, b_ids)
+        left, right = np.searchsorted(ids, q_pieces), np.searchsorted(ids, b_pieces)
+        queries, base = _stack(q["vec"]), _stack(b["vec"])
         joined, border = places, []
-        for start, near in within(_stack(q["vec"]), _stack(b["vec"]), eps):
-            tile = slice(start, start + len(near))
-            inner = core[tile]
-            own = np.where(inner, joined[np.minimum(left[tile], len(ids) - 1)], -1)
-            qi, bi = np.nonzero(near & inner[:, None] & (own[:, None] != joined[right]))
-            if len(qi):
-                known = np.concatenate([joined, right[bi]])
-                joined = _local_roots(len(ids), np.concatenate([places, left[start + qi]]), known)
-            outer = np.flatnonzero(~inner)  # each has fewer than ``min_samples`` links
-            qi, bi = np.nonzero(near[outer])
-            border.append(np.unique((start + outer[qi]) * len(ids) + joined[right[bi]].astype("int64")))
+        # Core points of a large piece don't meet their own piece.
+        held = np.bincount(left[core], minlength=len(ids))
+        parts = [(np.flatnonzero(core & (left == p)), np.flatnonzero(right != p)) for p in np.flatnonzero(held >= PIECE_ROWS)]
+        parts.append((np.flatnonzero(~core | (held[np.minimum(left, len(ids) - 1)] < PIECE_ROWS)), np.arange(len(b))))
+        for asked, given in parts:
+            if not len(asked) or not len(given):
+                continue
+            for start, near in within(queries[asked], base[given], eps):
+                rows, to = asked[start : start + len(near)], right[given]
+                inner = core[rows]
+                own = np.where(inner, joined[np.minimum(left[rows], len(ids) - 1)], -1)
+                qi, bi = np.nonzero(near & inner[:, None] & (own[:, None] != joined[to]))
+                if len(qi):
+                    known = np.concatenate([joined, to[bi]])
+                    joined = _local_roots(len(ids), np.concatenate([places, left[rows[qi]]]), known)
+                outer = np.flatnonzero(~inner)  # each has fewer than ``min_samples`` links
+                qi, bi = np.nonzero(near[outer])
+                border.append(np.unique(rows[outer[qi]] * len(ids) + joined[to[bi]].astype("int64")))
         roots = ids[joined]
-        moved = roots != ids  # a core point's link to itself is added once, below
+        moved = roots != ids
         rows = [pd.DataFrame({"u": ids[moved], "v": roots[moved], "core": True})]
-        qi, root = np.divmod(np.concatenate(border), len(ids))
-        rows.append(pd.DataFrame({"u": q_ids[qi], "v": roots[root], "core": False}).drop_duplicates())
+        if border:
+            qi, root = np.divmod(np.concatenate(border), len(ids))
+            rows.append(pd.DataFrame({"u": q_ids[qi], "v": roots[root], "core": False}).drop_duplicates())
         return pd.concat(rows, ignore_index=True)
 
-    own = flagged.where("core").select(F.col("id").alias("u"), F.col("id").alias("v"), "core")
-    found = blocks.run(link, "u bigint, v bigint, core boolean")
-    links = cut_lineage(found.unionByName(own).distinct())
-    components = connected_components(links.where("core"))
-    clusters = with_position(components.select("component").distinct(), ["component"])
-    clusters = clusters.select("component", F.col("_pos").cast("int").alias("label"))
-    core_labels = components.join(clusters, "component").select("id", "label")
-    border_labels = (
-        links.where(~F.col("core"))
-        .join(core_labels.toDF("v", "label"), "v")
-        .groupBy(F.col("u").alias("id"))
-        .agg(F.min("label").alias("label"))
-    )
-    by_vector = core_labels.unionByName(border_labels)
-    labelled = unique.select("id", "vec").join(by_vector, "id", "left").select(
-        "vec", F.coalesce("label", F.lit(-1)).alias("label")
-    )
-    return df.select("id", "vec").join(labelled, "vec").select("id", "label")
+    return link
 
 
 def silhouette(df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
